@@ -1,7 +1,8 @@
 """Header-row detection for many files in one job.
 
-All steps group by ``file_id`` first, so one exchange on it serves scoring, ranking and selection. A file
-contributes at most ``max_scan + look_ahead`` lines, whatever its size.
+One grouped aggregate by ``file_id`` gathers the statistics and first lines of a file (at most ``max_scan +
+look_ahead + 1``, whatever its size); scoring is then a projection, and ranking and selection reuse the same
+partitioning.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 from tabulens.functions.fields import split_by
 from tabulens.functions.predicates import (
     header_likeness,
-    is_blank,
     is_comment_line,
     is_datetime,
     is_null_token,
@@ -22,6 +22,7 @@ from tabulens.functions.predicates import (
 )
 from tabulens.functions.scoring import finite, ratio
 from tabulens.operators.typescores import dominant, is_categorical, type_scores
+from tabulens.sources import formats
 
 # Scan depth, look-ahead, weights of the candidate score, thresholds.
 MAX_SCAN = 8
@@ -66,152 +67,125 @@ def _token(field: Column) -> Column:
     )
 
 
-def _file_heads(
-    head: DataFrame, formats: DataFrame, mode: str, max_scan: int, look_ahead: int
-) -> DataFrame:
-    """One row per file with its first lines, split and judged once per field."""
-    delimiter = F.col("delimiter")
-    return (
-        head.where(F.col("row") <= max_scan + look_ahead)
-        .join(formats.select("file_id", "delimiter"), "file_id")
-        .withColumn("fields", split_by(F.col("line"), delimiter))
-        .select(
-            "file_id",
-            F.struct(
-                "row",
-                "line_no",
-                "line",
-                is_comment_line(F.col("line")).alias("comment"),
-                F.transform("fields", _cell).alias("cells"),
-                F.when(
-                    F.col("row") <= max_scan,
-                    F.transform(split_by(F.col("line"), delimiter, quotes=mode == "robust"), _token),
-                ).alias("tokens"),
-            ).alias("entry"),
+def _judged_entry(mode: str, max_scan: int, delimiter: Column):
+    """Split a line once and judge every field once, however many candidate blocks it falls into."""
+
+    def judge(entry: Column) -> Column:
+        line = entry.getField("line")
+        fields = split_by(line, delimiter)
+        tokens = fields if mode == "robust" else split_by(line, delimiter, quotes=False)
+        candidate = entry.getField("row") <= max_scan
+        return F.struct(
+            entry.getField("row").alias("row"),
+            entry.getField("line_no").alias("line_no"),
+            line.alias("line"),
+            is_comment_line(line).alias("comment"),
+            F.when(candidate, fields).alias("fields"),
+            F.transform(fields, _cell).alias("cells"),
+            F.when(candidate, F.transform(tokens, _token)).alias("tokens"),
         )
-        .groupBy("file_id")
-        .agg(F.sort_array(F.collect_list("entry")).alias("entries"))
+
+    return judge
+
+
+def _column_summary(cells: Column) -> Column:
+    """Dominant type share and spread of numbers of one column of a block (at most ``look_ahead`` cells)."""
+    present = F.filter(cells, lambda c: c.isNotNull())
+    filled = F.filter(present, lambda c: c.getField("text") != "")
+    numbers = F.filter(F.transform(present, lambda c: c.getField("number")), lambda x: x.isNotNull())
+    n = F.size(filled)
+    distinct = F.size(F.array_distinct(F.transform(filled, lambda c: c.getField("text"))))
+    length = F.aggregate(filled, F.lit(0), lambda acc, c: acc + c.getField("size"))
+    mean = F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x) / F.size(numbers)
+    spread = F.sqrt(F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / F.size(numbers))
+    scores = type_scores(
+        n,
+        F.size(F.filter(filled, lambda c: c.getField("numeric"))),
+        F.size(F.filter(filled, lambda c: c.getField("datetime"))),
+        is_categorical(n, distinct, ratio(length, n)),
+    )
+    return F.struct(
+        F.size(present).alias("present"),
+        dominant(scores).alias("dominant"),
+        F.when(F.size(numbers) > 0, spread).otherwise(0.0).alias("spread"),
+        # A missing cell reads as "nan", which is a number to the parser.
+        F.coalesce(F.get(cells, F.lit(0)).getField("numeric"), F.lit(True)).alias("first_numeric"),
     )
 
 
-def _blocks(files: DataFrame, mode: str, max_scan: int, look_ahead: int) -> DataFrame:
-    """One row per candidate: its tokens, the rows that follow, and whether they can be parsed.
+def _blocks(
+    head: DataFrame, mode: str, max_scan: int, look_ahead: int, drop_comments: bool
+) -> DataFrame:
+    """One row per candidate with the columns of the rows that follow it.
 
     Columns are named by the candidate line. Extra leading fields of the first data row are an index; a
     later row wider than that cannot be parsed.
     """
+    files = formats.file_heads(head, mode, max_scan + look_ahead + 1).withColumn(
+        "entries", F.transform("entries", _judged_entry(mode, max_scan, F.col("delimiter")))
+    )
     candidates = files.select(
-        "file_id", "entries", F.explode(F.slice("entries", 1, max_scan + 1)).alias("candidate")
+        "file_id",
+        "delimiter",
+        "delimiter_score",
+        F.get("entries", F.lit(0)).getField("comment").alias("first_is_comment"),
+        F.forall("entries", lambda e: e.getField("comment")).alias("all_comments"),
+        "entries",
+        F.explode(F.slice("entries", 1, max_scan + 1)).alias("candidate"),
     )
-    if mode == "robust":
-        all_comments = F.forall("entries", lambda e: e.getField("comment"))
-        candidates = candidates.where(~F.col("candidate.comment") | all_comments)
-    width = F.size("candidate.cells")
+    if drop_comments:
+        candidates = candidates.where(~F.col("candidate.comment") | F.col("all_comments"))
+    first_width = F.coalesce(F.size(F.get("block", F.lit(0)).getField("cells")), F.lit(0))
     return (
         candidates.withColumn("block", F.slice("entries", F.col("candidate.row") + 2, look_ahead))
-        .withColumn("width", width)
+        .drop("entries", "all_comments")
+        .withColumn("width", F.size("candidate.cells"))
+        .withColumn("shift", F.greatest(first_width - F.col("width"), F.lit(0)))
+        .withColumn("widest", F.col("width") + F.col("shift"))
+        .withColumn("parsed", F.forall("block", lambda e: F.size(e.getField("cells")) <= F.col("widest")))
         .withColumn(
-            "shift",
-            F.greatest(F.coalesce(F.size(F.get("block", F.lit(0)).getField("cells")) - width, F.lit(0)), F.lit(0)),
-        )
-        .withColumn(
-            "parsed",
-            F.forall("block", lambda e: F.size(e.getField("cells")) <= F.col("width") + F.col("shift")),
+            "columns",
+            F.when(
+                F.col("parsed"),
+                F.transform(
+                    F.sequence(F.col("shift"), F.col("widest") - 1),
+                    lambda at: _column_summary(F.transform("block", lambda e: F.get(e.getField("cells"), at))),
+                ),
+            ),
         )
-        .select("file_id", "candidate", "block", "width", "shift", "parsed")
+        .drop("block")
     )
 
 
-def _column_scores(blocks: DataFrame) -> DataFrame:
-    """One row per candidate and column: dominant type share and spread of the numbers in the block."""
-    at = F.col("shift") + F.col("ordinal")
-    columns = blocks.where("parsed").select(
-        "file_id",
-        F.col("candidate.row").alias("row"),
-        "shift",
-        "block",
-        F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("ordinal"),
-    )
-    values = columns.select(
-        "file_id",
-        "row",
-        "ordinal",
-        F.transform("block", lambda e: F.get(e.getField("cells"), at)).alias("cells"),
-    )
-    filled = (F.col("cell.text") != "") & F.col("cell").isNotNull()
-    exploded = values.select(
-        "file_id",
-        "row",
-        "ordinal",
-        F.size(
-            F.array_distinct(
-                F.filter(
-                    F.transform("cells", lambda c: c.getField("text")), lambda t: t.isNotNull() & (t != "")
-                )
-            )
-        ).alias("distinct"),
-        F.get("cells", F.lit(0)).alias("first_cell"),
-        F.explode_outer("cells").alias("cell"),
-    )
-    n = F.col("n")
-    return (
-        exploded.groupBy("file_id", "row", "ordinal")
-        .agg(
-            F.count("cell").alias("present"),
-            F.count(F.when(filled, 1)).alias("n"),
-            F.count(F.when(filled & F.col("cell.numeric"), 1)).alias("numeric"),
-            F.count(F.when(filled & F.col("cell.datetime"), 1)).alias("datetime"),
-            F.avg(F.when(filled, F.col("cell.size"))).alias("mean_length"),
-            F.first("distinct").alias("distinct"),
-            F.first(F.coalesce(F.col("first_cell.numeric"), F.lit(True))).alias("first_numeric"),
-            F.coalesce(F.stddev_pop("cell.number"), F.lit(0.0)).alias("spread"),
-        )
-        .withColumn(
-            "dominant",
-            dominant(
-                type_scores(n, F.col("numeric"), F.col("datetime"), is_categorical(n, F.col("distinct"), F.col("mean_length")))
-            ),
-        )
-    )
+def _mean(array: Column, value) -> Column:
+    total = F.aggregate(array, F.lit(0.0), lambda acc, x: acc + value(x))
+    return F.when(F.size(array) > 0, total / F.size(array))
 
 
 def score_candidates(
-    head: DataFrame,
-    formats: DataFrame,
-    mode: str = "robust",
-    max_scan: int = MAX_SCAN,
-    look_ahead: int = LOOK_AHEAD,
+    head: DataFrame, mode: str = "robust", max_scan: int = MAX_SCAN, look_ahead: int = LOOK_AHEAD
 ) -> DataFrame:
     """Explainable score of every candidate header row.
 
-    ``file_id, row, line_no, line, token_count, consistency_score, token_score, uniqueness_score, stability,
-    data_row_penalty, score, reason`` with reason ``parse_failed`` or ``scored``.
+    ``row, line_no, line, token_count, consistency_score, token_score, uniqueness_score, stability,
+    data_row_penalty, score, reason`` with reason ``parse_failed`` or ``scored``, and what the selection
+    needs per file: ``delimiter, delimiter_score, first_is_comment`` and the candidate's ``fields``.
     """
-    blocks = _blocks(_file_heads(head, formats, mode, max_scan, look_ahead), mode, max_scan, look_ahead)
-    per_column = _column_scores(blocks)
-    per_block = per_column.groupBy("file_id", "row").agg(
-        F.avg("dominant").alias("consistency_score"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.avg("spread"))).alias("stability"),
-    )
-    tokens = F.col("candidate.tokens")
+    tokens, columns = F.col("candidate.tokens"), F.col("columns")
     count = F.size(tokens)
 
     def share(flag: str) -> Column:
         return F.size(F.filter(tokens, lambda t: t.getField(flag))) / count
 
-    candidates = blocks.select(
-        "file_id",
-        F.col("candidate.row").alias("row"),
-        F.col("candidate.line_no").alias("line_no"),
-        F.col("candidate.line").alias("line"),
-        "parsed",
-        count.alias("token_count"),
-        (F.aggregate(tokens, F.lit(0.0), lambda acc, t: acc + t.getField("likeness")) / count).alias("token_score"),
-        (PENALTY_WEIGHT * (share("numeric") + PENALTY_DATETIME_WEIGHT * share("datetime"))).alias("data_row_penalty"),
-        (F.size(F.array_distinct(F.transform(tokens, lambda t: t.getField("text")))) / (count + TINY)).alias(
-            "uniqueness_score"
-        ),
-    )
+    spread = _mean(columns, lambda c: c.getField("spread"))
+    parts = {
+        "consistency_score": _mean(columns, lambda c: c.getField("dominant")),
+        "token_score": _mean(tokens, lambda t: t.getField("likeness")),
+        "uniqueness_score": F.size(F.array_distinct(F.transform(tokens, lambda t: t.getField("text"))))
+        / (count + TINY),
+        "stability": F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - spread)),
+        "data_row_penalty": PENALTY_WEIGHT * (share("numeric") + PENALTY_DATETIME_WEIGHT * share("datetime")),
+    }
     score = (
         CONSISTENCY_WEIGHT * F.col("consistency_score")
         + TOKEN_WEIGHT * F.col("token_score")
@@ -219,16 +193,24 @@ def score_candidates(
         + STABILITY_WEIGHT * F.col("stability")
         - F.col("data_row_penalty")
     )
-    parts = ("consistency_score", "token_score", "uniqueness_score", "stability", "data_row_penalty")
-    return candidates.join(per_block, ["file_id", "row"], "left").select(
-        "file_id",
-        "row",
-        "line_no",
-        "line",
-        "token_count",
-        *[F.when(F.col("parsed"), F.col(p)).alias(p) for p in parts],
-        F.when(F.col("parsed"), F.greatest(F.lit(0.0), score)).otherwise(0.0).alias("score"),
-        F.when(F.col("parsed"), "scored").otherwise("parse_failed").alias("reason"),
+    return (
+        _blocks(head, mode, max_scan, look_ahead, drop_comments=mode == "robust")
+        .select(
+            "file_id",
+            "delimiter",
+            "delimiter_score",
+            "first_is_comment",
+            "parsed",
+            "candidate.row",
+            "candidate.line_no",
+            "candidate.line",
+            "candidate.fields",
+            count.alias("token_count"),
+            *[F.when(F.col("parsed"), part).alias(name) for name, part in parts.items()],
+        )
+        .withColumn("score", F.when(F.col("parsed"), F.greatest(F.lit(0.0), score)).otherwise(0.0))
+        .withColumn("reason", F.when(F.col("parsed"), "scored").otherwise("parse_failed"))
+        .drop("parsed")
     )
 
 
@@ -238,18 +220,24 @@ def rank_candidates(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(best_first))
 
 
-def select_header(ranked: DataFrame, head: DataFrame, score_gap: float = SCORE_GAP) -> DataFrame:
+def select_header(ranked: DataFrame, score_gap: float = SCORE_GAP) -> DataFrame:
     """Pick one header row per file, with a preference for the first row.
 
-    ``file_id, header_row, header_line_no, score, first_row_score, selection_reason``
+    ``file_id, header_row, header_line_no, score, first_row_score, selection_reason``, the file's
+    ``delimiter`` and ``delimiter_score``, the ``fields`` of the header and the three best candidates.
     """
     best, first = F.col("rank") == 1, F.col("row") == 0
-    picked = ranked.groupBy("file_id").agg(
-        F.max(F.when(best, F.struct("row", "line_no", "score"))).alias("best"),
-        F.max(F.when(first, F.struct("row", "line_no", "score"))).alias("first"),
+    choice = F.struct("row", "line_no", "score", "fields")
+    top = F.struct(
+        "rank", "row", F.round("score", 4).alias("score"), F.substring("line", 1, 80).alias("preview")
     )
-    first_lines = head.where(F.col("row") == 0).select(
-        "file_id", is_comment_line(F.col("line")).alias("first_is_comment")
+    picked = ranked.groupBy("file_id").agg(
+        F.max(F.when(best, choice)).alias("best"),
+        F.max(F.when(first, choice)).alias("first"),
+        F.max("first_is_comment").alias("first_is_comment"),
+        F.max("delimiter").alias("delimiter"),
+        F.max("delimiter_score").alias("delimiter_score"),
+        F.sort_array(F.collect_list(F.when(F.col("rank") <= 3, top))).alias("top"),
     )
     # A nudge far below the printed precision keeps exact halves from depending on float noise.
     gap = F.col("best.score") - F.col("first.score")
@@ -262,11 +250,9 @@ def select_header(ranked: DataFrame, head: DataFrame, score_gap: float = SCORE_G
         .otherwise(F.concat(F.lit("first_row_rejected_gap_"), gap_text))
     )
     keep_first = F.col("selection_reason").rlike("^(first_row_is_best|small_gap_)")
-    chosen = F.when(keep_first, F.col("first")).otherwise(F.col("best"))
     return (
-        picked.join(first_lines, "file_id")
-        .withColumn("selection_reason", reason)
-        .withColumn("chosen", chosen)
+        picked.withColumn("selection_reason", reason)
+        .withColumn("chosen", F.when(keep_first, F.col("first")).otherwise(F.col("best")))
         .select(
             "file_id",
             F.col("chosen.row").alias("header_row"),
@@ -274,6 +260,10 @@ def select_header(ranked: DataFrame, head: DataFrame, score_gap: float = SCORE_G
             F.col("chosen.score").alias("score"),
             F.coalesce(F.col("first.score"), F.lit(0.0)).alias("first_row_score"),
             "selection_reason",
+            "delimiter",
+            "delimiter_score",
+            F.col("chosen.fields").alias("fields"),
+            F.transform("top", lambda c: c.dropFields("rank")).alias("candidate_summary"),
         )
     )
 
@@ -295,35 +285,10 @@ def review_reason(confidence_level: Column, selection_reason: Column) -> Column:
     )
 
 
-def detection_result(ranked: DataFrame, selected: DataFrame) -> DataFrame:
+def detection_result(selected: DataFrame) -> DataFrame:
     """The full answer per file, with the three best candidates as an ordered array."""
-    summary = (
-        ranked.where(F.col("rank") <= 3)
-        .groupBy("file_id")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct(
-                        "rank",
-                        "row",
-                        F.round("score", 4).alias("score"),
-                        F.substring("line", 1, 80).alias("preview"),
-                    )
-                )
-            ).alias("ranked")
-        )
-        .select(
-            "file_id",
-            F.transform(
-                "ranked",
-                lambda c: F.struct(
-                    c.getField("row").alias("row"), c.getField("score").alias("score"), c.getField("preview").alias("preview")
-                ),
-            ).alias("candidate_summary"),
-        )
-    )
     level = confidence(F.col("score"))
-    return selected.join(summary, "file_id").select(
+    return selected.select(
         "file_id",
         "header_row",
         "header_line_no",
@@ -334,35 +299,34 @@ def detection_result(ranked: DataFrame, selected: DataFrame) -> DataFrame:
         "selection_reason",
         F.round("first_row_score", 4).alias("first_row_score"),
         "candidate_summary",
+        "delimiter",
+        "delimiter_score",
+        "fields",
     )
 
 
-def detect_headers(head: DataFrame, formats: DataFrame, mode: str = "robust", **scan: int) -> DataFrame:
-    ranked = rank_candidates(score_candidates(head, formats, mode, **scan))
-    return detection_result(ranked, select_header(ranked, head))
+def detect_headers(head: DataFrame, mode: str = "robust", **scan: int) -> DataFrame:
+    """Format and header of every file: one grouped aggregate by file, then narrow steps on its result."""
+    return detection_result(select_header(rank_candidates(score_candidates(head, mode, **scan))))
 
 
-def header_by_consistency(
-    head: DataFrame, formats: DataFrame, max_scan: int = MAX_SCAN, look_ahead: int = LOOK_AHEAD
-) -> DataFrame:
+def header_by_consistency(head: DataFrame, max_scan: int = MAX_SCAN, look_ahead: int = LOOK_AHEAD) -> DataFrame:
     """Alternative detection: the row below which columns are most uniform in type.
 
     ``file_id, header_row, score``; row 0 with score -1 where no candidate has more than one column.
     """
-    blocks = _blocks(_file_heads(head, formats, "compat", max_scan, look_ahead), "compat", max_scan, look_ahead)
-    scored = (
-        _column_scores(blocks.where(F.col("width") > 1))
-        .groupBy("file_id", "row")
-        .agg(
-            F.avg(F.when(F.col("present") > 0, F.col("dominant"))).alias("consistency"),
-            F.avg(F.when(F.col("first_numeric"), 1.0).otherwise(0.0)).alias("numeric_share"),
-        )
-        .where(F.col("consistency").isNotNull())
+    blocks = _blocks(head, "compat", max_scan, look_ahead, drop_comments=False)
+    filled = F.filter("columns", lambda c: c.getField("present") > 0)
+    numeric_share = F.size(F.filter("columns", lambda c: c.getField("first_numeric"))) / F.size("columns")
+    score = _mean(filled, lambda c: c.getField("dominant")) - 0.3 * numeric_share
+    usable = F.col("parsed") & (F.col("width") > 1) & (F.size(filled) > 0)
+    return (
+        blocks.withColumn("score", F.when(usable, score))
         .groupBy("file_id")
-        .agg(F.max(F.struct((F.col("consistency") - 0.3 * F.col("numeric_share")).alias("score"), (-F.col("row")).alias("up"))).alias("best"))
-    )
-    return head.select("file_id").distinct().join(scored, "file_id", "left").select(
-        "file_id",
-        F.coalesce(-F.col("best.up"), F.lit(0)).alias("header_row"),
-        F.coalesce(F.col("best.score"), F.lit(-1.0)).alias("score"),
+        .agg(F.max(F.when(F.col("score").isNotNull(), F.struct("score", (-F.col("candidate.row")).alias("up")))).alias("best"))
+        .select(
+            "file_id",
+            F.coalesce(-F.col("best.up"), F.lit(0)).alias("header_row"),
+            F.coalesce(F.col("best.score"), F.lit(-1.0)).alias("score"),
+        )
     )

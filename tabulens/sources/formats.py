@@ -6,7 +6,7 @@ contiguous, and ``line``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulens.functions.fields import DELIMITERS, field_count
@@ -43,23 +43,18 @@ def raw_preview(lines: DataFrame, n: int = 20) -> DataFrame:
     )
 
 
-def sniff_delimiter(
-    head: DataFrame, mode: str = "robust", candidates: tuple[str, ...] = DELIMITERS
-) -> DataFrame:
-    """One row per file: ``file_id, delimiter, delimiter_score``.
-
-    A delimiter scores mean / deviation of its field counts. ``robust`` leaves comment lines out and ignores
-    delimiters that never occur unless none does; ``compat`` does neither.
-    """
-    line = F.col("line")
+def _count_stats(line: Column, mode: str, candidates: tuple[str, ...]) -> list[Column]:
     used = ~is_comment_line(line) if mode == "robust" else F.lit(True)
-    counts = [F.when(used, field_count(line, d)) for d in candidates]
-    stats = head.groupBy("file_id").agg(
-        *[F.avg(c).alias(f"mean_{i}") for i, c in enumerate(counts)],
-        *[F.stddev_pop(c).alias(f"std_{i}") for i, c in enumerate(counts)],
-    )
+    stats = []
+    for i, delimiter in enumerate(candidates):
+        count = F.when(used, field_count(line, delimiter))
+        stats += [F.avg(count).alias(f"mean_{i}"), F.stddev_pop(count).alias(f"std_{i}")]
+    return stats
+
+
+def _best(mode: str, candidates: tuple[str, ...]) -> Column:
     scored = []
-    for i, _ in enumerate(candidates):
+    for i in range(len(candidates)):
         mean, std = F.col(f"mean_{i}"), F.col(f"std_{i}")
         occurs = (mean > 1) if mode == "robust" else F.lit(True)
         scored.append(
@@ -69,12 +64,41 @@ def sniff_delimiter(
                 F.lit(-i).alias("preference"),
             )
         )
-    best = F.array_max(F.array(*scored))
-    names = F.array(*[F.lit(d) for d in candidates])
-    return stats.select("file_id", best.alias("best")).select(
-        "file_id",
-        F.when(
-            F.col("best.score").isNotNull(), F.element_at(names, 1 - F.col("best.preference"))
-        ).otherwise(DEFAULT_DELIMITER).alias("delimiter"),
-        F.coalesce(F.col("best.score"), F.lit(-1.0)).alias("delimiter_score"),
+    return F.array_max(F.array(*scored))
+
+
+def file_heads(
+    head: DataFrame, mode: str = "robust", lines: int = 0, candidates: tuple[str, ...] = DELIMITERS
+) -> DataFrame:
+    """One row per file: ``file_id, delimiter, delimiter_score`` and its first ``lines`` lines as ``entries``.
+
+    A delimiter scores mean / deviation of its field counts. ``robust`` leaves comment lines out and ignores
+    delimiters that never occur unless none does; ``compat`` does neither. Both the statistics and the
+    entries come from one grouped aggregate, and the number of lines of a head is bounded.
+    """
+    entry = F.when(F.col("row") < lines, F.struct("row", "line_no", "line"))
+    best, names = F.col("best"), F.array(*[F.lit(d) for d in candidates])
+    found = best.getField("score").isNotNull()
+    return (
+        head.groupBy("file_id")
+        .agg(
+            *_count_stats(F.col("line"), mode, candidates),
+            *([F.sort_array(F.collect_list(entry)).alias("entries")] if lines else []),
+        )
+        .withColumn("best", _best(mode, candidates))
+        .select(
+            "file_id",
+            F.when(found, F.element_at(names, 1 - best.getField("preference")))
+            .otherwise(DEFAULT_DELIMITER)
+            .alias("delimiter"),
+            F.coalesce(best.getField("score"), F.lit(-1.0)).alias("delimiter_score"),
+            *(["entries"] if lines else []),
+        )
     )
+
+
+def sniff_delimiter(
+    head: DataFrame, mode: str = "robust", candidates: tuple[str, ...] = DELIMITERS
+) -> DataFrame:
+    """One row per file: ``file_id, delimiter, delimiter_score``."""
+    return file_heads(head, mode, candidates=candidates)

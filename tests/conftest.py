@@ -39,3 +39,17 @@ def lines_of(spark, texts: dict[str, str]):
 @pytest.fixture(scope="session")
 def sample_lines(spark):
     return lines_of(spark, {"sample_mixed.csv": SAMPLE})
+
+
+@pytest.fixture(scope="session")
+def sample(spark, sample_lines):
+    """The sample as the adaptive scan reads it: all strings, missing cells null."""
+    from pyspark.sql import functions as F
+
+    from tabulens.sources import delimited, formats
+
+    decisions = delimited.decide(formats.head_lines(sample_lines))
+    scanned = delimited.scan_rows(sample_lines, decisions)
+    table = delimited.as_table(scanned, decisions.first().names)
+    table = table.withColumn("_row_idx", F.col("line_no") - 1).drop("file_id", "line_no")
+    return spark.createDataFrame(table.collect(), table.schema)

@@ -59,8 +59,8 @@ EXPECTED = {
 def detect(spark, mode):
     head = formats.head_lines(lines_of(spark, CASES))
     sniffed = formats.sniff_delimiter(head, mode)
-    ranked = headers.rank_candidates(headers.score_candidates(head, sniffed, mode)).persist()
-    result = headers.detection_result(ranked, headers.select_header(ranked, head))
+    ranked = headers.rank_candidates(headers.score_candidates(head, mode)).persist()
+    result = headers.detection_result(headers.select_header(ranked))
     delimiters = {r.file_id: r.delimiter for r in sniffed.collect()}
     scores = {}
     for r in ranked.collect():
@@ -130,8 +130,7 @@ def test_years_keep_first_row(compat):
 def test_wider_rows_fail_to_parse_and_index_columns_are_skipped(spark):
     texts = {"ragged": "a,b\n1,2\n1,2,3\n", "indexed": "a,b\n9,1,2\n8,3,4\n"}
     head = formats.head_lines(lines_of(spark, texts))
-    sniffed = formats.sniff_delimiter(head)
-    rows = {(r.file_id, r.row): r for r in headers.score_candidates(head, sniffed).collect()}
+    rows = {(r.file_id, r.row): r for r in headers.score_candidates(head).collect()}
     assert rows["ragged", 0].reason == "parse_failed" and rows["ragged", 0].score == 0.0
     assert rows["indexed", 0].reason == "scored"
     # columns a = (1, 3) and b = (2, 4): the leading 9 and 8 are an index
@@ -140,6 +139,6 @@ def test_wider_rows_fail_to_parse_and_index_columns_are_skipped(spark):
 
 def test_header_by_consistency(spark):
     head = formats.head_lines(lines_of(spark, {"sample": CASES["standard"], "one": "a\nb\nc\n"}))
-    rows = {r.file_id: r for r in headers.header_by_consistency(head, formats.sniff_delimiter(head)).collect()}
+    rows = {r.file_id: r for r in headers.header_by_consistency(head).collect()}
     assert rows["one"].header_row == 0 and rows["one"].score == -1.0
     assert 0 <= rows["sample"].score <= 1
