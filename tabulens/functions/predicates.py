@@ -102,12 +102,16 @@ def _is_calendar_day(text: Column, parts: str, *orders: str) -> Column:
 
 
 def is_datetime(value: Column) -> Column:
-    """Is the text a date or time in one of the closed list of shapes?
+    """Is the text a date or time in one of the closed list of shapes, spaces around it aside?"""
+    return is_datetime_text(strip(value))
+
+
+def is_datetime_text(text: Column) -> Column:
+    """The same for a text without surrounding spaces.
 
     The shape test comes first, so that only texts that look like a date are parsed. Month first is tried
     before day first.
     """
-    text = strip(value)
     # All shapes hold a digit, so texts without one are decided by the first branch.
     return (
         F.when(~text.rlike(r"\d"), F.lit(False))
@@ -136,13 +140,16 @@ def is_comment_line(line: Column) -> Column:
 
 def header_likeness(token: Column) -> Column:
     """How much a token looks like a column name, between 0 and 1."""
-    text = strip(token)
+    return text_likeness(strip(token))
+
+
+def text_likeness(text: Column) -> Column:
     size = F.length(text)
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
     identifier = is_alphanumeric(F.translate(text, "_-", "")) & ~text.rlike(r"^\p{Nd}")
     score = (
         F.when(is_numeric(text), 0.0).otherwise(0.3)
-        + F.when(is_datetime(text), 0.0).otherwise(0.2)
+        + F.when(is_datetime_text(text), 0.0).otherwise(0.2)
         + 0.25 * letters / F.greatest(size, F.lit(1))
         + F.when(identifier, 0.15).otherwise(0.0)
         + F.when(size.between(2, 30), 0.1).when(size > 50, -0.2).otherwise(0.0)

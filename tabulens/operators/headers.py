@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 
 from tabulens.functions.fields import split_by
 from tabulens.functions.predicates import (
-    header_likeness,
     is_comment_line,
-    is_datetime,
+    is_datetime_text,
     is_null_token,
     is_numeric,
     strip,
+    text_likeness,
     to_number,
 )
 from tabulens.functions.scoring import finite, ratio
-from tabulens.operators.typescores import dominant, is_categorical, type_scores
+from tabulens.operators.typescores import dominant_score, is_categorical
 from tabulens.sources import formats
 
 # Scan depth, look-ahead, weights of the candidate score, thresholds.
@@ -40,77 +40,136 @@ TINY = 1e-9
 NO_TIME = ("NaT", "nat", "NAT", "nan", "NaN", "NAN")
 
 
-def _cell(field: Column) -> Column:
+def _texts(fields: Column) -> Column:
+    """Every field with its trimmed text, computed once for all that is asked about it later."""
+    return F.transform(fields, lambda f: F.struct(f.alias("field"), strip(f).alias("text")))
+
+
+def _cell(item: Column) -> Column:
     """What scoring needs to know about one field; null for a missing value."""
-    text = strip(field)
-    number = is_numeric(text)
+    field, text = item.getField("field"), item.getField("text")
     return F.when(
         ~is_null_token(field),
         F.struct(
             text.alias("text"),
-            number.alias("numeric"),
-            (~number & is_datetime(text)).alias("datetime"),
+            is_numeric(text).alias("numeric"),
+            (~is_numeric(text) & is_datetime_text(text)).alias("datetime"),
             F.length(text).alias("size"),
             finite(to_number(field)).alias("number"),
         ),
     )
 
 
-def _token(field: Column) -> Column:
-    text = strip(field)
+def _token(item: Column) -> Column:
+    text = item.getField("text")
     # A blank parses as "no time" instead of failing, hence counts as a date here and only here.
     return F.struct(
         text.alias("text"),
-        header_likeness(text).alias("likeness"),
+        text_likeness(text).alias("likeness"),
         is_numeric(text).alias("numeric"),
-        (is_datetime(text) | (text == "") | text.isin(*NO_TIME)).alias("datetime"),
+        ((text == "") | text.isin(*NO_TIME) | is_datetime_text(text)).alias("datetime"),
     )
 
 
-def _judged_entry(mode: str, max_scan: int, delimiter: Column):
+def _judged_entries(files: DataFrame, mode: str, max_scan: int) -> DataFrame:
     """Split a line once and judge every field once, however many candidate blocks it falls into."""
+    delimiter = F.col("delimiter")
 
-    def judge(entry: Column) -> Column:
+    def split(entry: Column) -> Column:
         line = entry.getField("line")
+        is_candidate = entry.getField("row") <= max_scan
         fields = split_by(line, delimiter)
-        tokens = fields if mode == "robust" else split_by(line, delimiter, quotes=False)
-        candidate = entry.getField("row") <= max_scan
         return F.struct(
             entry.getField("row").alias("row"),
             entry.getField("line_no").alias("line_no"),
             line.alias("line"),
             is_comment_line(line).alias("comment"),
-            F.when(candidate, fields).alias("fields"),
-            F.transform(fields, _cell).alias("cells"),
-            F.when(candidate, F.transform(tokens, _token)).alias("tokens"),
+            fields.alias("fields"),
+            *([F.when(is_candidate, split_by(line, delimiter, quotes=False)).alias("raw")] if mode != "robust" else []),
         )
 
-    return judge
-
-
-def _column_summary(cells: Column) -> Column:
-    """Dominant type share and spread of numbers of one column of a block (at most ``look_ahead`` cells)."""
-    present = F.filter(cells, lambda c: c.isNotNull())
-    filled = F.filter(present, lambda c: c.getField("text") != "")
-    numbers = F.filter(F.transform(present, lambda c: c.getField("number")), lambda x: x.isNotNull())
-    n = F.size(filled)
-    distinct = F.size(F.array_distinct(F.transform(filled, lambda c: c.getField("text"))))
-    length = F.aggregate(filled, F.lit(0), lambda acc, c: acc + c.getField("size"))
-    mean = F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x) / F.size(numbers)
-    spread = F.sqrt(F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / F.size(numbers))
-    scores = type_scores(
-        n,
-        F.size(F.filter(filled, lambda c: c.getField("numeric"))),
-        F.size(F.filter(filled, lambda c: c.getField("datetime"))),
-        is_categorical(n, distinct, ratio(length, n)),
-    )
-    return F.struct(
-        F.size(present).alias("present"),
-        dominant(scores).alias("dominant"),
-        F.when(F.size(numbers) > 0, spread).otherwise(0.0).alias("spread"),
-        # A missing cell reads as "nan", which is a number to the parser.
-        F.coalesce(F.get(cells, F.lit(0)).getField("numeric"), F.lit(True)).alias("first_numeric"),
+    def trim(entry: Column) -> Column:
+        is_candidate = entry.getField("row") <= max_scan
+        tokens = entry.getField("fields" if mode == "robust" else "raw")
+        return F.struct(
+            *[entry.getField(c).alias(c) for c in ("row", "line_no", "line", "comment")],
+            F.when(is_candidate, entry.getField("fields")).alias("fields"),
+            _texts(entry.getField("fields")).alias("cells"),
+            F.when(is_candidate, _texts(tokens)).alias("tokens"),
+        )
+
+    def judge(entry: Column) -> Column:
+        return F.struct(
+            *[entry.getField(c).alias(c) for c in ("row", "line_no", "line", "comment", "fields")],
+            F.transform(entry.getField("cells"), _cell).alias("cells"),
+            F.transform(entry.getField("tokens"), _token).alias("tokens"),
+        )
+
+    steps = F.transform(F.transform(F.transform("entries", split), trim), judge)
+    return files.withColumn("entries", steps)
+
+
+def _column_summaries(block: Column, first: Column, last: Column) -> Column:
+    """Dominant type share and spread of numbers of every column of a block of at most ``look_ahead`` rows.
+
+    Each step binds its results as fields, so that the next one refers to them instead of repeating them.
+    """
+
+    def present(cells: Column) -> Column:
+        return F.struct(
+            # A missing cell reads as "nan", which is a number to the parser.
+            F.coalesce(F.get(cells, F.lit(0)).getField("numeric"), F.lit(True)).alias("first_numeric"),
+            F.filter(cells, lambda c: c.isNotNull()).alias("cells"),
+        )
+
+    def filled(c: Column) -> Column:
+        numbers = F.transform(c.getField("cells"), lambda x: x.getField("number"))
+        return F.struct(
+            c.getField("first_numeric").alias("first_numeric"),
+            F.size(c.getField("cells")).alias("present"),
+            F.filter(c.getField("cells"), lambda x: x.getField("text") != "").alias("cells"),
+            F.filter(numbers, lambda x: x.isNotNull()).alias("numbers"),
+        )
+
+    def counted(c: Column) -> Column:
+        cells, numbers = c.getField("cells"), c.getField("numbers")
+        return F.struct(
+            *[c.getField(f).alias(f) for f in ("first_numeric", "present", "numbers")],
+            F.size(cells).alias("n"),
+            F.size(F.filter(cells, lambda x: x.getField("numeric"))).alias("numeric"),
+            F.size(F.filter(cells, lambda x: x.getField("datetime"))).alias("datetime"),
+            F.size(F.array_distinct(F.transform(cells, lambda x: x.getField("text")))).alias("distinct"),
+            F.aggregate(cells, F.lit(0), lambda acc, x: acc + x.getField("size")).alias("length"),
+            F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x).alias("sum"),
+        )
+
+    def shares(c: Column) -> Column:
+        n, distinct = c.getField("n"), c.getField("distinct")
+        categorical = is_categorical(n, distinct, ratio(c.getField("length"), n))
+        return F.struct(
+            *[c.getField(f).alias(f) for f in ("first_numeric", "present", "numbers", "n")],
+            ratio(c.getField("numeric"), n).alias("numeric"),
+            ratio(c.getField("datetime"), n).alias("datetime"),
+            F.when(categorical, 1.0).otherwise(0.0).alias("categorical"),
+            F.try_divide(c.getField("sum"), F.size(c.getField("numbers"))).alias("mean"),
+        )
+
+    def summary(c: Column) -> Column:
+        numbers, mean = c.getField("numbers"), c.getField("mean")
+        squares = F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
+        shares_of = [c.getField(f) for f in ("n", "numeric", "datetime", "categorical")]
+        return F.struct(
+            *[c.getField(f).alias(f) for f in ("first_numeric", "present")],
+            dominant_score(*shares_of).alias("dominant"),
+            F.coalesce(F.sqrt(F.try_divide(squares, F.size(numbers))), F.lit(0.0)).alias("spread"),
+        )
+
+    columns = F.transform(
+        F.sequence(first, last), lambda at: F.transform(block, lambda e: F.get(e.getField("cells"), at))
     )
+    for step in (present, filled, counted, shares, summary):
+        columns = F.transform(columns, step)
+    return columns
 
 
 def _blocks(
@@ -121,9 +180,7 @@ def _blocks(
     Columns are named by the candidate line. Extra leading fields of the first data row are an index; a
     later row wider than that cannot be parsed.
     """
-    files = formats.file_heads(head, mode, max_scan + look_ahead + 1).withColumn(
-        "entries", F.transform("entries", _judged_entry(mode, max_scan, F.col("delimiter")))
-    )
+    files = _judged_entries(formats.file_heads(head, mode, max_scan + look_ahead + 1), mode, max_scan)
     candidates = files.select(
         "file_id",
         "delimiter",
@@ -147,10 +204,7 @@ def _blocks(
             "columns",
             F.when(
                 F.col("parsed"),
-                F.transform(
-                    F.sequence(F.col("shift"), F.col("widest") - 1),
-                    lambda at: _column_summary(F.transform("block", lambda e: F.get(e.getField("cells"), at))),
-                ),
+                _column_summaries(F.col("block"), F.col("shift"), F.col("widest") - 1),
             ),
         )
         .drop("block")

@@ -34,7 +34,8 @@ def type_scores(n: Column, numeric: Column, datetime: Column, categorical: Colum
     return F.struct(*[ratio(score, total).alias(name) for name, score in raw.items()])
 
 
-def dominant(scores: Column) -> Column:
-    return F.greatest(
-        scores.getField("numeric"), scores.getField("datetime"), scores.getField("categorical"), scores.getField("text")
-    )
+def dominant_score(n: Column, numeric: Column, datetime: Column, categorical: Column) -> Column:
+    """The largest of the four scores, from shares that are plain references."""
+    top = F.greatest(numeric, datetime, categorical)
+    total = numeric + datetime + categorical + 1.0 - top
+    return F.when(n > 0, F.greatest(top, 1.0 - top) / total).otherwise(F.lit(0.0))

@@ -43,13 +43,11 @@ def raw_preview(lines: DataFrame, n: int = 20) -> DataFrame:
     )
 
 
-def _count_stats(line: Column, mode: str, candidates: tuple[str, ...]) -> list[Column]:
-    used = ~is_comment_line(line) if mode == "robust" else F.lit(True)
-    stats = []
-    for i, delimiter in enumerate(candidates):
-        count = F.when(used, field_count(line, delimiter))
-        stats += [F.avg(count).alias(f"mean_{i}"), F.stddev_pop(count).alias(f"std_{i}")]
-    return stats
+def _with_counts(head: DataFrame, mode: str, candidates: tuple[str, ...]) -> DataFrame:
+    used = ~is_comment_line(F.col("line")) if mode == "robust" else F.lit(True)
+    return head.withColumns(
+        {f"count_{i}": F.when(used, field_count(F.col("line"), d)) for i, d in enumerate(candidates)}
+    )
 
 
 def _best(mode: str, candidates: tuple[str, ...]) -> Column:
@@ -80,9 +78,11 @@ def file_heads(
     best, names = F.col("best"), F.array(*[F.lit(d) for d in candidates])
     found = best.getField("score").isNotNull()
     return (
-        head.groupBy("file_id")
+        _with_counts(head, mode, candidates)
+        .groupBy("file_id")
         .agg(
-            *_count_stats(F.col("line"), mode, candidates),
+            *[F.avg(f"count_{i}").alias(f"mean_{i}") for i in range(len(candidates))],
+            *[F.stddev_pop(f"count_{i}").alias(f"std_{i}") for i in range(len(candidates))],
             *([F.sort_array(F.collect_list(entry)).alias("entries")] if lines else []),
         )
         .withColumn("best", _best(mode, candidates))
