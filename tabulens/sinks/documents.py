@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tabulens.operators.anomaly import CHUNK_KEY
 
+# Values are written as they are: spaces kept, quotes doubled.
+CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def write_chunks(scored: DataFrame, path: str, folders: bool = True) -> None:
     """Write rows with their ``_chunk_id`` and ``_anomaly_score`` as delimited files with a header.
@@ -16,9 +19,9 @@ def write_chunks(scored: DataFrame, path: str, folders: bool = True) -> None:
     """
     flat = scored.drop(*[c for c, t in scored.dtypes if t.startswith(("map", "array", "struct"))])
     if folders:
-        flat.repartition(CHUNK_KEY).write.mode("overwrite").partitionBy(CHUNK_KEY).csv(path, header=True)
+        flat.repartition(CHUNK_KEY).write.mode("overwrite").partitionBy(CHUNK_KEY).csv(path, **CSV_OPTIONS)
     else:
-        flat.repartitionByRange(CHUNK_KEY).write.mode("overwrite").csv(path, header=True)
+        flat.repartitionByRange(CHUNK_KEY).write.mode("overwrite").csv(path, **CSV_OPTIONS)
 
 
 def chunk_metadata(

@@ -141,7 +141,9 @@ def a8(spark, sf):
 @query("A9_typed_scan")
 def a9(spark, sf):
     path = fresh_folder(spark, "typed")
-    fx.dirty_orders(spark, sf).withColumnRenamed("_row_idx", "k").write.csv(path, header=True, quoteAll=True)
+    fx.dirty_orders(spark, sf).withColumnRenamed("_row_idx", "k").write.csv(
+        path, header=True, quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
     table = typed.read_typed(spark, path)
     return table.select(*[r6(c) if t == "double" else c for c, t in table.dtypes])
 
@@ -180,7 +182,7 @@ def b2(spark, sf):
         F.col("column_types.amount").alias("amount_type"),
         amount.getField("null_rate").alias("amount_null_rate"),
         amount.getField("unique_count").alias("amount_unique"),
-        F.round(amount.getField("entropy"), 5).alias("amount_entropy"),
+        amount.getField("entropy").alias("amount_entropy"),
         F.round(F.aggregate("anomaly.row_score", F.lit(0.0), lambda a, x: a + x), 4).alias("score_sum"),
     )
 
@@ -341,7 +343,7 @@ def e2(spark, sf):
 
 @query("E4_entropy")
 def e4(spark, sf):
-    return profile.entropies(hist(spark, sf)).select("column", F.round("entropy", 5).alias("entropy"))
+    return profile.entropies(hist(spark, sf)).select("column", "entropy")
 
 
 @query("E5_top_values")
@@ -370,7 +372,7 @@ def e8(spark, sf):
         "unique_count",
         "unique_ratio",
         *[F.round(f"type_scores.{t}", 6).alias(t) for t in ("numeric", "datetime", "categorical", "text")],
-        F.round("entropy", 5).alias("entropy"),
+        "entropy",
         F.concat_ws("~", "top_samples").alias("top_samples"),
         "is_id_like",
         "avg_length",
@@ -392,7 +394,7 @@ def e8_wide(spark, sf):
         "column", F.col("distinct").alias("unique_count"), profile._entropy().alias("entropy"),
         F.round(profile._mean_length(), 3).alias("avg_length"), profile._id_like().alias("is_id_like"),
         profile._column_type().alias("column_type"),
-    ).withColumn("entropy", F.round("entropy", 5))
+    )
 
 
 @query("E9_column_types")
@@ -763,7 +765,7 @@ def k1(spark, sf):
     run = microbatch.profile_stream(text, out, fresh_folder(spark, "progress"))
     run.awaitTermination()
     return spark.read.parquet(f"{out}/profiles").select(
-        "batch_id", "column", "null_rate", "unique_count", F.round("entropy", 5).alias("entropy"), "avg_length", "is_id_like", "column_type"
+        "batch_id", "column", "null_rate", "unique_count", "entropy", "avg_length", "is_id_like", "column_type"
     ).withColumn("batch_id", F.col("batch_id").cast("long"))
 
 
