@@ -220,7 +220,7 @@ h AS (SELECT chunk_id, amount AS v, count(*) AS c FROM clean_chunk WHERE amount
 e AS (SELECT chunk_id, count(*) AS u, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS entropy FROM h GROUP BY 1)""".replace(
         "clean_chunk", "(SELECT _row_idx // 1000 AS chunk_id, amount FROM clean)"
     ),
-    """SELECT m.chunk_id, 'orders' AS source_file, min(_row_idx) AS row_offset, count(*) AS chunk_rows, 8 AS n_columns,
+    """SELECT m.chunk_id, 'orders' AS source_file, min(_row_idx) AS row_offset, count(*) AS chunk_rows, CAST(8 AS BIGINT) AS n_columns,
   'numeric' AS amount_type, round(1 - count(amount) / count(*), 6) AS amount_null_rate, any_value(u) AS amount_unique,
   round(any_value(entropy), 6) AS amount_entropy, round(sum(score), 4) AS score_sum
 FROM marked m JOIN e ON e.chunk_id = m.chunk_id GROUP BY m.chunk_id""",
@@ -552,7 +552,7 @@ define(
     """v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
 n AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS norm FROM v),
 s AS (SELECT label, i, sum(x / norm) AS s, count(*) AS n FROM n GROUP BY 1, 2)""",
-    "SELECT label, max(n) AS n, round((sum(s * s) - max(n)) / (CAST(max(n) AS DOUBLE) * (max(n) - 1)), 5) AS semantic_consistency FROM s GROUP BY label",
+    "SELECT CAST(label AS BIGINT) AS label, max(n) AS n, round((sum(s * s) - max(n)) / (CAST(max(n) AS DOUBLE) * (max(n) - 1)), 5) AS semantic_consistency FROM s GROUP BY label",
 )
 
 
@@ -836,7 +836,7 @@ hist AS (SELECT col, v, count(*) AS c FROM cells GROUP BY col, v),
 facts AS (SELECT col, sum(c) AS n, count(*) AS d, sum(c * length(v)) / sum(c) AS mean_length,
   sum(CASE WHEN regexp_matches(v, '^[0-9]+$') THEN c ELSE 0 END) / sum(c) AS digits, sum(CASE WHEN regexp_matches(v, '^[a-zA-Z0-9]+$') THEN c ELSE 0 END) / sum(c) AS alnum,
   count(TRY_CAST(v AS DOUBLE)) AS castable, sum(CASE WHEN {is_date('v')} THEN c ELSE 0 END) AS dates, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS entropy FROM hist GROUP BY col)""",
-    f'SELECT 0 AS batch_id, col AS "column", 0.0 AS null_rate, d AS unique_count, round(entropy, 6) AS entropy, round(mean_length, 3) AS avg_length, {ID_LIKE} AS is_id_like, {TYPE} AS column_type FROM facts',
+    f'SELECT CAST(0 AS BIGINT) AS batch_id, col AS "column", CAST(0 AS DOUBLE) AS null_rate, d AS unique_count, round(entropy, 6) AS entropy, round(mean_length, 3) AS avg_length, {ID_LIKE} AS is_id_like, {TYPE} AS column_type FROM facts',
 )
 define(
     "K2_window_profile",

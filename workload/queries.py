@@ -35,9 +35,14 @@ QUERIES: dict[str, Query] = {}
 DIRTY = ["order_id", "customer_id", "status", "amount", "order_date", "priority", "note"]
 
 
+def _wide_integers(df: DataFrame) -> DataFrame:
+    narrow = [c for c, t in df.dtypes if t in ("int", "smallint", "tinyint")]
+    return df.withColumns({c: F.col(f"`{c}`").cast("long") for c in narrow}) if narrow else df
+
+
 def query(name: str) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
-        QUERIES[name] = f
+        QUERIES[name] = lambda spark, sf_dir: _wide_integers(f(spark, sf_dir))
         return f
 
     return register
@@ -678,7 +683,9 @@ def commerce_graph(spark, sf):
 
 @query("J1_semantic_types")
 def j1(spark, sf):
-    found = graph.semantic_types(facts(spark, sf).unionByName(commerce_types(spark, sf)[1].select(*facts(spark, sf).columns)))
+    t = fx.commerce(spark, sf)
+    both = facts(spark, sf).unionByName(tablefacts.table_facts(t, "commerce", "_row_idx", outliers=False))
+    found = graph.semantic_types(both)
     return found.select("table", "column", "semantic_type", r6("type_confidence"), "is_primary_key", "is_foreign_key")
 
 
