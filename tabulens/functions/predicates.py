@@ -15,6 +15,8 @@ NULL_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+WHITE_SPACE = " \t\n\r\x0b\x0c"
+
 # Text a line starts with when it is a comment.
 COMMENT_PREFIXES = ("#", "//", "--", "/*", "<!--", ";", "%")
 
@@ -57,6 +59,10 @@ OTHER_SHAPES = "|".join(
     )
 )
 
+# The shortest and longest texts that any shape can match, and all shapes in one pattern.
+MIN_DATE_LENGTH, MAX_DATE_LENGTH = 4, 48
+ANY_SHAPE = "|".join((YEAR_FIRST_SHAPE, YEAR_LAST_SHAPE, COMPACT_SHAPE, OTHER_SHAPES))
+
 
 def is_null_token(value: Column) -> Column:
     return value.isin(*NULL_TOKENS)
@@ -73,7 +79,7 @@ def is_blank(value: Column) -> Column:
 
 def strip(value: Column) -> Column:
     """Remove white space at both ends, tabs and line ends included."""
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+    return F.btrim(value, F.lit(WHITE_SPACE))
 
 
 def without_commas(value: Column) -> Column:
@@ -109,16 +115,16 @@ def is_datetime(value: Column) -> Column:
 def is_datetime_text(text: Column) -> Column:
     """The same for a text without surrounding spaces.
 
-    The shape test comes first, so that only texts that look like a date are parsed. Month first is tried
-    before day first.
+    Length and one pattern for all shapes come first, so that only texts that look like a date are parsed.
+    Month first is tried before day first.
     """
-    # All shapes hold a digit, so texts without one are decided by the first branch.
     return (
-        F.when(~text.rlike(r"\d"), F.lit(False))
+        F.when(~F.length(text).between(MIN_DATE_LENGTH, MAX_DATE_LENGTH), F.lit(False))
+        .when(~text.rlike(ANY_SHAPE), F.lit(False))
         .when(text.rlike(YEAR_FIRST_SHAPE), _is_calendar_day(text, YEAR_FIRST_PARTS, "$1-$2-$3"))
         .when(text.rlike(YEAR_LAST_SHAPE), _is_calendar_day(text, YEAR_LAST_PARTS, "$3-$1-$2", "$3-$2-$1"))
         .when(text.rlike(COMPACT_SHAPE), _is_calendar_day(text, COMPACT_PARTS, "$1-$2-$3"))
-        .otherwise(text.rlike(OTHER_SHAPES))
+        .otherwise(F.lit(True))
     )
 
 

@@ -32,6 +32,8 @@ TEMPORAL_WEIGHT = 0.7
 CORRELATION_THRESHOLD = 0.7
 SAMPLE_VALUES = 5
 DATE_SHARE = 0.8
+# Pairs of columns that are correlated by one aggregate.
+MAX_AGGREGATED_PAIRS = 120
 
 NODE_COLUMNS = ("graph", "id", "name", "entity_type", "properties")
 EDGE_COLUMNS = ("graph", "src", "dst", "relation_type", "weight", "properties")
@@ -199,31 +201,58 @@ def reference_edges(typed: DataFrame, qualified: bool = False) -> DataFrame:
     )
 
 
-def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``left, right, r``: Pearson correlation of all column pairs over rows that have both values.
+def _one_aggregate(df: DataFrame, values: dict[str, Column], pairs: list[tuple[str, str]], complete: set[str]) -> DataFrame:
+    """All pairs as one row of aggregates. Columns without a missing value share their deviation."""
 
-    The pairs of a row are grouped by pair number, of which there are few, so each task sends one row per
-    pair. A constant column has no correlation.
-    """
-    pairs = list(combinations(columns, 2))
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "left string, right string, r double")
+    def spread(x: str, y: str) -> Column:
+        return F.stddev_pop(values[x] if y in complete else F.when(values[y].isNotNull(), values[x]))
+
+    wide = df.agg(
+        *[F.covar_pop(values[a], values[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)],
+        *[spread(a, b).alias(f"s{i}") for i, (a, b) in enumerate(pairs)],
+        *[spread(b, a).alias(f"t{i}") for i, (a, b) in enumerate(pairs)],
+    )
+    rows = [
+        F.struct(
+            F.lit(a).alias("left"), F.lit(b).alias("right"),
+            F.try_divide(F.col(f"c{i}"), F.col(f"s{i}") * F.col(f"t{i}")).alias("r"),
+        )
+        for i, (a, b) in enumerate(pairs)
+    ]
+    return wide.select(F.inline(F.array(*rows)))
 
-    def value(c: str) -> Column:
-        x = quoted(c).cast("double")
-        return F.when(~F.isnan(x), x)
 
-    items = [F.struct(F.lit(i).alias("pair"), value(a).alias("x"), value(b).alias("y")) for i, (a, b) in enumerate(pairs)]
+def _by_pair_number(df: DataFrame, values: dict[str, Column], pairs: list[tuple[str, str]]) -> DataFrame:
+    """All pairs as groups, for tables so wide that one aggregate per pair would not compile."""
+    items = [F.struct(F.lit(i).alias("pair"), values[a].alias("x"), values[b].alias("y")) for i, (a, b) in enumerate(pairs)]
     found = (
         df.select(F.inline(F.array(*items)))
         .where(F.col("x").isNotNull() & F.col("y").isNotNull())
         .groupBy("pair")
-        .agg(
-            F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("r")
-        )
+        .agg(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("r"))
     )
     names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, left string, right string")
-    return names.join(found, "pair").select("left", "right", "r")
+    return names.join(found, "pair", "left").select("left", "right", "r")
+
+
+def correlations(df: DataFrame, columns: list[str], complete: set[str] | None = None) -> DataFrame:
+    """``left, right, r``: Pearson correlation of all column pairs over rows that have both values.
+
+    One pass over the table; each task sends a few numbers per pair. ``complete`` names columns known to have no
+    missing value; without it they are found by a count. A constant column has no correlation.
+    """
+    pairs = list(combinations(columns, 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "left string, right string, r double")
+    floating = {c for c, t in df.dtypes if t in ("double", "float")}
+    values = {c: quoted(c).cast("double") for c in columns}
+    values = {c: F.when(~F.isnan(v), v) if c in floating else v for c, v in values.items()}
+    if len(pairs) > MAX_AGGREGATED_PAIRS:
+        return _by_pair_number(df, values, pairs)
+    if complete is None:
+        counts = df.agg(F.count(F.lit(1)), *[F.count(values[c]) for c in columns]).first()
+        complete = {c for c, n in zip(columns, counts[1:]) if n == counts[0]}
+    return _one_aggregate(df, values, pairs, complete)
 
 
 def _named(table: str, column: str, qualified: bool) -> Column:

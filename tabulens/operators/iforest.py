@@ -63,39 +63,48 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator) -> list[tuple[int, int, f
 
 
 class Forest:
-    """Flat arrays of all trees, for scoring whole batches at once."""
+    """All trees as perfect binary trees of equal depth, for scoring whole batches without branches.
+
+    The children of slot ``i`` are ``2i + 1`` and ``2i + 2``. A leaf above the bottom sends everything to its left
+    child, so every row takes the same number of steps and ends in a bottom slot that holds its path length.
+    """
 
     def __init__(self, nodes: pd.DataFrame, subsample: int):
+        self.depth = int(np.ceil(np.log2(max(subsample, 2))))
         trees = sorted(nodes["tree"].unique())
-        width = int(nodes["node"].max()) + 1
-        shape = (len(trees), width)
-        self.feature = np.full(shape, -1, np.int32)
-        self.threshold = np.zeros(shape)
-        self.left = np.zeros(shape, np.int32)
-        self.right = np.zeros(shape, np.int32)
-        self.length = np.zeros(shape)
-        tree = nodes["tree"].map({t: i for i, t in enumerate(trees)}).to_numpy()
-        node = nodes["node"].to_numpy()
-        for name in ("feature", "threshold", "left", "right", "length"):
-            getattr(self, name)[tree, node] = nodes[name].to_numpy()
+        slots, bottom = 2 ** (self.depth + 1) - 1, 2**self.depth - 1
+        self.feature = np.zeros((len(trees), slots), np.intp)
+        self.threshold = np.full((len(trees), slots), np.inf)
+        self.length = np.zeros((len(trees), slots - bottom))
+        for t, tree in enumerate(trees):
+            part = nodes[nodes["tree"] == tree].set_index("node")
+            pending = [(0, 0, 0)]
+            while pending:
+                node, slot, depth = pending.pop()
+                row = part.loc[node]
+                if row["feature"] < 0:
+                    for _ in range(self.depth - depth):
+                        slot = 2 * slot + 1
+                    self.length[t, slot - bottom] = row["length"]
+                else:
+                    self.feature[t, slot] = int(row["feature"])
+                    self.threshold[t, slot] = row["threshold"]
+                    pending.append((int(row["left"]), 2 * slot + 1, depth + 1))
+                    pending.append((int(row["right"]), 2 * slot + 2, depth + 1))
+        self.bottom = bottom
         self.scale = max(mean_path(subsample), 1e-12)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """2 ** (-mean path length / expected path length), higher is more anomalous."""
-        rows = np.arange(len(x))
-        total = np.zeros(len(x))
-        for feature, threshold, left, right, length in zip(
-            self.feature, self.threshold, self.left, self.right, self.length
-        ):
-            at = np.zeros(len(x), np.int32)
-            while True:
-                f = feature[at]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                go_left = x[rows, np.maximum(f, 0)] <= threshold[at]
-                at = np.where(inner, np.where(go_left, left[at], right[at]), at)
-            total += length[at]
+        n = len(x)
+        flat, rows = np.ascontiguousarray(x.T).ravel(), np.arange(n)
+        total = np.zeros(n)
+        for feature, threshold, length in zip(self.feature * n, self.threshold, self.length):
+            at = np.zeros(n, np.intp)
+            for _ in range(self.depth):
+                go_right = flat.take(feature.take(at) + rows) > threshold.take(at)
+                at = 2 * at + 1 + go_right
+            total += length.take(at - self.bottom)
         return np.power(2.0, -total / len(self.feature) / self.scale)
 
 
@@ -124,10 +133,14 @@ def fit(
 ) -> tuple[Forest, dict[str, float]] | None:
     """Grow a forest on the table's numeric expressions; ``None`` for fewer than ``MIN_ROWS`` rows.
 
-    Missing values are filled with the column's median; columns without any value are left out.
+    Missing values are filled with the column's median, which is only computed where values are missing; columns
+    without any value are left out.
     """
-    n = df.count()
-    medians = {c: m for c, m in exact_medians(df, features).items() if m is not None}
+    counts = df.agg(F.count(F.lit(1)), *[F.count(x) for x in features.values()]).first()
+    n, present = counts[0], dict(zip(features, counts[1:]))
+    incomplete = {c: x for c, x in features.items() if 0 < present[c] < n}
+    medians = {c: 0.0 for c in features if present[c] == n} | exact_medians(df, incomplete)
+    medians = {c: medians[c] for c in features if c in medians}
     if n < MIN_ROWS or not medians:
         return None
     names = list(medians)
@@ -147,15 +160,22 @@ def fit(
 
 
 def score(df: DataFrame, forest: Forest, features: dict[str, Column], medians: dict[str, float], name: str = "_iforest_score") -> DataFrame:
-    """Add the forest's score to every row; only the feature columns travel to Python."""
-    shipped = df.sparkSession.sparkContext.broadcast(forest)
+    """Add the forest's score to every row; only the feature columns travel to Python.
+
+    A table read as fewer partitions than there are cores is spread first, as scoring is what takes time; a
+    large table never is.
+    """
+    context = df.sparkSession.sparkContext
+    if df.rdd.getNumPartitions() < context.defaultParallelism:
+        df = df.repartition(context.defaultParallelism)
+    shipped = context.broadcast(forest)
 
-    def score_batches(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    @F.pandas_udf(DoubleType())
+    def scorer(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         model = shipped.value
         for columns in batches:
             yield pd.Series(model.score(np.column_stack([c.to_numpy() for c in columns])))
 
-    scorer = F.pandas_udf(score_batches, DoubleType(), F.PandasUDFType.SCALAR_ITER)
     filled = [F.coalesce(features[c].cast("double"), F.lit(m)) for c, m in medians.items()]
     return df.withColumn(name, scorer(*filled))
 
