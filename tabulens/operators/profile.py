@@ -9,15 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulens.functions.predicates import (
-    is_all_digits,
-    is_alphanumeric,
-    is_datetime,
-    is_numeric,
-    strip,
-    to_number,
-)
 from tabulens.functions.scoring import ratio
+from tabulens.operators.histogram import data_columns, is_digest, judged, unpivoted
 from tabulens.operators.typescores import (
     CATEGORICAL_MEAN_LENGTH,
     CATEGORICAL_RATIO,
@@ -34,28 +27,16 @@ TYPE_SHARE = 0.9
 TOP_VALUES = 10
 
 
-def _judged(hist: DataFrame) -> DataFrame:
-    """The histogram with everything that is decided per distinct value."""
-    value, text = F.col("value"), F.col("text")
-    return (
-        hist.withColumn("text", strip(value))
-        .withColumn("size", F.length(value))
-        .withColumn("filled", text != "")
-        .withColumn("numeric", is_numeric(text))
-        .withColumn("datetime", is_datetime(text))
-    )
-
-
 def facts(hist: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """One row per scope and column with all counts that the profile needs."""
-    cnt, value, text = F.col("cnt"), F.col("value"), F.col("text")
+    cnt, value = F.col("cnt"), F.col("value")
     present, filled, numeric, datetime = value.isNotNull(), F.col("filled"), F.col("numeric"), F.col("datetime")
 
     def total(condition: Column, what: Column = cnt) -> Column:
         return F.coalesce(F.sum(F.when(condition, what)), F.lit(0))
 
     return (
-        _judged(hist)
+        judged(hist)
         .groupBy(*scope, "column")
         .agg(
             F.sum(cnt).alias("rows"),
@@ -63,17 +44,17 @@ def facts(hist: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
             F.count(value).alias("distinct"),
             F.sum(F.when(present, cnt * F.log(cnt.cast("double")))).alias("count_log_sum"),
             total(present, cnt * F.col("size")).alias("length_sum"),
-            total(is_all_digits(value)).alias("digit_values"),
-            total(is_alphanumeric(value)).alias("alnum_values"),
-            total(to_number(value).isNotNull()).alias("castable_values"),
+            total(F.col("digits")).alias("digit_values"),
+            total(F.col("alnum")).alias("alnum_values"),
+            total(F.col("castable")).alias("castable_values"),
             total(numeric & present).alias("numeric_values"),
             total(present & (datetime | ~filled)).alias("datetime_values"),
             total(filled).alias("filled"),
             total(filled & numeric).alias("filled_numeric"),
             total(filled & ~numeric & datetime).alias("filled_datetime"),
-            total(filled, cnt * F.length(text)).alias("filled_length"),
+            total(filled, cnt * F.col("text_size")).alias("filled_length"),
             F.count(F.when(filled, 1)).alias("filled_distinct"),
-            F.count(F.when(filled & (value == text), 1)).alias("unpadded_distinct"),
+            F.count(F.when(filled & ~F.col("padded"), 1)).alias("unpadded_distinct"),
         )
     )
 
@@ -93,10 +74,13 @@ def _exact_text_distinct(hist: DataFrame, fact: DataFrame, scope: tuple[str, ...
         & (F.col("unpadded_distinct") < F.col("filled_distinct"))
         & (ratio(F.col("filled_length"), n) < CATEGORICAL_MEAN_LENGTH)
     )
+    # One row per column without a scope; within scopes the groups are as small as the scopes. Joining on the
+    # column alone would otherwise send all values of a column to one task.
+    asked = fact.where(open_question).select(*keys)
     recount = (
-        _judged(hist)
+        judged(hist)
         .where(F.col("filled"))
-        .join(fact.where(open_question).select(*keys), keys, "left_semi")
+        .join(asked if scope else F.broadcast(asked), keys, "left_semi")
         .select(*keys, "text")
         .distinct()
         .groupBy(*keys)
@@ -176,7 +160,7 @@ def entropies(hist: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
 
 
 def ranked_values(hist: DataFrame, scope: tuple[str, ...] = (), limit: int = TOP_VALUES) -> DataFrame:
-    """``scope..., column, rank, value, cnt``: most common first, then first seen.
+    """``scope..., column, rank, value, cnt, first_idx``: most common first, then first seen.
 
     The rank limit is applied per task before the exchange, so a column sends at most ``limit`` rows per task.
     """
@@ -185,15 +169,36 @@ def ranked_values(hist: DataFrame, scope: tuple[str, ...] = (), limit: int = TOP
         hist.where(F.col("value").isNotNull())
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= limit)
-        .select(*scope, "column", "rank", "value", "cnt")
+        .select(*scope, "column", "rank", "value", "cnt", "first_idx")
+    )
+
+
+def restore_values(
+    ranked: DataFrame, source: DataFrame, columns: list[str], scope: tuple[str, ...] = (), order: str = "_row_idx"
+) -> DataFrame:
+    """Put the texts of long values back, from the row each was first seen in.
+
+    Only those rows are read out of the table: without a scope they are at most ``limit`` per column and are
+    broadcast. Where no value is long, the empty side ends the join before the table is read.
+    """
+    wanted = ranked.where(is_digest(F.col("value"))).select(*scope, "column", F.col("first_idx").alias(order))
+    rows = wanted.select(*scope, order).distinct()
+    keys = [*scope, order]
+    found = source.join(rows if scope else F.broadcast(rows), keys, "left_semi")
+    cells = unpivoted(found, columns, keys).withColumnRenamed("value", "_text")
+    texts = cells.join(wanted if scope else F.broadcast(wanted), [*keys, "column"], "left_semi")
+    return (
+        ranked.join(texts.withColumnRenamed(order, "first_idx"), [*scope, "column", "first_idx"], "left")
+        .withColumn("value", F.when(is_digest(F.col("value")), F.col("_text")).otherwise(F.col("value")))
+        .select(*ranked.columns)
     )
 
 
-def top_values(hist: DataFrame, scope: tuple[str, ...] = (), limit: int = TOP_VALUES) -> DataFrame:
+def top_values(ranked: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """``scope..., column, top_samples`` from ranked values."""
     keys = [*scope, "column"]
     return (
-        ranked_values(hist, scope, limit)
-        .groupBy(*keys)
+        ranked.groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("ranked"))
         .select(*keys, F.transform("ranked", lambda v: v.getField("value")).alias("top_samples"))
     )
@@ -211,11 +216,25 @@ def column_types(hist: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     return facts(hist, scope).select(*scope, "column", _column_type().alias("column_type"))
 
 
-def column_profile(hist: DataFrame, scope: tuple[str, ...] = (), limit: int = TOP_VALUES) -> DataFrame:
-    """The full profile, one row per scope and column."""
+def column_profile(
+    hist: DataFrame,
+    scope: tuple[str, ...] = (),
+    limit: int = TOP_VALUES,
+    source: DataFrame | None = None,
+    columns: list[str] | None = None,
+    order: str = "_row_idx",
+) -> DataFrame:
+    """The full profile, one row per scope and column.
+
+    ``source`` is the table of the histogram and lets top values of long texts be shown as they are; without it
+    they are shown by their digest.
+    """
     keys = [*scope, "column"]
     exact = _exact_text_distinct(hist, facts(hist, scope), scope)
-    return exact.join(top_values(hist, scope, limit), keys, "left").select(
+    ranked = ranked_values(hist, scope, limit)
+    if source is not None:
+        ranked = restore_values(ranked, source, columns or data_columns(source, exclude=(*scope, order)), scope, order)
+    return exact.join(top_values(ranked, scope), keys, "left").select(
         *keys,
         F.col("rows"),
         _null_rate().alias("null_rate"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,26 +126,24 @@ def statistical_scores(
     ``scored`` is the table with ``_anomaly_score``; without it, shares of outlying values are used.
     """
     mine = facts.where(F.col("table") == table)
-    wide = mine.groupBy("table").agg(*[expr().alias(a) for a, expr in FROM_FACTS.items()], F.max("rows").alias("rows"))
-    wide = wide.where(F.col("rows") > 0)
-    columns = mine.orderBy("ordinal").where("is_numeric").select("column", "rows").collect()
-    long_enough = bool(columns) and columns[0]["rows"] >= MIN_POINTS
-    period = table_periodicity(df, [r["column"] for r in columns] if long_enough else [], order)
-    hierarchy = hierarchy_score(df, categorical_columns(facts, table))
-    extra = period.select(F.lit(table).alias("table"), "periodicity").join(
-        hierarchy.select(F.lit(table).alias("table"), "hierarchical_structure"), "table"
-    )
+    first = mine.where("rows > 0").orderBy("ordinal").select("column", "rows", "is_numeric").collect()
+    every = attribute_rows(df.sparkSession.createDataFrame([(table,)], "table string"), {})
+    if not first:
+        return every
+    long_enough = first[0]["rows"] >= MIN_POINTS
+    numeric = [r["column"] for r in first if r["is_numeric"]] if long_enough else []
+    from_facts = {a: expr for a, expr in FROM_FACTS.items() if scored is None or a != "anomaly_presence"}
+    parts = [
+        attribute_rows(
+            mine.groupBy("table").agg(*[expr().alias(a) for a, expr in from_facts.items()]),
+            {a: F.col(a) for a in from_facts},
+        ).where(F.col("attribute").isin(*from_facts))
+    ]
+    extra = [table_periodicity(df, numeric, order), hierarchy_score(df, categorical_columns(facts, table))]
     if scored is not None:
-        share = anomaly_share(scored).select(F.lit(table).alias("table"), "anomaly_presence")
-        wide = wide.drop("anomaly_presence").join(share, "table")
-    wide = wide.join(extra, "table")
-    evidence = [c for c in wide.columns if c not in ("table", "rows")]
-    found = attribute_rows(wide, {a: F.col(a) for a in evidence})
-    # An empty table has no row above; it scores 0 throughout.
-    every = df.sparkSession.createDataFrame([(table,)], "table string")
-    return (
-        attribute_rows(every, {})
-        .drop("score")
-        .join(found, ["table", "attribute"], "left")
-        .select("table", "attribute", F.coalesce("score", F.lit(0.0)).alias("score"))
-    )
+        extra.append(anomaly_share(scored))
+    for one in extra:
+        (name,) = one.columns
+        parts.append(one.select(F.lit(table).alias("table"), F.lit(name).alias("attribute"), F.col(name).alias("score")))
+    found = reduce(DataFrame.unionByName, parts).withColumnRenamed("score", "found").drop("table")
+    return every.join(found, "attribute", "left").select("table", "attribute", F.coalesce("found", "score").alias("score"))

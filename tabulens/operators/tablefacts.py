@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tabulens.functions.predicates import is_datetime
 from tabulens.functions.scoring import finite
+from tabulens.operators.histogram import LONG_VALUE, digest_key
 
 # Sample sizes of the value samples, fewest values for distribution statistics, outlier limit.
 VALUE_SAMPLE = 20
@@ -141,7 +142,11 @@ def distinct_stats(df: DataFrame, exclude: Iterable[str] = (), only: Iterable[st
     for family in ("long", "double", "timestamp_ntz", "string"):
         members = [f for f in fields if _family(f.dataType) == family]
         if members:
-            values = _unpivot_family(df, members, family).groupBy("column", "value").agg(F.lit(1).alias("one"))
+            cells = _unpivot_family(df, members, family)
+            if family == "string":  # long texts travel as digests
+                is_long = F.octet_length("value") > LONG_VALUE
+                cells = cells.withColumn("value", F.when(is_long, digest_key(F.col("value"))).otherwise(F.col("value")))
+            values = cells.groupBy("column", "value").agg(F.lit(1).alias("one"))
             counts.append(values.groupBy("column").agg(F.count(F.lit(1)).alias("distinct")))
     if not counts:
         return df.sparkSession.createDataFrame([], "column string, distinct long")

@@ -35,13 +35,15 @@ def ingest(
         raise ValueError("the isolation forest is fitted on the whole table: use scope='global'")
     keys = (anomaly.CHUNK_KEY,) if scope == "chunk" else ()
     chunked = with_chunks(df, row_idx, chunk_rows)
-    hist = histogram.value_histogram(chunked, histogram.data_columns(df), keys, row_idx)
+    columns = histogram.data_columns(df, exclude=(row_idx,))
+    hist = histogram.value_histogram(chunked, columns, keys, row_idx)
+    profiles = profile.column_profile(hist, keys, source=chunked, columns=columns, order=row_idx)
     rows, name = chunked, None
     if forest:
         features = {c: finite(to_number(quoted(c))) for c, t in df.dtypes if t == "string" and not c.startswith("_")}
         scored = iforest.isolation_scores(chunked, features, F.col(row_idx))
         rows, name = scored, "_iforest_score"
     marked = anomaly.score_rows(
-        rows, anomaly.scope_of(scope), columns=histogram.data_columns(df), iforest_score=name
+        rows, anomaly.scope_of(scope), columns=columns, iforest_score=name
     )
-    return Ingested(marked, profile.column_profile(hist, keys), tuple(anomaly.methods_used(forest)))
+    return Ingested(marked, profiles, tuple(anomaly.methods_used(forest)))

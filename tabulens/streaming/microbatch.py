@@ -10,11 +10,12 @@ from tabulens.operators import anomaly, histogram, profile
 
 
 def _rows_before(spark: SparkSession, out: str, batch_id: int) -> int:
-    """Rows of all earlier batches, from their own records, so that a repeated batch gets the same offset."""
+    """Rows of all earlier batches, from the record of the last one, so that a repeated batch gets the same offset."""
     if batch_id == 0:
         return 0
-    earlier = spark.read.schema("batch long, chunk_rows long").json(f"{out}/batches/*").where(F.col("batch") < batch_id)
-    return earlier.agg(F.coalesce(F.sum("chunk_rows"), F.lit(0))).first()[0]
+    schema = "batch long, row_offset long, chunk_rows long"
+    last = spark.read.schema(schema).json(f"{out}/batches/batch_{batch_id - 1}").first()
+    return last["row_offset"] + last["chunk_rows"]
 
 
 def profile_stream(
@@ -30,7 +31,7 @@ def profile_stream(
         batch = batch.persist()
         columns = histogram.data_columns(batch, exclude=(order,))
         hist = histogram.value_histogram(batch, columns, order=order)
-        profile.column_profile(hist).write.mode("overwrite").parquet(f"{out}/profiles/batch_id={batch_id}")
+        profile.column_profile(hist, source=batch, columns=columns, order=order).write.mode("overwrite").parquet(f"{out}/profiles/batch_id={batch_id}")
         if scores:
             marked = anomaly.mark_anomalies(batch, columns=columns)
             marked.write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")

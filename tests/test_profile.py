@@ -76,3 +76,19 @@ def test_number_rows(spark):
         assert [r._row_idx for r in numbered] == list(range(len(values)))
     dense = spark.range(10, 20).withColumnRenamed("id", "k")
     assert sorted(r._row_idx for r in rows.number_rows(dense, "k").collect()) == list(range(10))
+
+
+def test_long_values_travel_as_digests(spark):
+    long = ("a long text " * 40).strip()
+    values = [long, long, long + " ", "short", "7" * 300, "z" * 300, None, "short", "short", " " * 300]
+    df = spark.createDataFrame(list(enumerate(values)), "_row_idx long, v string")
+    hist = histogram.value_histogram(df)
+    assert max(len(r.value) for r in hist.where("value is not null").collect()) < 200
+    (row,) = profile.column_profile(hist, source=df).collect()
+    assert row.top_samples == ["short", long, long + " ", "7" * 300, "z" * 300, " " * 300]
+    assert row.unique_count == 6 and row.null_rate == 0.1
+    assert row.avg_length == pytest.approx(sum(len(v) for v in values if v) / 9, abs=1e-3)
+    assert row.type_scores.numeric == pytest.approx((1 / 8) / (1 / 8 + 7 / 8))
+    (row,) = profile.facts(hist).collect()
+    assert (row.filled, row.filled_distinct, row.unpadded_distinct) == (8, 5, 4)
+    assert (row.digit_values, row.alnum_values, row.castable_values) == (1, 5, 1)

@@ -155,6 +155,16 @@ facts AS (SELECT col, sum(c) AS n, count(*) AS d, sum(c * length(v)) / sum(c) AS
     f'SELECT col AS "column", d AS unique_count, round(entropy, 6) AS entropy, round(mean_length, 3) AS avg_length, {ID_LIKE} AS is_id_like, {TYPE} AS column_type FROM facts',
 )
 
+define(
+    "E8_text_profile",
+    "cells AS (" + " UNION ALL ".join(f"SELECT doc_id AS _row_idx, '{c}' AS col, {c} AS v FROM documents" for c in ("text", "lang", "source"))
+    + ")" + F[F.index(",\njudged AS"):],
+    f"""SELECT s.col AS "column", d AS unique_count, round(e.entropy, 6) AS entropy,
+  md5((SELECT string_agg(v, '~' ORDER BY rank) FROM ranked r WHERE r.col = s.col AND rank <= 10)) AS top_samples,
+  round(mean_length, 3) AS avg_length, {ID_LIKE} AS is_id_like, {TYPE} AS column_type, {SCORES4}
+FROM scores s JOIN ent e ON e.col = s.col""",
+)
+
 # ---- row anomalies ----
 
 NUMBERS = CLEAN + f""",

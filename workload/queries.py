@@ -353,7 +353,7 @@ def e4(spark, sf):
 
 @query("E5_top_values")
 def e5(spark, sf):
-    return profile.ranked_values(hist(spark, sf))
+    return profile.ranked_values(hist(spark, sf)).drop("first_idx")
 
 
 @query("E6_id_like")
@@ -402,6 +402,17 @@ def e8_wide(spark, sf):
     )
 
 
+@query("E8_text_profile")
+def e8_text(spark, sf):
+    """Documents with their whole texts; long values are grouped by digest and the ones shown are fetched back."""
+    t = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("_row_idx"), "text", "lang", "source")
+    found = profile.column_profile(histogram.value_histogram(t), source=t)
+    return found.select(
+        "column", "unique_count", "entropy", F.md5(F.concat_ws("~", "top_samples")).alias("top_samples"), "avg_length", "is_id_like", "column_type",
+        *[F.round(f"type_scores.{k}", 6).alias(k) for k in ("numeric", "datetime", "categorical", "text")],
+    )
+
+
 @query("E9_column_types")
 def e9(spark, sf):
     return profile.column_types(hist(spark, sf))
