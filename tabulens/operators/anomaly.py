@@ -177,12 +177,13 @@ def score_rows(
     scored, span = scope.attach(scored, ranges)
     z_norm = min_max(F.col("_mean_z"), span["z_low"], span["z_high"])
     gone = F.col("_missing_ratio")
+    ensemble = (1.0 - missing_weight) * z_norm + missing_weight * gone
     if iforest_score:
         half = (1.0 - missing_weight) / 2
-        iso_norm = min_max(F.col(iforest_score), span["iso_low"], span["iso_high"])
-        ensemble = half * z_norm + half * iso_norm + missing_weight * gone
-    else:
-        ensemble = (1.0 - missing_weight) * z_norm + missing_weight * gone
+        iso = F.col(iforest_score)
+        iso_norm = min_max(iso, span["iso_low"].cast("double"), span["iso_high"].cast("double"))
+        # A scope too small for a forest has no score and keeps the plain ensemble.
+        ensemble = F.when(iso.isNull(), ensemble).otherwise(half * z_norm + half * iso_norm + missing_weight * gone)
     by_length = LENGTH_WEIGHT * z_norm + LENGTH_MISSING_WEIGHT * gone
     marked = scored.withColumn(
         "_anomaly_score", F.when(F.col("_has_numbers"), ensemble).otherwise(by_length)

@@ -76,21 +76,23 @@ class Forest:
         self.feature = np.zeros((len(trees), slots), np.intp)
         self.threshold = np.full((len(trees), slots), np.inf)
         self.length = np.zeros((len(trees), slots - bottom))
+        parts = dict(list(nodes.groupby("tree")))
         for t, tree in enumerate(trees):
-            part = nodes[nodes["tree"] == tree].set_index("node")
+            part = parts[tree].sort_values("node")  # nodes are numbered 0, 1, ... within a tree
+            feature, threshold, left, right, length = (
+                part[c].tolist() for c in ("feature", "threshold", "left", "right", "length")
+            )
             pending = [(0, 0, 0)]
             while pending:
                 node, slot, depth = pending.pop()
-                row = part.loc[node]
-                if row["feature"] < 0:
-                    for _ in range(self.depth - depth):
-                        slot = 2 * slot + 1
-                    self.length[t, slot - bottom] = row["length"]
+                if feature[node] < 0:
+                    slot = (slot + 1) * 2 ** (self.depth - depth) - 1
+                    self.length[t, slot - bottom] = length[node]
                 else:
-                    self.feature[t, slot] = int(row["feature"])
-                    self.threshold[t, slot] = row["threshold"]
-                    pending.append((int(row["left"]), 2 * slot + 1, depth + 1))
-                    pending.append((int(row["right"]), 2 * slot + 2, depth + 1))
+                    self.feature[t, slot] = feature[node]
+                    self.threshold[t, slot] = threshold[node]
+                    pending.append((left[node], 2 * slot + 1, depth + 1))
+                    pending.append((right[node], 2 * slot + 2, depth + 1))
         self.bottom = bottom
         self.scale = max(mean_path(subsample), 1e-12)
 
@@ -187,3 +189,42 @@ def isolation_scores(df: DataFrame, features: dict[str, Column], key: Column, na
         return df.withColumn(name, F.lit(None).cast("double"))
     forest, medians = fitted
     return score(df, forest, features, medians, name)
+
+
+def chunk_isolation_scores(
+    df: DataFrame,
+    features: dict[str, Column],
+    chunk: tuple[str, ...] = ("_chunk_id",),
+    order: str = "_row_idx",
+    name: str = "_iforest_score",
+    trees: int = TREES,
+    subsample: int = SUBSAMPLE,
+    seed: int = SEED,
+) -> DataFrame:
+    """A forest of its own for every chunk; a chunk is bounded by its row count, so it fits one task.
+
+    Within a chunk, columns without any value are left out and missing values take the chunk's median. A chunk
+    of fewer than ``MIN_ROWS`` rows, or without numbers, gets null.
+    """
+    inputs = {f"_feature_{i}": x.cast("double") for i, x in enumerate(features.values())}
+    names = list(inputs)
+    schema = df.withColumn(name, F.lit(None).cast("double")).schema
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        x = rows[names].to_numpy(float)
+        x = x[:, ~np.isnan(x).all(axis=0)]
+        out = rows.drop(columns=names)
+        if len(x) < MIN_ROWS or not x.shape[1]:
+            return out.assign(**{name: None}).astype({name: "float64"})
+        x = np.where(np.isnan(x), np.nanmedian(x, axis=0), x)
+        psi = min(subsample, len(x))
+        nodes = []
+        for tree in range(trees):
+            rng = np.random.default_rng([seed, tree])
+            grown = grow_tree(x[rng.choice(len(x), psi, replace=False)], rng)
+            part = pd.DataFrame(grown, columns=["node", "feature", "threshold", "left", "right", "length"])
+            nodes.append(part.assign(tree=tree))
+        return out.assign(**{name: Forest(pd.concat(nodes), psi).score(x)})
+
+    return df.withColumns(inputs).groupBy(*chunk).applyInPandas(run, schema)

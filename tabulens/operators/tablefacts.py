@@ -131,6 +131,13 @@ def _unpivot_family(df: DataFrame, fields: list[T.StructField], family: str, ids
     return df.select(*ids, *columns).unpivot(list(ids), names, "column", "value").where(F.col("value").isNotNull())
 
 
+def approximate_distinct_stats(df: DataFrame, rsd: float, exclude: Iterable[str] = ()) -> DataFrame:
+    """``column, distinct`` by sketches: one pass without an exchange of values, within ``rsd`` of the truth."""
+    fields = data_fields(df, exclude)
+    wide = df.agg(*[F.approx_count_distinct(present(f), rsd).alias(f"distinct_{i}") for i, f in enumerate(fields)])
+    return _as_rows(wide, [f.name for f in fields], {"distinct": "long"})
+
+
 def distinct_stats(df: DataFrame, exclude: Iterable[str] = (), only: Iterable[str] | None = None) -> DataFrame:
     """``column, distinct``: exact counts, values grouped in their own type rather than as text.
 
@@ -234,15 +241,19 @@ def outlier_counts(df: DataFrame, stats: Iterable, limit: float = OUTLIER_Z) ->
     return _as_rows(wide, [r["column"] for r in usable], {"outliers": "long"})
 
 
-def table_facts(df: DataFrame, table: str, order: str, exclude: Iterable[str] = (), outliers: bool = True) -> DataFrame:
+def table_facts(
+    df: DataFrame, table: str, order: str, exclude: Iterable[str] = (), outliers: bool = True, approximate: float | None = None
+) -> DataFrame:
     """All facts of one table, one row per column, as a small local DataFrame.
 
-    Tables of a schema can be united afterwards: every score groups by ``table``.
+    Tables of a schema can be united afterwards: every score groups by ``table``. Distinct counts are exact
+    unless ``approximate`` gives a relative error to accept.
     """
     rows = {r["column"]: dict(r) for r in describe_schema(df, table, exclude)}
     if rows:
         stats = cell_stats(df, exclude).collect()
-        frames = [stats, distinct_stats(df, exclude).collect()]
+        counted = distinct_stats(df, exclude) if approximate is None else approximate_distinct_stats(df, approximate, exclude)
+        frames = [stats, counted.collect()]
         frames.append(head_stats(head_values(df, order, TEXT_SAMPLE, exclude)).collect())
         if outliers:
             frames.append(outlier_counts(df, stats).collect())

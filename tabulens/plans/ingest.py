@@ -28,11 +28,9 @@ def ingest(
 ) -> Ingested:
     """Profile and score a table of strings with a row number.
 
-    ``scope="chunk"`` treats every ``chunk_rows`` rows by themselves; ``"global"`` the table as a whole, where
-    ``forest`` adds an isolation forest to the ensemble.
+    ``scope="chunk"`` treats every ``chunk_rows`` rows by themselves; ``"global"`` the table as a whole.
+    ``forest`` adds an isolation forest, of the chunk or of the whole table, to the ensemble.
     """
-    if forest and scope == "chunk":
-        raise ValueError("the isolation forest is fitted on the whole table: use scope='global'")
     keys = (anomaly.CHUNK_KEY,) if scope == "chunk" else ()
     chunked = with_chunks(df, row_idx, chunk_rows)
     columns = histogram.data_columns(df, exclude=(row_idx,))
@@ -41,8 +39,11 @@ def ingest(
     rows, name = chunked, None
     if forest:
         features = {c: finite(to_number(quoted(c))) for c, t in df.dtypes if t == "string" and not c.startswith("_")}
-        scored = iforest.isolation_scores(chunked, features, F.col(row_idx))
-        rows, name = scored, "_iforest_score"
+        if scope == "chunk":
+            rows = iforest.chunk_isolation_scores(chunked, features, order=row_idx)
+        else:
+            rows = iforest.isolation_scores(chunked, features, F.col(row_idx))
+        name = "_iforest_score"
     marked = anomaly.score_rows(
         rows, anomaly.scope_of(scope), columns=columns, iforest_score=name
     )

@@ -24,9 +24,3 @@ def shared_root(spark: SparkSession) -> str:
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
-
-
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Let ``DataFrame.checkpoint`` use the shared folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_root(spark))

@@ -185,3 +185,9 @@ def test_small_tables_do_not_fail(spark, schema, rows):
     if not rows:
         assert set(scores.values()) == {0.0}
     assert seen.labels.count() == 15
+
+
+def test_approximate_counts(orders):
+    exact = {r["column"]: r.distinct for r in tablefacts.distinct_stats(orders).collect()}
+    near = {r["column"]: r.distinct for r in tablefacts.approximate_distinct_stats(orders, 0.01).collect()}
+    assert near == exact

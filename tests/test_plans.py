@@ -22,8 +22,10 @@ def test_ingest_by_chunk_and_as_a_whole(sample):
     forest = ingest.ingest(sample, scope="global", forest=True)
     assert forest.methods == ("z_score", "isolation_forest")
     assert forest.rows.orderBy(F.desc("_anomaly_score")).first()._row_idx == 2
-    with pytest.raises(ValueError):
-        ingest.ingest(sample, forest=True)
+    one_chunk = ingest.ingest(sample, forest=True)
+    assert one_chunk.rows.orderBy(F.desc("_anomaly_score")).first()._row_idx == 2
+    small_chunks = ingest.ingest(sample, chunk_rows=4, forest=True)  # too few rows for a forest
+    assert small_chunks.rows.where("_anomaly_score is null").count() == 0
 
 
 def test_chunk_sinks(spark, sample, tmp_path):
@@ -147,5 +149,7 @@ def test_chunk_offsets(spark):
 def test_entry_and_registry(spark):
     queries, oracle = entry_points.queries(), entry_points.oracle_sql()
     assert set(oracle) <= set(queries)
-    assert set(queries) - set(oracle) == {"B3_result_document", "F5_isolation_forest", "F6_forest_ensemble"}
+    assert set(queries) - set(oracle) == {
+        "B3_result_document", "F5_chunk_forest", "F5_isolation_forest", "F6_forest_ensemble",
+    }
     assert entry_points.entry(spark).count() == 15

@@ -458,6 +458,13 @@ def f5(spark, sf):
     return done.select("l_orderkey", "l_linenumber", F.round("_iforest_score", 6).alias("score"))
 
 
+@query("F5_chunk_forest")
+def f5_chunk(spark, sf):
+    t = rows.with_chunks(fx.table(spark, sf, "events").withColumnRenamed("event_id", "_row_idx"), chunk_rows=fx.CHUNK)
+    done = iforest.chunk_isolation_scores(t, {c: finite(F.col(c)) for c in ("user_id", "value")})
+    return done.select("_row_idx", F.round("_iforest_score", 6).alias("score"))
+
+
 @query("F6_anomaly_ensemble")
 def f6(spark, sf):
     return scored(spark, sf).select("_row_idx", F.round("_anomaly_score", 6).alias("score"))
