@@ -1,4 +1,4 @@
-"""Headline queries on whole tables: one warm-up, then the median of timed runs, one JSON line."""
+"""Headline queries on whole tables: one warm-up, then the median of one or more timed runs, one JSON line."""
 
 from __future__ import annotations
 
@@ -27,7 +27,7 @@ def run(query, spark, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "1"))
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
     spark = local_session(cpus=cpus, shuffle_partitions=cpus)
     times = {}

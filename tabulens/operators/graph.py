@@ -34,6 +34,7 @@ SAMPLE_VALUES = 5
 DATE_SHARE = 0.8
 # Pairs of columns that are correlated by one aggregate.
 MAX_AGGREGATED_PAIRS = 120
+PAIR_SCHEMA = "left string, right string, r double"
 
 NODE_COLUMNS = ("graph", "id", "name", "entity_type", "properties")
 EDGE_COLUMNS = ("graph", "src", "dst", "relation_type", "weight", "properties")
@@ -201,25 +202,36 @@ def reference_edges(typed: DataFrame, qualified: bool = False) -> DataFrame:
     )
 
 
-def _one_aggregate(df: DataFrame, values: dict[str, Column], pairs: list[tuple[str, str]], complete: set[str]) -> DataFrame:
-    """All pairs as one row of aggregates. Columns without a missing value share their deviation."""
+def _one_aggregate(df: DataFrame, values: dict[str, Column], pairs: list[tuple[str, str]]) -> DataFrame:
+    """All pairs as one row of aggregates.
 
-    def spread(x: str, y: str) -> Column:
-        return F.stddev_pop(values[x] if y in complete else F.when(values[y].isNotNull(), values[x]))
-
-    wide = df.agg(
-        *[F.covar_pop(values[a], values[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)],
-        *[spread(a, b).alias(f"s{i}") for i, (a, b) in enumerate(pairs)],
-        *[spread(b, a).alias(f"t{i}") for i, (a, b) in enumerate(pairs)],
-    )
-    rows = [
-        F.struct(
-            F.lit(a).alias("left"), F.lit(b).alias("right"),
-            F.try_divide(F.col(f"c{i}"), F.col(f"s{i}") * F.col(f"t{i}")).alias("r"),
-        )
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return wide.select(F.inline(F.array(*rows)))
+    A first pass finds means and missing values. Columns without a missing value are taken off their mean, so
+    that a pair of them needs one sum of products; other pairs are measured over the rows that have both.
+    """
+    total, *measured = df.agg(
+        F.count(F.lit(1)), *[f(v) for v in values.values() for f in (F.count, F.avg, F.min, F.max)]
+    ).first()
+    stats = {c: measured[4 * i : 4 * i + 4] for i, c in enumerate(values)}
+    complete = {c for c, (n, *_) in stats.items() if n == total > 0}
+    constant = {c for c, (n, _, low, high) in stats.items() if n == 0 or low == high}
+    number = {c: i for i, c in enumerate(values)}
+    pairs = [(a, b) for a, b in pairs if a not in constant and b not in constant]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
+    off = {c: values[c] - F.lit(stats[c][1]) for c in complete}
+    aggregates = {f"v{number[c]}": F.sum(x * x) for c, x in off.items()}
+    rows = []
+    for i, (a, b) in enumerate(pairs):
+        if a in complete and b in complete:
+            aggregates[f"c{i}"] = F.sum(off[a] * off[b])
+            spread = F.sqrt(F.col(f"v{number[a]}")) * F.sqrt(F.col(f"v{number[b]}"))
+        else:
+            aggregates[f"c{i}"] = F.covar_pop(values[a], values[b])
+            aggregates[f"s{i}"] = F.stddev_pop(F.when(values[b].isNotNull(), values[a]))
+            aggregates[f"t{i}"] = F.stddev_pop(F.when(values[a].isNotNull(), values[b]))
+            spread = F.col(f"s{i}") * F.col(f"t{i}")
+        rows.append(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.try_divide(F.col(f"c{i}"), spread).alias("r")))
+    return df.agg(*[x.alias(name) for name, x in aggregates.items()]).select(F.inline(F.array(*rows)))
 
 
 def _by_pair_number(df: DataFrame, values: dict[str, Column], pairs: list[tuple[str, str]]) -> DataFrame:
@@ -235,24 +247,19 @@ def _by_pair_number(df: DataFrame, values: dict[str, Column], pairs: list[tuple[
     return names.join(found, "pair", "left").select("left", "right", "r")
 
 
-def correlations(df: DataFrame, columns: list[str], complete: set[str] | None = None) -> DataFrame:
+def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """``left, right, r``: Pearson correlation of all column pairs over rows that have both values.
 
-    One pass over the table; each task sends a few numbers per pair. ``complete`` names columns known to have no
-    missing value; without it they are found by a count. A constant column has no correlation.
+    Each task sends a few numbers per pair. A constant column has no correlation: its pairs are null or left out.
     """
     pairs = list(combinations(columns, 2))
     if not pairs:
-        return df.sparkSession.createDataFrame([], "left string, right string, r double")
+        return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
     floating = {c for c, t in df.dtypes if t in ("double", "float")}
     values = {c: quoted(c).cast("double") for c in columns}
     values = {c: F.when(~F.isnan(v), v) if c in floating else v for c, v in values.items()}
-    if len(pairs) > MAX_AGGREGATED_PAIRS:
-        return _by_pair_number(df, values, pairs)
-    if complete is None:
-        counts = df.agg(F.count(F.lit(1)), *[F.count(values[c]) for c in columns]).first()
-        complete = {c for c, n in zip(columns, counts[1:]) if n == counts[0]}
-    return _one_aggregate(df, values, pairs, complete)
+    few = len(pairs) <= MAX_AGGREGATED_PAIRS
+    return _one_aggregate(df, values, pairs) if few else _by_pair_number(df, values, pairs)
 
 
 def _named(table: str, column: str, qualified: bool) -> Column:

@@ -165,7 +165,9 @@ def test_correlations(spark):
     df = spark.createDataFrame(rows, "a double, b double, c double, k double, d double")
     got = {(r.left, r.right): r.r for r in graph.correlations(df, list("abckd")).collect()}
     assert got["a", "b"] == pytest.approx(1) and got["a", "c"] == pytest.approx(-1)
-    assert got["a", "k"] is None
+    assert got.get(("a", "k")) is None
+    with_pairs = graph._by_pair_number(df, {c: F.col(c) for c in "abcd"}, [("a", "b"), ("a", "d")])
+    assert {(r.left, r.right): r.r for r in with_pairs.collect()} == pytest.approx({k: got[k] for k in (("a", "b"), ("a", "d"))})
     i = np.arange(0, 30, 3)
     assert got["a", "d"] == pytest.approx(np.corrcoef(i, i * i)[0, 1])
     edges = graph.correlation_edges(df, "t", list("abckd")).collect()
