@@ -196,11 +196,11 @@ def b2(spark, sf):
 def b3(spark, sf):
     table = anomaly.coerce_numeric(clean(spark, sf))
     seen = perceive.perceive(table, "orders")
-    decision = detected(spark, sf).drop("fields", "candidate_summary").orderBy("file_id").limit(1)
     summary = graph.graph_summary(seen.nodes, seen.edges)
-    return documents.result_document(
-        decision.withColumn("names", F.lit(None)).withColumn("candidate_summary", F.lit(None)), seen.labels, summary, "orders"
-    )
+    found = detected(spark, sf).withColumnRenamed("fields", "names")
+    # One document describes one file: the first by name.
+    first = found.agg(F.min_by(F.struct(*[F.col(c) for c in found.columns]), "file_id").alias("first")).select("first.*")
+    return documents.result_document(first, seen.labels, summary, "orders")
 
 
 @query("B4_graph_summary")
