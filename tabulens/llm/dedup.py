@@ -19,14 +19,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import quoted, table, written
+from tabulens.llm.common import GOLDEN, mixed, quoted, table, written
 from tabulens.llm.components import components
 
 #: Bands and rows a band: two sets of similarity 0.8 share no bucket with a chance of (1 - 0.8 ** ROWS) ** BANDS = 5e-6.
 BANDS, ROWS = 40, 6
 SHINGLE, PERCENT = 5, 80
 FIRST_CENTRES, MORE_CENTRES = 8, 8
-GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -38,13 +37,6 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, joined), np.uint64, len(joined)))
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A second, independent-looking hash of 64 bits (the finaliser of splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Sketcher:
     """One-permutation sketches with optimal densification, and their bands."""
 

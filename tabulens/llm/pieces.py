@@ -11,24 +11,30 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import quoted, table
+from tabulens.llm.common import GOLDEN, mixed, quoted, table
 from tabulens.llm.tokens import SPACE, public_path
 
 #: How sharp the choice is: weights are probabilities to this power; 0 makes all segmentations alike.
 THETA = 1.0
 SEED = 29
-#: Words whose sums a task remembers before it starts anew, and the characters of the longest of them.
-REMEMBERED, LONG = 40_000, 32
+#: Places that a task remembers before it starts anew, and the characters of the longest words among them.
+REMEMBERED, LONG = 600_000, 32
+#: Characters that are worked on together.
+TOGETHER = 1_000_000
 FEW = 24
+TINY = 1e-200
+MASK = 0xFFFFFFFFFFFFFFFF
+
 
 
 class PieceLattice:
@@ -43,7 +49,7 @@ class PieceLattice:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.texts: list[str | bytes] = []
+        self.raw: list[bytes] = []
         self.ids: dict[str, int] = {}
         self.bytes: dict[int, int] = {}
         scores: dict[str, float] = {}
@@ -51,98 +57,148 @@ class PieceLattice:
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.bytes[int(piece[1:-1], 16)] = i
-                self.texts.append(bytes([int(piece[1:-1], 16)]))
+                self.raw.append(bytes([int(piece[1:-1], 16)]))
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
-                self.texts.append("")
+                self.raw.append(b"")
             else:
                 self.ids[piece] = i
                 scores[piece] = model.get_score(i)
-                self.texts.append(piece.replace(SPACE, " "))
+                self.raw.append(piece.replace(SPACE, " ").encode())
         if len(self.bytes) != 256 or any(SPACE in p.lstrip(SPACE) or " " in p for p in self.ids):
             raise ValueError("the model lacks byte tokens or has spaces inside pieces")
         ranked = sorted(self.ids, key=lambda p: -scores[p])
         total = sum(1 / (FEW + r) for r in range(len(ranked) + 1))
-        # Pieces and their beginnings, as they stand in a text; a beginning that is no piece has no id.
+        # Pieces and their ends, as they stand in a text; an end that is no piece has no id.
         self.table: dict[str, tuple[int, float]] = {}
         for rank, piece in enumerate(ranked):
             written = piece.replace(SPACE, " ")
-            for end in range(1, len(written)):
-                self.table.setdefault(written[:end], (-1, 0.0))
+            for start in range(1, len(written)):
+                self.table.setdefault(written[start:], (-1, 0.0))
             self.table[written] = (self.ids[piece], (1 / ((FEW + rank) * total)) ** theta)
-        self.byte_share = (1 / ((FEW + len(ranked)) * total)) ** theta
         self.longest = max(map(len, self.ids))
-        self.known: dict[str, list] = {}
+        self.forget()
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids if len(p) > 1))
         # A space that the text itself holds as the space's sign is not a space: it stands apart, as bytes.
-        self.words = re.compile(rf"[{re.escape(alone)}\0{SPACE}]| +| *[^ {re.escape(alone)}\0{SPACE}]+" if alone else rf"[\0{SPACE}]| +| *[^ \0{SPACE}]+", re.S)
-
-    def forward(self, word: str) -> list[tuple[list[float], list[tuple[int, int | tuple[int, ...]]]]]:
-        """For every place of a word, the edges that end there: running sums of their weights, and (start, id or ids)."""
-        n, table, longest = len(word), self.table, self.longest
-        sums: list[list[float]] = [[] for _ in range(n + 1)]
-        edges: list[list] = [[] for _ in range(n + 1)]
-        mass, alone = 1.0, None
-        for start in range(n):
-            if start:
-                mass = sums[start][-1]
-                if mass < 1e-200:  # only shares count: all places that are still open are scaled alike
-                    for place in range(start, min(n, start + longest) + 1):
-                        sums[place] = [x * 1e200 for x in sums[place]]
-                    mass *= 1e200
-            alone = None
-            for end in range(start + 1, min(n, start + longest) + 1):
-                found = table.get(word[start:end])
-                if found is None:
+        apart = re.escape(alone) + "\0" + SPACE
+        self.words = re.compile(f"[{apart}]| *[^ {apart}]+| +", re.S)
+
+    def forget(self) -> None:
+        """Places are numbers; 0 is a word's start. ``first[i]:first[i + 1]`` are the edges that end at place i."""
+        self.known: dict[str, int] = {"": 0}
+        self.mass, self.first = array("d", [1.0]), array("q", [0, 0])
+        # Of each edge: running share of the weight at its end, the place it comes from, its token.
+        self.share, self.source, self.token = array("d"), array("q"), array("i")
+
+    def grow(self, word: str, places: list[int]) -> None:
+        """Adds the places of a word after those given, each from the places before it."""
+        table, masses, longest = self.table.get, self.mass, self.longest
+        add_source, add_share, add_token = self.source.append, self.share.append, self.token.append
+        for end in range(len(places), len(word) + 1):
+            start, least, mass, found = end, max(0, end - longest), 0.0, []
+            while start > least:
+                start -= 1
+                entry = table(word[start:end])
+                if entry is None:
                     break
-                if found[0] >= 0:
-                    if end == start + 1:
-                        alone = found
-                    at = sums[end]
-                    at.append((at[-1] if at else 0.0) + mass * found[1])
-                    edges[end].append((start, found[0]))
-            if alone is None:
-                raw = word[start].encode("utf-8", "surrogatepass")
-                at = sums[start + 1]
-                at.append((at[-1] if at else 0.0) + mass * self.byte_share ** len(raw))
-                edges[start + 1].append((start, tuple(self.bytes[b] for b in raw)))
-        return list(zip(sums, edges))
-
-    def lattice(self, word: str) -> list:
-        edges = self.known.get(word)
-        if edges is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            edges = self.forward(word)
-            if len(word) <= LONG:
-                self.known[word] = edges
-        return edges
-
-    def sample(self, text: str | None, key: object, seed: int = SEED) -> list[int]:
-        """Token ids of one segmentation of the text after a leading space, drawn by ``seed`` and ``key``."""
-        if not text:
-            return []
-        start = hashlib.blake2b(repr((seed, key)).encode(), digest_size=8).digest()
-        draw = iter(np.random.default_rng(int.from_bytes(start, "little")).random(len(text) + 1).tolist()).__next__
-        out: list[int] = []
-        known = self.known
-        for word in self.words.findall(" " + text):
-            edges = known.get(word) or self.lattice(word)
-            at = len(edges) - 1
-            back: list[int | tuple[int, ...]] = []
-            while at:
-                sums, choices = edges[at]
-                at, ids = choices[bisect_right(sums, draw() * sums[-1], 0, len(sums) - 1)] if len(choices) > 1 else choices[0]
-                back.append(ids)
-            for ids in reversed(back):
-                if type(ids) is int:
-                    out.append(ids)
-                else:
-                    out += ids
-        return out
-
-    def decode(self, ids: list[int]) -> str:
+                token, weight = entry
+                if token >= 0:
+                    source = places[start]
+                    add_source(source)
+                    add_token(token)
+                    mass += masses[source] * weight
+                    found.append(mass)
+            if not found:
+                # Of no piece, so all paths come by here: a place for each of its bytes, at no cost.
+                at = places[-1]
+                for b in word[end - 1].encode("utf-8", "surrogatepass"):
+                    add_source(at)
+                    add_token(self.bytes[b])
+                    add_share(1.0)
+                    masses.append(masses[places[-1]])
+                    self.first.append(len(self.token))
+                    at = len(masses) - 1
+            else:
+                for so_far in found:
+                    add_share(so_far / mass)
+                masses.append(mass)
+                self.first.append(len(self.token))
+                at = len(masses) - 1
+            places.append(at)
+            if masses[at] < TINY:  # only shares count: copies of what is still open go on in a smaller unit
+                for i in range(max(0, end - longest), end + 1):
+                    places[i] = self.scaled(places[i])
+
+    def scaled(self, place: int) -> int:
+        for edge in range(self.first[place], self.first[place + 1]):
+            self.source.append(self.source[edge])
+            self.share.append(self.share[edge])
+            self.token.append(self.token[edge])
+        self.mass.append(self.mass[place] / TINY)
+        self.first.append(len(self.token))
+        return len(self.mass) - 1
+
+    def word(self, word: str) -> int:
+        """The last place of a word. What depends on a beginning alone is shared by the words that begin so."""
+        known, end = self.known, len(word) - 1
+        if end >= LONG:
+            places = [0]
+            self.grow(word, places)
+            return places[-1]
+        while word[:end] not in known:
+            end -= 1
+        places = [known[word[:i]] for i in range(end + 1)]
+        self.grow(word, places)
+        for i in range(end + 1, len(word) + 1):
+            known[word[:i]] = places[i]
+        return places[-1]
+
+    def sample(self, texts: Sequence[str | None], keys: Sequence[object], seed: int = SEED) -> list[np.ndarray]:
+        """For each text, the token ids of one segmentation of it after a leading space, drawn by ``seed`` and its key."""
+        if len(self.mass) >= REMEMBERED:
+            self.forget()
+        words = [self.words.findall(" " + t) if t else [] for t in texts]
+        flat = list(chain.from_iterable(words))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        last = [self.known.get(w) for w in flat]
+        for i, at in enumerate(last):
+            if at is None:
+                last[i] = self.known.get(flat[i]) or self.word(flat[i])
+        seeds = [int.from_bytes(hashlib.blake2b(repr((seed, k)).encode(), digest_size=8).digest(), "little") for k in keys]
+        starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+        number = (np.arange(len(flat)) - starts).astype(np.uint64)
+        luck = mixed(np.repeat(np.array(seeds, np.uint64), lengths) + number * GOLDEN)
+        rounds = self.drawn(np.array(last, np.int64), luck)
+        sizes = np.zeros(len(flat), np.int64)
+        for which, _ in rounds:
+            sizes[which] += 1
+        ends = np.cumsum(sizes)
+        out = np.empty(int(sizes.sum()), np.int32)
+        for n, (which, tokens) in enumerate(rounds):
+            out[ends[which] - 1 - n] = tokens
+        cuts = np.concatenate([[0], ends])[np.cumsum(lengths)]
+        return np.split(out, cuts[:-1]) if len(cuts) else []
+
+    def drawn(self, at: np.ndarray, luck: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Backward from the last place of every word, one edge a round: (words not yet at their start, their tokens)."""
+        first, share = np.frombuffer(self.first, np.int64), np.frombuffer(self.share, np.float64)
+        source, token = np.frombuffer(self.source, np.int64), np.frombuffer(self.token, np.int32)
+        rounds, which = [], np.arange(len(at))
+        while len(which):
+            edge, end = first[at], first[at + 1] - 1
+            draws = (mixed(luck[which] + np.uint64((len(rounds) + 1) * int(GOLDEN) & MASK)) >> np.uint64(11)) * 2.0**-53
+            more = np.flatnonzero(edge < end)
+            while len(more):
+                more = more[share[edge[more]] <= draws[more]]
+                edge[more] += 1
+                more = more[edge[more] < end[more]]
+            rounds.append((which, token[edge]))
+            at = source[edge]
+            which, at = which[at != 0], at[at != 0]
+        return rounds
+
+    def decode(self, ids: Sequence[int]) -> str:
         """The text, without the leading space: the very text that was encoded."""
-        text = b"".join(p if isinstance(p, bytes) else p.encode() for p in map(self.texts.__getitem__, ids)).decode("utf-8", "surrogatepass")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")
         return text[1:]
 
 
@@ -163,7 +219,11 @@ def encode_sampled(
     def encode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         lattice = lattice_of(path, theta)
         for keys, texts in batches:
-            yield pd.Series([lattice.sample(t, k, seed) for k, t in zip(keys, texts)])
+            out: list[np.ndarray] = []
+            lengths = texts.str.len().fillna(0).cumsum() // TOGETHER
+            for _, part in texts.groupby(lengths, sort=False):
+                out += lattice.sample(part.tolist(), keys[part.index].tolist(), seed)
+            yield pd.Series(out)
 
     name = F.coalesce(F.to_json(F.struct(F.col(quoted(key)).alias("key"))), F.lit(""))
     return docs.withColumn(out, encode(name, F.col(quoted(text))))
@@ -176,7 +236,7 @@ def decode_pieces(docs: DataFrame, path: str, ids: str = "token_ids", out: str =
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lattice = lattice_of(path)
         for column in batches:
-            yield pd.Series([lattice.decode(x) if x is not None and len(x) else "" for x in column])
+            yield pd.Series([lattice.decode(x.tolist()) if x is not None and len(x) else "" for x in column])
 
     return docs.withColumn(out, decode(F.col(quoted(ids))))
 
