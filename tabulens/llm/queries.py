@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulens.llm import chat, dedup, mixing, pieces, quality, syncmers, tokens
+from tabulens.llm import chat, dedup, html, mixing, pieces, quality, syncmers, tokens
 
-QUERIES = {"op8_sampled_pieces": pieces.op8_sampled_pieces, "op3_token_counts": tokens.op3_token_counts, "op1_near_duplicates": dedup.op1_near_duplicates, "op2_fingerprints": syncmers.op2_fingerprints, "op4_mix_sources": mixing.op4_mix_sources, "op6_quality_rules": quality.op6_quality_rules, "op9_chat_format": chat.op9_chat_format}
+QUERIES = {"op5_main_text": html.op5_main_text, "op8_sampled_pieces": pieces.op8_sampled_pieces, "op3_token_counts": tokens.op3_token_counts, "op1_near_duplicates": dedup.op1_near_duplicates, "op2_fingerprints": syncmers.op2_fingerprints, "op4_mix_sources": mixing.op4_mix_sources, "op6_quality_rules": quality.op6_quality_rules, "op9_chat_format": chat.op9_chat_format}
 ORACLE = {"op6_quality_rules": quality.OP6_SQL, "op9_chat_format": chat.OP9_SQL}
