@@ -226,16 +226,18 @@ tp AS (SELECT DISTINCT n, label, width, w[i] || ' ' || w[i + 1] AS p FROM (SELEC
 tn AS (SELECT n, label, width, count(*) AS pairs FROM tp GROUP BY ALL),
 d AS (SELECT row_number() OVER () AS r, doc_id,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-g AS (SELECT r, i, w[i] || ' ' || w[i + 1] AS p FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM d)),
+k AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+l AS (SELECT r, i, x, lead(x, 1) OVER q AS x1, lead(x, 2) OVER q AS x2, lead(x, 3) OVER q AS x3 FROM k WINDOW q AS (PARTITION BY r ORDER BY i)),
+g AS (SELECT r, i, x || ' ' || x1 AS p FROM l WHERE x1 IS NOT NULL),
 h0 AS (SELECT r, n, width, i, p FROM g JOIN tp USING (p)),
 o AS (SELECT r, n FROM h0 JOIN tn USING (n) GROUP BY r, n, pairs HAVING count(DISTINCT p) >= ceil({CONTAINMENT} * pairs - 1e-9)),
 h AS (SELECT h0.* FROM h0 JOIN o USING (r, n)),
 s AS (SELECT DISTINCT r, n, width, unnest(range(greatest(1, i - width + 2), i + 1)) AS s FROM h),
 c AS (SELECT s.r, s.n, s.s, count(DISTINCT p) AS held FROM s JOIN h ON s.r = h.r AND s.n = h.n AND h.i BETWEEN s.s AND s.s + s.width - 2 GROUP BY ALL),
 m AS (SELECT r, label, max(held / pairs) AS best FROM c JOIN tn USING (n) WHERE held >= ceil({CONTAINMENT} * pairs - 1e-9) GROUP BY ALL),
-f AS (SELECT r, i - 1 AS place, label FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d) x, (VALUES {
-    ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())}) v(phrase, label, k)
-  WHERE array_to_string(w[i:i + k - 1], ' ') = phrase),
+f AS (SELECT r, i - 1 AS place, label FROM l JOIN (VALUES {
+    ", ".join(str((*(p.split() + [None] * 4)[:4], label)).replace("None", "NULL") for p, label in PHRASES.items())}) v(a, b, c, d, label)
+  ON x = a AND (b IS NULL OR x1 = b) AND (c IS NULL OR x2 = c) AND (d IS NULL OR x3 = d)),
 fa AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM f GROUP BY r),
 la AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM f UNION ALL SELECT r, label FROM m) GROUP BY r),
 ma AS (SELECT r, max(best) AS score FROM m GROUP BY r)
