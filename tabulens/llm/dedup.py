@@ -135,6 +135,36 @@ def near_duplicates(
     larger than every other; a component of nothing but null keys has a null id, and its rows are not kept unless
     they stand alone without words. Rows that repeat a key are rows of their own with that key. No rows give no rows.
     """
+    found = _decided(docs, key, text, width, percent, bands, rows)
+    alone = F.col("class").isNull()
+    return found.select(
+        F.col("key").alias(key), "n_shingles", "component_id", (alone | F.coalesce(F.col("key") == F.col("component_id"), F.lit(False))).alias("kept")
+    )
+
+
+def keep_one_of_each(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """The rows that stay, with their columns as they are: of each component the one with the least key, null last.
+
+    Of rows that share that key the one with the least text hash stays, of repeated rows one. Rows without words stay.
+    """
+    found = _decided(docs, key, text, width, percent, bands, rows)
+    alone = found.where(F.col("class").isNull()).select("key", "text_hash").distinct().withColumn("copies", F.lit(1))
+    each = found.where(F.col("class").isNotNull()).groupBy("root", "key", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    first = F.min(F.struct(F.col("key").isNull(), "key", "text_hash", "copies"))
+    best = each.groupBy("root").agg(first.alias("x")).select("x.key", "x.text_hash", "x.copies")
+    staying = written(best.union(alone).select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash"), "copies"), "staying")
+    names = docs.columns
+    whole_rows = docs.select(F.struct(*[F.col(quoted(c)) for c in names]).alias("row"), F.col(quoted(key)).alias("key"), F.xxhash64(F.col(quoted(text))).alias("text_hash"))
+    met = whole_rows.join(staying, (F.col("text_hash") == F.col("_hash")) & F.col("key").eqNullSafe(F.col("_key")))
+    if staying.where("copies > 1").limit(1).count():  # repeated rows: only they are gathered, to keep one
+        met = met.where("copies = 1").unionByName(met.where("copies > 1").dropDuplicates(["key", "text_hash"]))
+    return met.select(*[F.col("row")[c].alias(c) for c in names])
+
+
+def _decided(docs: DataFrame, key: str, text: str, width: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """(key, text_hash, n_shingles, class, root, component_id) of every row."""
     plain = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sketched = written(_classes(plain, width, bands, rows), "sketches")
     # Equal sets have equal bands: any row of a class stands for it.
@@ -173,13 +203,10 @@ def near_duplicates(
     least = sketched.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("key").alias("least"))
     rooted = least.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rooted.join(ids, "root").select(F.col("class").alias("_class"), "component_id")
+    found = rooted.join(ids, "root").select(F.col("class").alias("_class"), "root", "component_id")
     out = sketched.join(found, F.col("class") == F.col("_class"), "left")
     component = F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("component_id"))
-    alone = F.col("class").isNull()
-    return out.select(
-        F.col("key").alias(key), "n_shingles", component.alias("component_id"), (alone | F.coalesce(F.col("key") == F.col("component_id"), F.lit(False))).alias("kept")
-    )
+    return out.select("key", "text_hash", "n_shingles", "class", "root", component.alias("component_id"))
 
 
 def op1_near_duplicates(spark, sf_dir):

@@ -9,7 +9,7 @@ the word. Which documents of a length are taken is decided by a seeded hash.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -97,25 +97,40 @@ def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[["source", "size", "n", "target", "source_size", "passes", "more"]]
 
 
+def _cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """The plan with ``cut``, the largest luck that is taken, for lengths of which some documents are taken.
+
+    A length may hold a third of all documents, so its cut is found in two steps: its documents fall into as many slices
+    of the luck as a slice has documents; counts tell the slice of the cut, and only that one is put in order.
+    """
+    named = plan.select(F.col("source").alias("_source"), F.col("size").alias("_size"), "n", "more").where("more > 0 and more < n")
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
+    slices = F.ceil(F.sqrt("n"))
+    place = F.least(F.floor((F.col("luck").cast("double") / 2.0**64 + 0.5) * slices), slices - 1)
+    dealt = rows.join(named, same).select("source", "size", "luck", "more", place.alias("slice"))
+    counts = dealt.groupBy("source", "size", "slice", "more").agg(F.count(F.lit(1)).alias("here"))
+    so_far = Window.partitionBy("source", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    left = counts.withColumn("left", F.col("more") - F.coalesce(F.sum("here").over(so_far), F.lit(0))).where("left > 0 and left <= here")
+    left = left.select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("slice").alias("_slice"), "left")
+    order = Window.partitionBy("source", "size").orderBy("luck")
+    nth = dealt.join(left, same & (F.col("slice") == F.col("_slice"))).withColumn("nth", F.row_number().over(order))
+    cut = nth.where(F.col("nth") == F.col("left")).select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("luck").alias("cut"))
+    return plan.join(cut, same, "left").drop("_source", "_size")
+
+
 def mix(
-    docs: DataFrame, size: Column, key: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, volume: float = VOLUME,
-    most: int = MOST_REPEATS, seed: int = SEED, carry: Iterable[str] = (),
+    docs: DataFrame, size: Column, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS,
+    volume: float = VOLUME, most: int = MOST_REPEATS, seed: int = SEED,
 ) -> DataFrame:
-    """One row per row: ``key``, size, source, source_size, target, times (how often the mix takes it), and ``carry``.
+    """The rows with a column ``mix`` (in place of one of that name): size, source_size, target, and times, how often the
+    mix takes the row.
 
     Null sources are a source of their own, last in order. A source without words has target 0, its documents and any
-    other without words are taken in whole passes only. Rows with equal keys are chosen in any order among themselves,
-    which gives the same rows. No rows give no rows. A task holds the distinct lengths of one source, whose number is
-    bounded by the longest document, never its documents.
+    other without words are taken in whole passes only. Rows of equal key and text are taken alike. No rows give no rows.
+    A task holds the distinct lengths of one source, whose number is bounded by the longest document, never its documents.
     """
-    names = list(carry)
-    rows = written(
-        docs.select(
-            F.struct(F.col(quoted(key)).alias("key"), *[F.col(quoted(c)).alias(c) for c in names]).alias("row"),
-            F.col(quoted(source)).alias("source"), size.cast("long").alias("size"),
-        ).withColumn("luck", F.xxhash64(F.lit(seed), "row.key")),
-        "sizes",
-    )
+    luck = F.xxhash64(F.lit(seed), F.col(quoted(key)), F.col(quoted(text)))
+    rows = written(docs.select(F.col(quoted(source)).alias("source"), size.cast("long").alias("size"), luck.alias("luck")), "sizes")
     lengths = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     sources = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = source_targets(sources, weights, volume, most).withColumnRenamed("source", "_source")
@@ -124,25 +139,16 @@ def mix(
         .groupBy("source").applyInPandas(_fit_source, "source string, size long, n long, target double, source_size long, passes int, more long"),
         "fitted",
     )
-    plan = fitted.select(F.col("source").alias("_source"), F.col("size").alias("_size"), "n", "target", "source_size", "passes", "more")
-    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
-    # A length may hold a third of all documents, so the choice among them is made in two steps: its documents fall into
-    # as many slices of the hash as a slice has documents, whole slices are taken, and one slice is cut.
-    slices = F.ceil(F.sqrt("n")).cast("long")
-    dealt = rows.join(plan, same).drop("_source", "_size").withColumn("slice", F.pmod(F.shiftright("luck", 20), slices))
-    partly = (F.col("more") > 0) & (F.col("more") < F.col("n"))
-    in_slice = dealt.where(partly).groupBy("source", "size", "slice", "more").agg(F.count(F.lit(1)).alias("here"))
-    so_far = Window.partitionBy("source", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    room = in_slice.withColumn("room", F.col("more") - F.coalesce(F.sum("here").over(so_far), F.lit(0)))
-    room = room.select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("slice").alias("_slice"), "here", "room")
-    placed = dealt.join(room, same & (F.col("slice") == F.col("_slice")), "left").drop("_source", "_size", "_slice")
-    order = Window.partitionBy("source", "size", "slice").orderBy("luck", F.col("row.key"))
-    chosen = F.when(F.col("more") >= F.col("n"), True).when(F.col("room").isNull() | (F.col("room") <= 0), False)
-    chosen = chosen.when(F.col("room") >= F.col("here"), True).otherwise(F.col("nth") <= F.col("room"))
-    return placed.withColumn("nth", F.row_number().over(order)).select(
-        F.col("row.key").alias(key), "size", "source", "source_size", "target", (F.col("passes") + chosen.cast("int")).alias("times"),
-        *[F.col("row")[c].alias(c) for c in names],
+    plan = written(_cuts(rows, fitted), "plan")
+    plan = plan.select(F.col("source").alias("_source"), F.col("size").alias("_size"), "n", "target", "source_size", "passes", "more", "cut")
+    names = [c for c in docs.columns if c != "mix"]
+    measured = docs.select(
+        F.struct(*[F.col(quoted(c)) for c in names]).alias("row"), F.col(quoted(source)).alias("source"), size.cast("long").alias("size"), luck.alias("luck")
     )
+    met = measured.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
+    once_more = F.when(F.col("more") >= F.col("n"), True).when(F.col("more") == 0, False).otherwise(F.col("luck") <= F.col("cut"))
+    mixed = F.struct("size", "source_size", "target", (F.col("passes") + once_more.cast("int")).alias("times"))
+    return met.select(*[F.col("row")[c].alias(c) for c in names], mixed.alias("mix"))
 
 
 def text_words(text: Column) -> Column:
@@ -152,4 +158,5 @@ def text_words(text: Column) -> Column:
 def op4_mix_sources(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mix(docs, text_words(F.col("text")))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"), "source")
+    taken = (F.col("mix.times") * F.col("mix.size")).cast("long")
+    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", taken.alias("taken"), "source")
