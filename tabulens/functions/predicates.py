@@ -73,10 +73,6 @@ def null_tokens_to_null(value: Column) -> Column:
     return F.when(~is_null_token(value), value)
 
 
-def is_blank(value: Column) -> Column:
-    return F.trim(value) == ""
-
-
 def strip(value: Column) -> Column:
     """Remove white space at both ends, tabs and line ends included."""
     return F.btrim(value, F.lit(WHITE_SPACE))

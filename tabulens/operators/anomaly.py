@@ -96,14 +96,14 @@ def text_length(df: DataFrame, columns: list[str] | None = None) -> Column:
     return sum(sizes, F.lit(0)).cast("double")
 
 
-def _numbers(df: DataFrame, columns: list[str]) -> tuple[dict[str, Column], Callable[[str], Column]]:
+def _numbers(df: DataFrame, columns: list[str]) -> dict[str, Column]:
     """Value of every column as a number; strings are coerced."""
     types = dict(df.dtypes)
 
     def number(c: str) -> Column:
         return to_number(_quoted(c)) if types[c] == "string" else _quoted(c).cast("double")
 
-    return {c: number(c) for c in columns}, number
+    return {c: number(c) for c in columns}
 
 
 def score_rows(
@@ -125,7 +125,7 @@ def score_rows(
         c for c in columns
         if types[c] in ("string", "double", "float", "int", "bigint", "smallint", "tinyint") or types[c].startswith("decimal")
     ]
-    numbers, _ = _numbers(df, numberlike)
+    numbers = _numbers(df, numberlike)
     at = {c: i for i, c in enumerate(columns)}
 
     # Pass 1: which columns are numeric here, their mean and deviation, the spread of text lengths.

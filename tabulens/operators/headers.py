@@ -178,7 +178,8 @@ def _blocks(
     """One row per candidate with the columns of the rows that follow it.
 
     Columns are named by the candidate line. Extra leading fields of the first data row are an index; a
-    later row wider than that cannot be parsed.
+    later row wider than that cannot be parsed. ``robust`` leaves such rows out as long as they are fewer than
+    half; ``compat`` gives the candidate up.
     """
     files = _judged_entries(formats.file_heads(head, mode, max_scan + look_ahead + 1), mode, max_scan)
     candidates = files.select(
@@ -193,13 +194,18 @@ def _blocks(
     if drop_comments:
         candidates = candidates.where(~F.col("candidate.comment") | F.col("all_comments"))
     first_width = F.coalesce(F.size(F.get("block", F.lit(0)).getField("cells")), F.lit(0))
+    wide = F.size("block") - F.size("fitting")
+    enough = (wide == 0) | (2 * wide < F.size("block")) if mode == "robust" else wide == 0
     return (
         candidates.withColumn("block", F.slice("entries", F.col("candidate.row") + 2, look_ahead))
         .drop("entries", "all_comments")
         .withColumn("width", F.size("candidate.cells"))
         .withColumn("shift", F.greatest(first_width - F.col("width"), F.lit(0)))
         .withColumn("widest", F.col("width") + F.col("shift"))
-        .withColumn("parsed", F.forall("block", lambda e: F.size(e.getField("cells")) <= F.col("widest")))
+        .withColumn("fitting", F.filter("block", lambda e: F.size(e.getField("cells")) <= F.col("widest")))
+        .withColumn("parsed", enough)
+        .withColumn("block", F.col("fitting"))
+        .drop("fitting")
         .withColumn(
             "columns",
             F.when(
@@ -223,7 +229,7 @@ def score_candidates(
 
     ``row, line_no, line, token_count, consistency_score, token_score, uniqueness_score, stability,
     data_row_penalty, score, reason`` with reason ``parse_failed`` or ``scored``, and what the selection
-    needs per file: ``delimiter, delimiter_score, first_is_comment`` and the candidate's ``fields``.
+    needs per file: ``delimiter, delimiter_score, first_is_comment`` and the candidate's ``fields`` and ``index_width``.
     """
     tokens, columns = F.col("candidate.tokens"), F.col("columns")
     count = F.size(tokens)
@@ -259,6 +265,7 @@ def score_candidates(
             "candidate.line_no",
             "candidate.line",
             "candidate.fields",
+            F.col("shift").alias("index_width"),
             count.alias("token_count"),
             *[F.when(F.col("parsed"), part).alias(name) for name, part in parts.items()],
         )
@@ -281,7 +288,7 @@ def select_header(ranked: DataFrame, score_gap: float = SCORE_GAP) -> DataFrame:
     ``delimiter`` and ``delimiter_score``, the ``fields`` of the header and the three best candidates.
     """
     best, first = F.col("rank") == 1, F.col("row") == 0
-    choice = F.struct("row", "line_no", "score", "fields")
+    choice = F.struct("row", "line_no", "score", "fields", "index_width")
     top = F.struct(
         "rank", "row", F.round("score", 4).alias("score"), F.substring("line", 1, 80).alias("preview")
     )
@@ -317,6 +324,7 @@ def select_header(ranked: DataFrame, score_gap: float = SCORE_GAP) -> DataFrame:
             "delimiter",
             "delimiter_score",
             F.col("chosen.fields").alias("fields"),
+            F.col("chosen.index_width").alias("index_width"),
             F.transform("top", lambda c: c.dropFields("rank")).alias("candidate_summary"),
         )
     )
@@ -356,6 +364,7 @@ def detection_result(selected: DataFrame) -> DataFrame:
         "delimiter",
         "delimiter_score",
         "fields",
+        "index_width",
     )
 
 

@@ -111,18 +111,16 @@ class Forest:
 
 
 def _sample(df: DataFrame, key: Column, n: int, trees: int, subsample: int, seed: int) -> DataFrame:
-    """``tree`` and its rows, chosen by hashes of the row key, so the same in every run and on any cluster."""
+    """``tree`` and its rows, chosen by hashes of the row key, so the same in every run and on any cluster.
+
+    One rule at every size: a hash of row and tree admits a row to a tree, about twice as many as the tree needs, and
+    the first of them by another hash are taken.
+    """
     keyed = df.withColumn("_key", F.xxhash64(key.cast("string"), F.lit(seed)))
-    if n <= 2 * trees * subsample:
-        # A small table: every tree draws from all rows (at most 2 * trees**2 * subsample of them).
-        drawn = keyed.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    else:
-        # A large one: keep about twice as many rows as the forest needs and deal them out to the trees.
-        share = 2.0 * trees * subsample / n
-        uniform = F.pmod(F.col("_key"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-        drawn = keyed.where(uniform < share).withColumn(
-            "tree", F.pmod(F.xxhash64("_key", F.lit("tree")), F.lit(trees)).cast("int")
-        )
+    share = min(1.0, 2.0 * subsample / n)
+    uniform = lambda tree: F.pmod(F.xxhash64("_key", F.lit("tree"), tree), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    numbers = F.sequence(F.lit(0), F.lit(trees - 1))
+    drawn = keyed.withColumn("tree", F.explode(F.filter(numbers, lambda tree: uniform(tree) < share)))
     order = Window.partitionBy("tree").orderBy(F.xxhash64("_key", "tree"), "_key")
     return (
         drawn.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= subsample).drop("_key", "_rank")
@@ -161,15 +159,16 @@ def fit(
     return Forest(nodes, psi), medians
 
 
-def score(df: DataFrame, forest: Forest, features: dict[str, Column], medians: dict[str, float], name: str = "_iforest_score") -> DataFrame:
+def score(
+    df: DataFrame, forest: Forest, features: dict[str, Column], medians: dict[str, float], name: str = "_iforest_score", spread: int | None = None
+) -> DataFrame:
     """Add the forest's score to every row; only the feature columns travel to Python.
 
-    A table read as fewer partitions than there are cores is spread first, as scoring is what takes time; a
-    large table never is.
+    Scoring is what takes time, so a table that is read as few partitions may be dealt into ``spread`` before.
     """
     context = df.sparkSession.sparkContext
-    if df.rdd.getNumPartitions() < context.defaultParallelism:
-        df = df.repartition(context.defaultParallelism)
+    if spread:
+        df = df.repartition(spread)
     shipped = context.broadcast(forest)
 
     @F.pandas_udf(DoubleType())
@@ -182,13 +181,15 @@ def score(df: DataFrame, forest: Forest, features: dict[str, Column], medians: d
     return df.withColumn(name, scorer(*filled))
 
 
-def isolation_scores(df: DataFrame, features: dict[str, Column], key: Column, name: str = "_iforest_score", **options) -> DataFrame:
+def isolation_scores(
+    df: DataFrame, features: dict[str, Column], key: Column, name: str = "_iforest_score", spread: int | None = None, **options
+) -> DataFrame:
     """Fit and score; a table too small for a forest gets a null score."""
     fitted = fit(df, features, key, **options)
     if fitted is None:
         return df.withColumn(name, F.lit(None).cast("double"))
     forest, medians = fitted
-    return score(df, forest, features, medians, name)
+    return score(df, forest, features, medians, name, spread)
 
 
 def chunk_isolation_scores(
@@ -204,11 +205,11 @@ def chunk_isolation_scores(
     """A forest of its own for every chunk; a chunk is bounded by its row count, so it fits one task.
 
     Within a chunk, columns without any value are left out and missing values take the chunk's median. A chunk
-    of fewer than ``MIN_ROWS`` rows, or without numbers, gets null.
+    of fewer than ``MIN_ROWS`` rows, or without numbers, gets null. ``chunk`` and ``order`` together name a row.
     """
-    inputs = {f"_feature_{i}": x.cast("double") for i, x in enumerate(features.values())}
-    names = list(inputs)
-    schema = df.withColumn(name, F.lit(None).cast("double")).schema
+    names = [f"_feature_{i}" for i in range(len(features))]
+    keys = [*chunk, order]
+    schema = df.select(*keys).withColumn(name, F.lit(None).cast("double")).schema
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
@@ -227,4 +228,7 @@ def chunk_isolation_scores(
             nodes.append(part.assign(tree=tree))
         return out.assign(**{name: Forest(pd.concat(nodes), psi).score(x)})
 
-    return df.withColumns(inputs).groupBy(*chunk).applyInPandas(run, schema)
+    # Only keys and features go through Python; all other columns stay where they are and meet the scores by key.
+    inputs = df.select(*keys, *[x.cast("double").alias(n) for n, x in zip(names, features.values())])
+    scored = df.join(inputs.groupBy(*chunk).applyInPandas(run, schema), keys, "left")
+    return scored.select(*[F.col("`" + c.replace("`", "``") + "`") for c in (*df.columns, name)])

@@ -1,8 +1,7 @@
 """Periodicity of numeric columns by the discrete Fourier transform of the whole series.
 
-A short series is transformed in one group. A long one is transformed by the four-step method: the series is
-dealt into many short transforms, the results are turned and dealt again, so no task ever holds more than one
-short transform. Lengths that cannot be cut evenly go through a chirp convolution of power-of-two length.
+A series is transformed by the four-step method: it is dealt into many short transforms, the results are turned and
+dealt again, so no task ever holds more than one short transform, of about the square root of the length. Lengths that cannot be cut evenly go through a chirp convolution of power-of-two length.
 """
 
 from __future__ import annotations
@@ -22,9 +21,6 @@ from tabulens.sources.rows import number_rows
 MAX_COLUMNS = 5
 MIN_POINTS = 20
 SATURATION = 5.0
-# Longest series transformed by one task.
-SHORT = 1 << 20
-
 _COMPLEX = "pos long, re double, im double"
 
 
@@ -76,12 +72,12 @@ def _chirp_angle(pos: Column, n: int) -> Column:
     return math.pi * (F.pmod(square, F.lit(2 * n).cast("decimal(38,0)")).cast("double") / F.lit(float(n)))
 
 
-def transform_series(series: DataFrame, n: int, limit: int = SHORT) -> DataFrame:
-    """Transform of the ``n`` points ``pos, re, im`` (positions 0 .. n-1), as ``pos, re, im``."""
-    if n <= limit:
-        whole = _short_transforms(series, F.lit(0).cast("long"), F.col("pos"), n, False)
-        return whole.select(F.col("k").alias("pos"), "re", "im")
-    factors = _two_factors(n, limit)
+def transform_series(series: DataFrame, n: int, limit: int | None = None) -> DataFrame:
+    """Transform of the ``n`` points ``pos, re, im`` (positions 0 .. n-1), as ``pos, re, im``.
+
+    ``limit`` bounds the points of one short transform; by default it is four times the square root of ``n``.
+    """
+    factors = _two_factors(n, limit or 4 * math.isqrt(n) + 4)
     if factors:
         return _four_step(series, *factors)
     size = 1 << (2 * n - 2).bit_length()
@@ -114,7 +110,7 @@ def _strength(spectrum: DataFrame, n: int) -> DataFrame:
     )
 
 
-def column_periodicity(df: DataFrame, columns: list[str], order: str, limit: int = SHORT) -> DataFrame:
+def column_periodicity(df: DataFrame, columns: list[str], order: str, limit: int | None = None) -> DataFrame:
     """``column, points, periodicity`` of the first five numeric columns in row order.
 
     Null for a constant column; columns of fewer than 20 values are left out, as the reference quantity is
@@ -143,7 +139,7 @@ def column_periodicity(df: DataFrame, columns: list[str], order: str, limit: int
     return reduce(DataFrame.unionByName, found)
 
 
-def table_periodicity(df: DataFrame, columns: list[str], order: str, limit: int = SHORT) -> DataFrame:
+def table_periodicity(df: DataFrame, columns: list[str], order: str, limit: int | None = None) -> DataFrame:
     """The mean over the analysed columns, 0 without any."""
     return column_periodicity(df, columns, order, limit).agg(
         F.coalesce(F.avg("periodicity"), F.lit(0.0)).alias("periodicity")

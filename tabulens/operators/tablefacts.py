@@ -170,7 +170,7 @@ def head_values(
 
     Instead of ranking the whole table, a prefix of rows is probed and grown until it holds enough values of
     every column; a sparse column goes on alone. ``order`` is an integer column, so prefixes are range
-    filters that reach the scan.
+    filters that reach the scan. Rows without an order come last, whatever the size of the table.
     """
     wanted = None if only is None else set(only)
     fields = [f for f in data_fields(df, (*exclude, order)) if wanted is None or f.name in wanted]
@@ -203,7 +203,7 @@ def head_values(
     values = parts[0]
     for more in parts[1:]:
         values = values.unionByName(more)
-    first = Window.partitionBy("column").orderBy("_order")
+    first = Window.partitionBy("column").orderBy(F.col("_order").asc_nulls_last())
     return (
         values.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= n).select("column", "rank", "value")
     )

@@ -11,11 +11,11 @@ from tabulens.operators.anomaly import CHUNK_KEY
 CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def write_chunks(scored: DataFrame, path: str, folders: bool = True) -> None:
+def write_chunks(scored: DataFrame, path: str, folders: bool = False) -> None:
     """Write rows with their ``_chunk_id`` and ``_anomaly_score`` as delimited files with a header.
 
-    With ``folders`` every chunk becomes a folder holding one file. For very many chunks, leave folders out:
-    the chunk number is then a column and files hold consecutive chunks.
+    The chunk number is a column and files hold consecutive chunks. With ``folders`` every chunk becomes a folder
+    holding one file, which is for few chunks.
     """
     flat = scored.drop(*[c for c, t in scored.dtypes if t.startswith(("map", "array", "struct"))])
     if folders:
@@ -59,11 +59,6 @@ def chunk_metadata(
     )
 
 
-def without_nan(x: Column) -> Column:
-    """JSON knows no "not a number"; it is written as null."""
-    return F.when(~F.isnan(x), x)
-
-
 def write_metadata(metadata: DataFrame, path: str) -> None:
     metadata.write.mode("overwrite").json(path)
 

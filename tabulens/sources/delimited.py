@@ -6,6 +6,8 @@ large file is read by many tasks.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from tabulens.functions.predicates import null_tokens_to_null
 from tabulens.operators import headers
 from tabulens.sources import formats, heads
 from tabulens.sources.rows import number_lines
+from tabulens.sources.workdir import fresh_folder
 
 BYTE_ORDER_MARK = "\ufeff"
 
@@ -83,10 +86,42 @@ def unique_name_array(fields: Column) -> Column:
     return F.transform(based, named)
 
 
+def names_of(fields: Column) -> Column:
+    return unique_name_array(F.transform(fields, lambda f: F.regexp_replace(f, f"^{BYTE_ORDER_MARK}", "")))
+
+
 def decide(head: DataFrame, mode: str = "robust", **scan: int) -> DataFrame:
-    """One row per file: delimiter, header row, confidence and column names."""
-    fields = F.transform("fields", lambda f: F.regexp_replace(f, f"^{BYTE_ORDER_MARK}", ""))
-    return headers.detect_headers(head, mode, **scan).withColumn("names", unique_name_array(fields)).drop("fields")
+    """One row per file: delimiter, header row, confidence, column names and ``index_width``.
+
+    The first data row decides, once for the file, how many leading fields are an index without a name.
+    """
+    return headers.detect_headers(head, mode, **scan).withColumn("names", names_of(F.col("fields"))).drop("fields")
+
+
+def with_index_width(decisions: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Decisions with ``index_width``, from the line after the header among lines with their ``row``."""
+    after = numbered.join(decisions.select("file_id", "delimiter", "header_row", F.size("names").alias("_width")), "file_id")
+    first = after.where(F.col("row") == F.col("header_row") + 1).select(
+        "file_id", F.greatest(F.size(split_by(F.col("line"), F.col("delimiter"))) - F.col("_width"), F.lit(0)).alias("index_width")
+    )
+    return decisions.drop("index_width").join(first, "file_id", "left").withColumn("index_width", F.coalesce("index_width", F.lit(0)))
+
+
+def with_full_names(decisions: DataFrame, lines: DataFrame, cut: DataFrame) -> DataFrame:
+    """Decisions whose names come from whole header lines, also of files whose head ended within the header.
+
+    ``cut`` holds the ``file_id`` of such files, ``lines`` all numbered lines; only the two lines of those files that
+    name and shift columns are kept of them.
+    """
+    asked = decisions.join(cut.select("file_id"), "file_id", "left_semi").select("file_id", "delimiter", "header_row")
+    near = lines.join(asked, "file_id").where(F.col("row").between(F.col("header_row"), F.col("header_row") + 1))
+    whole = near.where(F.col("row") == F.col("header_row")).select(
+        "file_id", names_of(split_by(F.col("line"), F.col("delimiter"))).alias("_names")
+    )
+    named = decisions.join(whole, "file_id", "left")
+    renamed = named.withColumn("names", F.coalesce("_names", "names"))
+    shifted = with_index_width(renamed.where(F.col("_names").isNotNull()).drop("_names"), near.select("file_id", "row", "line"))
+    return renamed.where(F.col("_names").isNull()).drop("_names").unionByName(shifted)
 
 
 def data_lines(lines: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -96,7 +131,7 @@ def data_lines(lines: DataFrame, decisions: DataFrame) -> DataFrame:
     number of the data row, ``_row_idx``; others are compared by their ordering key, which must then be the
     one the heads were taken with.
     """
-    wanted = decisions.select("file_id", "delimiter", "header_row", "header_line_no", "names")
+    wanted = decisions.select("file_id", "delimiter", "header_row", "header_line_no", "names", "index_width")
     joined = lines.where(F.col("line").rlike(r"\S")).join(wanted, "file_id")
     if "row" in lines.columns:
         return joined.where(F.col("row") > F.col("header_row")).withColumn(
@@ -106,40 +141,67 @@ def data_lines(lines: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def scan_rows(lines: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Data rows of all files: ``file_id, line_no, names, cells`` (and ``_row_idx`` of numbered lines).
+    """Data rows of all files: ``file_id, line_no, names, cells, _index, _extra`` (and ``_row_idx`` of numbered lines).
 
-    Missing cells are null. A row wider than the header keeps its last fields, as its leading ones are an
-    index; a shorter row is filled up with nulls.
+    Missing cells are null; a shorter row is filled up with nulls. Leading fields that the file has no names for
+    are in ``_index``, and what a row holds beyond its last column is in ``_extra``, as it stands.
     """
-    width = F.size("names")
+    width, shift = F.size("names"), F.col("index_width")
     fields = split_by(F.col("line"), F.col("delimiter"))
     below = data_lines(lines, decisions)
-    return (
-        below.withColumn("fields", fields)
-        .withColumn("shift", F.greatest(F.size("fields") - width, F.lit(0)))
-        .select(
-            "file_id",
-            *[c for c in ("line_no", "_row_idx") if c in below.columns],
-            "names",
-            F.transform(
-                F.sequence(F.lit(0), width - 1),
-                lambda i: null_tokens_to_null(F.get("fields", F.col("shift") + i)),
-            ).alias("cells"),
-        )
+    return below.withColumn("fields", fields).select(
+        "file_id",
+        *[c for c in ("line_no", "_row_idx") if c in below.columns],
+        "names",
+        F.transform(F.sequence(F.lit(0), width - 1), lambda i: null_tokens_to_null(F.get("fields", shift + i))).alias("cells"),
+        F.slice("fields", F.lit(1), shift).alias("_index"),
+        F.slice("fields", shift + width + 1, F.greatest(F.size("fields"), F.lit(1))).alias("_extra"),
     )
 
 
-def scan_files(spark: SparkSession, *paths: str, mode: str = "robust", **scan: int) -> tuple[DataFrame, DataFrame]:
-    """Detect and read any number of delimited files: ``(rows, decisions)``.
+def skipped_lines(lines: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``file_id, line_no, line, reason`` of the lines that are neither a header nor data: blank ones and those above it."""
+    wanted = decisions.select("file_id", "header_row", "header_line_no")
+    above = F.col("row") < F.col("header_row") if "row" in lines.columns else F.col("line_no") < F.col("header_line_no")
+    reason = F.when(~F.col("line").rlike(r"\S"), "blank").when(above, "above_header")
+    return lines.join(wanted, "file_id").withColumn("reason", reason).where("reason is not null").select("file_id", "line_no", "line", "reason")
+
+
+class Scan(NamedTuple):
+    """Data rows, what was decided per file, and the lines left out. Every line that is not blank is in one of them."""
+
+    rows: DataFrame
+    decisions: DataFrame
+    skipped: DataFrame
+
+
+def scan_files(spark: SparkSession, *paths: str, mode: str = "robust", sniff_bytes: int = heads.SNIFF_BYTES, **scan: int) -> Scan:
+    """Detect and read any number of delimited files.
 
-    Heads decide on format and header; the files themselves are read once to count the lines of their
-    splits and once for the data.
+    Heads decide on format and header row; the files themselves are read once to count the lines of their
+    splits and once for the data. Heads and decisions are written once to the shared folder, so that each file is
+    opened for its head once, and joins know their measured size. A head that ends within the header or the line
+    after it still decides on the row, but the columns come from the whole lines.
     """
-    head = heads.read_heads(spark, *paths)
+    read = heads.read_heads(spark, *paths, sniff_bytes=sniff_bytes)
+    path = fresh_folder(spark, "heads")
+    read.write.parquet(path)
+    head = spark.read.schema(read.schema).parquet(path)
     encodings = head.groupBy("file_id").agg(F.first("encoding").alias("encoding"))
-    decisions = decide(formats.head_lines(head), mode, **scan).join(encodings, "file_id")
-    lines = number_lines(read_lines(spark, *paths, encodings=encodings))
-    return scan_rows(lines, decisions), decisions
+    numbered = formats.head_lines(head)
+    ends = numbered.groupBy("file_id").agg(F.max("row").alias("_last_row"))
+    longer = heads.list_files(spark, *paths).where(F.col("length") > sniff_bytes).select("file_id")
+    found = decide(numbered, mode, **scan).join(encodings, "file_id").join(ends, "file_id")
+    found = found.join(longer.withColumn("_longer", F.lit(True)), "file_id", "left")
+    found = found.withColumn("_cut", F.coalesce("_longer", F.lit(False)) & (F.col("header_row") + 1 >= F.col("_last_row"))).drop("_longer", "_last_row")
+    path = fresh_folder(spark, "decisions")
+    found.write.parquet(path)
+    decisions = spark.read.schema(found.schema).parquet(path)
+    lines = number_lines(read_lines(spark, *paths, encodings=decisions))
+    cut, decisions = decisions.where("_cut").select("file_id"), decisions.drop("_cut")
+    if cut.limit(1).count():
+        decisions = with_full_names(decisions, lines, cut)
+    return Scan(scan_rows(lines, decisions), decisions, skipped_lines(lines, decisions))
 
 
 def header_groups(decisions: DataFrame) -> DataFrame:

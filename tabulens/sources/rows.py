@@ -12,17 +12,20 @@ MAX_BUCKETS = 100_000
 
 
 def number_rows(df: DataFrame, order: str, name: str = "_row_idx", buckets: int = MAX_BUCKETS) -> DataFrame:
-    """Number rows 0, 1, ... by ``order``, an integer column of distinct values.
+    """Number rows 0, 1, ... by ``order``, an integer column of distinct values; a null value is an error.
 
-    Values that already run without a gap only need their minimum taken off. Otherwise the value range is
-    cut into at most ``buckets`` ranges, whose row counts (one small row each) give every range its offset;
-    rows are then ranked inside their range only. A range holds at most its width in rows, since values are
-    distinct, so no key can become hot.
+    Values that already run without a gap only need their minimum taken off; that each is there once is seen by a
+    checksum. Otherwise the value range is cut into at most ``buckets`` ranges, whose row counts (one small row each)
+    give every range its offset; rows are then ranked inside their range only. A range holds at most its width in
+    rows where values are distinct, so no key can become hot; equal values are numbered one after the other.
     """
-    low, high, n = df.agg(F.min(order), F.max(order), F.count(order)).first()
+    key = F.col(order).cast("long")
+    low, high, n, rows, check = df.agg(F.min(key), F.max(key), F.count(key), F.count(F.lit(1)), F.bit_xor(F.xxhash64(key))).first()
+    if rows > n:
+        raise ValueError(f"{rows - n} rows have no {order}")
     if n == 0:
         return df.withColumn(name, F.lit(0).cast("long"))
-    if high - low + 1 == n:
+    if high - low + 1 == n and check == df.sparkSession.range(low, high + 1).agg(F.bit_xor(F.xxhash64("id"))).first()[0]:
         return df.withColumn(name, (F.col(order) - F.lit(low)).cast("long"))
     width = -(-(high - low + 1) // buckets)
     bucket = F.floor((F.col(order) - F.lit(low)) / F.lit(width)).cast("long")

@@ -29,19 +29,21 @@ def profile_stream(
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
-        columns = histogram.data_columns(batch, exclude=(order,))
-        hist = histogram.value_histogram(batch, columns, order=order)
-        profile.column_profile(hist, source=batch, columns=columns, order=order).write.mode("overwrite").parquet(f"{out}/profiles/batch_id={batch_id}")
-        if scores:
-            marked = anomaly.mark_anomalies(batch, columns=columns)
-            marked.write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
-        summary = batch.agg(F.count(F.lit(1)).alias("chunk_rows")).select(
-            F.lit(batch_id).cast("long").alias("batch"),
-            F.lit(_rows_before(spark, out, batch_id)).cast("long").alias("row_offset"),
-            "chunk_rows",
-        )
-        summary.write.mode("overwrite").json(f"{out}/batches/batch_{batch_id}")
-        batch.unpersist()
+        try:
+            columns = histogram.data_columns(batch, exclude=(order,))
+            hist = histogram.value_histogram(batch, columns, order=order)
+            profile.column_profile(hist, source=batch, columns=columns, order=order).write.mode("overwrite").parquet(f"{out}/profiles/batch_id={batch_id}")
+            if scores:
+                marked = anomaly.mark_anomalies(batch, columns=columns)
+                marked.write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
+            summary = batch.agg(F.count(F.lit(1)).alias("chunk_rows")).select(
+                F.lit(batch_id).cast("long").alias("batch"),
+                F.lit(_rows_before(spark, out, batch_id)).cast("long").alias("row_offset"),
+                "chunk_rows",
+            )
+            summary.write.mode("overwrite").json(f"{out}/batches/batch_{batch_id}")
+        finally:
+            batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

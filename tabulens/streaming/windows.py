@@ -36,14 +36,17 @@ def window_profile(
     )
 
 
-def latest_windows(profile: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keep the current state of all windows below ``out``, one folder per trigger."""
+def closed_windows(profile: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Write every window once, when the watermark has passed it, below ``out``; rows that come later are dropped.
+
+    State is the windows still open. A batch overwrites its own folder, so one that is run again leaves one result.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return (
-        profile.writeStream.outputMode("complete")
+        profile.writeStream.outputMode("append")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

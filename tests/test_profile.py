@@ -76,6 +76,10 @@ def test_number_rows(spark):
         assert [r._row_idx for r in numbered] == list(range(len(values)))
     dense = spark.range(10, 20).withColumnRenamed("id", "k")
     assert sorted(r._row_idx for r in rows.number_rows(dense, "k").collect()) == list(range(10))
+    ties = spark.createDataFrame([(0,), (0,), (2,)], "k long")
+    assert sorted(tuple(r) for r in rows.number_rows(ties, "k").collect()) == [(0, 0), (0, 1), (2, 2)]
+    with pytest.raises(ValueError):
+        rows.number_rows(spark.createDataFrame([(0,), (None,)], "k long"), "k")
 
 
 def test_long_values_travel_as_digests(spark):

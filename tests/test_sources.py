@@ -40,7 +40,7 @@ def test_cut_character():
 
 
 def test_scan_of_mixed_files(spark, folder):
-    found, decisions = delimited.scan_files(spark, str(folder))
+    found, decisions, _ = delimited.scan_files(spark, str(folder))
     scanned = {}
     for r in found.orderBy("_row_idx").collect():
         assert r._row_idx == len(scanned.setdefault(name_of(r.file_id), []))
@@ -69,3 +69,46 @@ def test_number_lines_over_many_splits(spark, tmp_path):
             spark.conf.set(key, value)
     assert wrong == 0
     assert [r.line for r in ordered] == [f"line {i}" for i in range(10)] * 2
+
+
+def scanned(spark, folder, texts, **options):
+    folder.mkdir()
+    for name, text in texts.items():
+        (folder / name).write_text(text)
+    scan = delimited.scan_files(spark, str(folder), **options)
+    rows = {}
+    for r in scan.rows.orderBy("file_id", "_row_idx").collect():
+        rows.setdefault(r.file_id.rsplit("/", 1)[1], []).append(r)
+    return rows, {r.file_id.rsplit("/", 1)[1]: r for r in scan.decisions.collect()}, scan.skipped.collect()
+
+
+def test_names_come_from_the_whole_header_line(spark, tmp_path):
+    """Headers that are longer than the head, with and without an index, and one that ends where the head does."""
+    names = [f"measured_column_{i}" for i in range(60)]
+    line = ",".join(str(i) for i in range(60))
+    texts = {"wide.csv": ",".join(names) + f"\n{line}\n{line}\n", "index.csv": ",".join(names) + f"\nx,{line}\ny,{line}\n", "short.csv": "a,b\n1,2\n"}
+    rows, decisions, _ = scanned(spark, tmp_path / "in", texts, sniff_bytes=400)
+    for name in ("wide.csv", "index.csv"):
+        assert decisions[name].names == names
+        assert [r.cells for r in rows[name]] == [[str(i) for i in range(60)]] * 2
+    assert [r["_index"] for r in rows["index.csv"]] == [["x"], ["y"]] and rows["short.csv"][0].cells == ["1", "2"]
+
+
+def test_nothing_vanishes(spark, tmp_path):
+    """A wide row keeps its leading cells and its rest; one shift per file; lines above the header are listed."""
+    body = "".join(f"{i},n{i},{i * 2}\n" for i in range(30))
+    texts = {
+        "ragged.csv": "id,name,amount\n" + body + "31,x,7,extra,more\n32,y\n",
+        "indexed.csv": "name,amount\n" + "".join(f"{i},a{i},{i}\n" for i in range(30)) + "30,c,3,z\n31,d\n",
+        "remarks.csv": "# made by hand\n# twice\nid,name,amount\n1,a,2\n2,b,3\n",
+    }
+    rows, decisions, skipped = scanned(spark, tmp_path / "in", texts)
+    last = rows["ragged.csv"][-2:]
+    assert (last[0].cells, last[0]["_extra"], last[0]["_index"]) == (["31", "x", "7"], ["extra", "more"], [])
+    assert (last[1].cells, last[1]["_extra"]) == (["32", "y", None], [])
+    assert [(r["_index"], r.cells, r["_extra"]) for r in rows["indexed.csv"]][29:] == [
+        (["29"], ["a29", "29"], []), (["30"], ["c", "3"], ["z"]), (["31"], ["d", None], []),
+    ]
+    assert sorted((r.line, r.reason) for r in skipped) == [("# made by hand", "above_header"), ("# twice", "above_header")]
+    for name, text in texts.items():
+        assert len(text.splitlines()) == 1 + len(rows[name]) + sum(r.file_id.endswith(name) for r in skipped)

@@ -446,6 +446,11 @@ define(
   CASE WHEN o_custkey % 7 = 0 THEN o_orderpriority || """ + SEP + """ || ' "x"' ELSE o_orderpriority END AS priority
 FROM orders JOIN selected ON selected.file_id = 'file_' || o_custkey WHERE o_orderkey + 10 > header_line_no""",
 )
+define(
+    "A4_line_count", H,
+    """SELECT f.file_id, count(*) AS lines, CAST(1 AS BIGINT) AS headers, count(*) FILTER (f.line_no > s.header_line_no) AS rows,
+  count(*) FILTER (f.line_no < s.header_line_no) AS skipped FROM lines f JOIN selected s USING (file_id) GROUP BY f.file_id""",
+)
 define(
     "A4_scan_files", "",
     """SELECT o_custkey % 64 AS g, row_number() OVER (PARTITION BY o_custkey % 64 ORDER BY o_orderkey) - 1 AS _row_idx,
@@ -850,7 +855,7 @@ facts AS (SELECT col, sum(c) AS n, count(*) AS d, sum(c * length(v)) / sum(c) AS
 )
 define(
     "K2_window_profile",
-    "d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, value AS x FROM events), m AS (SELECT day, avg(x) AS mean, stddev_pop(x) AS std FROM d GROUP BY day)",
+    "d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, value AS x FROM events WHERE date_trunc('day', ts) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)), m AS (SELECT day, avg(x) AS mean, stddev_pop(x) AS std FROM d GROUP BY day)",
     """SELECT day, count(*) AS rows, round(avg(CASE WHEN x IS NULL THEN 1.0 ELSE 0.0 END), 6) AS null_rate, round(any_value(mean), 5) AS mean,
   round(any_value(std), 5) AS std, round(avg(power(x - mean, 3)) / power(any_value(std), 3), 4) AS skew FROM d JOIN m USING (day) GROUP BY day""",
 )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,10 +114,26 @@ def a4(spark, sf):
 
 @query("A4_scan_files")
 def a4_files(spark, sf):
-    scanned, _ = delimited.scan_files(spark, fx.written_files(spark, sf))
+    scanned = delimited.scan_files(spark, fx.written_files(spark, sf)).rows
     return delimited.as_table(scanned, list(fx.HEADER)).select(fx.file_group(), "_row_idx", *fx.HEADER)
 
 
+@query("A4_line_count")
+def a4_lines(spark, sf):
+    """Per file: lines, and where they went."""
+    lines = fx.rendered_lines(spark, sf)
+    decisions = delimited.decide(formats.head_lines(lines))
+    counts = [
+        lines.select("file_id", F.lit("line").alias("kind")),
+        decisions.select("file_id", F.lit("header").alias("kind")),
+        delimited.scan_rows(lines, decisions).select("file_id", F.lit("row").alias("kind")),
+        delimited.skipped_lines(lines, decisions).select("file_id", F.lit("skipped").alias("kind")),
+    ]
+    each = reduce(DataFrame.unionByName, counts).groupBy("file_id")
+    names = {"line": "lines", "header": "headers", "row": "rows", "skipped": "skipped"}
+    return each.agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(name) for k, name in names.items()])
+
+
 @query("A5_null_tokens")
 def a5(spark, sf):
     return clean(spark, sf)
@@ -286,7 +303,7 @@ def c10(spark, sf):
 def c11(spark, sf):
     queue = review.review_queue(detected(spark, sf))
     preview = formats.raw_preview(fx.rendered_lines(spark, sf))
-    return review.review_prompts(preview, queue)
+    return review.review_prompts(preview, queue).drop("instruction")
 
 
 @query("C12_apply_reviews")
@@ -353,7 +370,8 @@ def e4(spark, sf):
 
 @query("E5_top_values")
 def e5(spark, sf):
-    return profile.ranked_values(hist(spark, sf)).drop("first_idx")
+    t = clean(spark, sf)
+    return profile.restore_values(profile.ranked_values(hist(spark, sf)), t, histogram.data_columns(t, exclude=("_row_idx",))).drop("first_idx")
 
 
 @query("E6_id_like")
@@ -369,7 +387,7 @@ def e7(spark, sf):
 @query("E8_column_profile")
 def e8(spark, sf):
     chunks = histogram.value_histogram(chunked(spark, sf), DIRTY, ("_chunk_id",))
-    found = profile.column_profile(chunks, ("_chunk_id",))
+    found = profile.column_profile(chunks, ("_chunk_id",), source=chunked(spark, sf), columns=DIRTY)
     return found.select(
         F.col("_chunk_id").alias("chunk_id"),
         "column",
@@ -799,9 +817,6 @@ def k2(spark, sf):
     schema = fx.table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     out = fresh_folder(spark, "windows")
-    run = windows.latest_windows(windows.window_profile(stream, "ts", "value"), out, fresh_folder(spark, "progress"))
+    run = windows.closed_windows(windows.window_profile(stream, "ts", "value"), out, fresh_folder(spark, "progress"))
     run.awaitTermination()
-    latest = spark.read.parquet(out)
-    newest = latest.agg(F.max("batch_id").alias("batch_id"))
-    found = latest.join(newest, "batch_id", "left_semi")
-    return found.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "rows", r6("null_rate"), r6("mean", 5), r6("std", 5), r6("skew", 4))
+    return spark.read.parquet(out).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "rows", r6("null_rate"), r6("mean", 5), r6("std", 5), r6("skew", 4))
