@@ -18,6 +18,8 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ from tabulens.llm.tokens import SPACE, public_path
 THETA = 1.0
 SEED = 29
 #: Places that a task remembers before it starts anew, and the characters of the longest words among them.
-REMEMBERED, LONG = 600_000, 32
+REMEMBERED, LONG = 400_000, 32
 #: Characters that are worked on together.
 TOGETHER = 1_000_000
 FEW = 24
@@ -37,22 +39,16 @@ MASK = 0xFFFFFFFFFFFFFFFF
 
 
 
-class PieceLattice:
-    """The pieces of a model with log weights, for encoding by sampling and for decoding.
+class PieceTexts:
+    """What the tokens of a model file stand for, to decode them; the file is read through the library."""
 
-    A unigram model's scores are log probabilities. A BPE model's scores only order its merges, so a piece's probability
-    is taken by its rank there, as one over rank and ``FEW``: common pieces come early. A model file is read through the
-    library; nothing is trained.
-    """
-
-    def __init__(self, path: str, theta: float = THETA) -> None:
+    def __init__(self, path: str) -> None:
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.model = model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.raw: list[bytes] = []
         self.ids: dict[str, int] = {}
         self.bytes: dict[int, int] = {}
-        scores: dict[str, float] = {}
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -62,8 +58,24 @@ class PieceLattice:
                 self.raw.append(b"")
             else:
                 self.ids[piece] = i
-                scores[piece] = model.get_score(i)
                 self.raw.append(piece.replace(SPACE, " ").encode())
+
+    def decode(self, ids: Sequence[int]) -> str:
+        """The text, without the leading space: the very text that was encoded."""
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")
+        return text[1:]
+
+
+class PieceLattice(PieceTexts):
+    """The pieces of a model with their weights, for encoding by sampling.
+
+    A unigram model's scores are log probabilities. A BPE model's scores only order its merges, so a piece's probability
+    is taken by its rank there, as one over rank and ``FEW``: common pieces come early. Nothing is trained.
+    """
+
+    def __init__(self, path: str, theta: float = THETA) -> None:
+        super().__init__(path)
+        scores = {p: self.model.get_score(i) for p, i in self.ids.items()}
         if len(self.bytes) != 256 or any(SPACE in p.lstrip(SPACE) or " " in p for p in self.ids):
             raise ValueError("the model lacks byte tokens or has spaces inside pieces")
         ranked = sorted(self.ids, key=lambda p: -scores[p])
@@ -196,37 +208,49 @@ class PieceLattice:
             which, at = which[at != 0], at[at != 0]
         return rounds
 
-    def decode(self, ids: Sequence[int]) -> str:
-        """The text, without the leading space: the very text that was encoded."""
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")
-        return text[1:]
-
 
 @lru_cache(maxsize=4)
 def lattice_of(path: str, theta: float = THETA) -> PieceLattice:
     return PieceLattice(path, theta)
 
 
+@lru_cache(maxsize=4)
+def texts_of(path: str) -> PieceTexts:
+    return PieceTexts(path)
+
+
 def encode_sampled(
-    docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", theta: float = THETA, seed: int = SEED, out: str = "token_ids"
+    docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", theta: float = THETA, seed: int = SEED, out: str = "token_ids",
+    check: str | None = None,
 ) -> DataFrame:
     """The rows with a column ``out`` (in place of one of that name): array<int>, a segmentation drawn by the row's key.
 
     Null and empty texts have no tokens. Rows of equal key and text get equal tokens; rows without a key share one seed.
+    With ``check``, a boolean column of that name tells whether the tokens were decoded and gave the very text.
     """
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("ids array<int>, same boolean")
+    def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         lattice = lattice_of(path, theta)
         for keys, texts in batches:
-            out: list[np.ndarray] = []
-            lengths = texts.str.len().fillna(0).cumsum() // TOGETHER
-            for _, part in texts.groupby(lengths, sort=False):
-                out += lattice.sample(part.tolist(), keys[part.index].tolist(), seed)
-            yield pd.Series(out)
+            ids, sizes, same = [np.empty(0, np.int32)], [0], []
+            # Texts become Python's a part at a time; only tokens are gathered, in one array.
+            lot = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)) // TOGETHER
+            cuts = np.flatnonzero(np.diff(lot, prepend=-1, append=-1)) if len(lot) else []
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                some = texts.slice(low, high - low).to_pylist()
+                found = lattice.sample(some, keys.slice(low, high - low).to_pylist(), seed)
+                same += [lattice.decode(x.tolist()) == (t or "") for x, t in zip(found, some)] if check else [True] * len(some)
+                ids += found
+                sizes += map(len, found)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(ids)))
+            yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], names=["ids", "same"])
 
     name = F.coalesce(F.to_json(F.struct(F.col(quoted(key)).alias("key"))), F.lit(""))
-    return docs.withColumn(out, encode(name, F.col(quoted(text))))
+    done = docs.withColumn(out, encode(name, F.col(quoted(text))))
+    if check:
+        done = done.withColumn(check, F.col(quoted(out))["same"])
+    return done.withColumn(out, F.col(quoted(out))["ids"])
 
 
 def decode_pieces(docs: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -234,20 +258,18 @@ def decode_pieces(docs: DataFrame, path: str, ids: str = "token_ids", out: str =
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        lattice = lattice_of(path)
+        texts = texts_of(path)
         for column in batches:
-            yield pd.Series([lattice.decode(x.tolist()) if x is not None and len(x) else "" for x in column])
+            yield pd.Series([texts.decode(x.tolist()) if x is not None and len(x) else "" for x in column])
 
     return docs.withColumn(out, decode(F.col(quoted(ids))))
 
 
 def op8_sampled_pieces(spark, sf_dir):
-    """Per document: n_chars, n_tokens, the digest of the sampled tokens, and whether decoding them gives the text back."""
-    path = public_path()
+    """Per document: n_chars, n_tokens, the digest of the sampled tokens, and whether decoding them gave the text back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    done = decode_pieces(encode_sampled(docs, path), path)
+    done = encode_sampled(docs, public_path(), check="lossless")
     return done.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.size("token_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("token_ids", " "), 256).alias("tokens_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.col("text")).alias("lossless"),
+        F.sha2(F.array_join("token_ids", " "), 256).alias("tokens_sha256"), "lossless",
     )
