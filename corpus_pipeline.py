@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tabulens.llm.common import quoted, table, written
 from tabulens.llm.dedup import keep_one_of_each
 from tabulens.llm.mixing import mix, text_words
-from tabulens.llm.pieces import decode_pieces, encode_sampled
+from tabulens.llm.pieces import encode_sampled
 from tabulens.llm.quality import apply_quality
 from tabulens.llm.tokens import public_path
 
@@ -43,12 +43,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sampled_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, token_ids (a sampled segmentation) and lossless, whether they decode to the very text."""
-    path = public_path()
-    done = decode_pieces(encode_sampled(docs.select("doc_id", "source", "text"), path), path)
-    return done.select(
-        "doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
-    )
+    done = encode_sampled(docs.select("doc_id", "source", "text"), public_path(), check="lossless")
+    return done.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "lossless")
 
 
 STAGES = [("quality", quality_rules), ("near_dedup", near_dedup), ("mixing", mix_sources), ("pieces", sampled_pieces)]
