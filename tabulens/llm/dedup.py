@@ -3,10 +3,12 @@
 Texts become sets of word shingles; equal sets are one class from there on, so exact copies cost one row. A class has
 one sketch from a single hash of each shingle: the hash picks a bin and competes in it, and an empty bin borrows from
 bins that a second hash of (bin, attempt) names until one is filled. Bands of the sketch are buckets. In each bucket
-only the edges of a star are compared, on full sets. Classes that the confirmed links do not bring together are compared
-further: bucket by bucket, more centres are drawn from the smallest groups, until no two classes of a bucket are both in
-different components and uncompared. So buckets have no cap, and every pair that shares a bucket is either compared or
-already connected.
+only the edges of a star are compared, on full sets. Where that leaves a bucket with several components, more stars
+follow: their centres come from its largest components, those first that have few shingles of their own, as these are
+likest to all others, and they are compared with whatever is not connected with them. A centre that has been compared leaves its
+bucket. This ends when no bucket holds two components, so buckets need no cap, and every pair that shares a bucket is
+compared, connected otherwise, or out of reach: sets cannot reach the similarity if their sizes do not allow it, or if
+too many of their shingles stand in no other set that is still looked at.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from tabulens.llm.components import components
 #: Bands and rows a band: two sets of similarity 0.8 share no bucket with a chance of (1 - 0.8 ** ROWS) ** BANDS = 5e-6.
 BANDS, ROWS = 40, 6
 SHINGLE, PERCENT = 5, 80
-FIRST_CENTRES, MORE_CENTRES = 8, 8
+#: Centres of a bucket in the second round, and how many times as many in each round after.
+FIRST_CENTRES, MORE_CENTRES = 2, 8
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -92,9 +95,31 @@ def _classes(rows: DataFrame, width: int, bands: int, per_row: int) -> DataFrame
     return rows.mapInPandas(run, f"key {kind}, text_hash long, n_shingles long, class binary, bands array<long>")
 
 
-def _sizes_allow(n: str, m: str, percent: int) -> Column:
-    """Whether sets of these sizes can reach the similarity."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def _reach(n: str, m: str, percent: int, own: str | None = None, others: str | None = None) -> Column:
+    """Whether sets of n and m shingles, some of them their own, can reach the similarity."""
+    most = F.least(F.col(n) - F.col(own), F.col(m) - F.col(others)) if own and others else F.least(n, m)
+    return most * 100 >= (F.col(n) + F.col(m) - most) * percent
+
+
+def _split(rest: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components: with their ``root``, and its ``size`` in the bucket."""
+    names = [c for c in rest.columns if c not in ("root", "size")]
+    rooted = rest.select(*names).join(labels.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    groups = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
+    several = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("bucket")
+    return rooted.join(several, "bucket").join(groups, ["bucket", "root"])
+
+
+def _own_shingles(texts: DataFrame, width: int) -> DataFrame:
+    """(class, own): how many of its shingles stand in no other of the texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"class": batch["class"], "found": [shingle_hashes(t, width).view(np.int64) for t in batch["text"]]})
+
+    each = texts.mapInPandas(run, "class binary, found array<long>").select("class", F.explode("found").alias("h"))
+    alone = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.first("class").alias("class")).where("n = 1")
+    return alone.groupBy("class").agg(F.count(F.lit(1)).alias("own"))
 
 
 def _texts(plain: DataFrame, sketched: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -167,38 +192,47 @@ def _decided(docs: DataFrame, key: str, text: str, width: int, percent: int, ban
     """(key, text_hash, n_shingles, class, root, component_id) of every row."""
     plain = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sketched = written(_classes(plain, width, bands, rows), "sketches")
-    # Equal sets have equal bands: any row of a class stands for it.
+    # Equal sets have equal bands: any row of a class stands for it. Buckets know classes by a short hash; should two
+    # share it, both are looked at.
     classes = sketched.where(F.col("class").isNotNull()).groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    members = written(classes.select("class", "n", F.explode("bands").alias("bucket")), "buckets")
-    # The centre of a bucket is the class with the least hash; should two share it, both are centres.
-    placed = members.select("bucket", "class", "n", F.xxhash64("class").alias("h"))
-    shared = placed.groupBy("bucket").agg(F.min("h").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared_members = written(placed.join(shared, "bucket"), "members")
-    centres = shared_members.where("h = least").select("bucket", F.col("class").alias("c"), F.col("n").alias("m"))
-    stars = shared_members.join(centres, "bucket").where((F.col("class") != F.col("c")) & _sizes_allow("n", "m", percent))
-    compared = written(stars.select(F.col("c").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
+    classes = written(classes.withColumn("id", F.xxhash64("class")), "classes")
+    placed = classes.select("id", F.explode("bands").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = written(placed.join(shared, "bucket"), "members")
+    known = classes.select("id", "class", "n")
+    stars = members.where("id <> centre").select("centre", "id").distinct()
+    twins = members.where("id = centre").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(members, "bucket").select("centre", "id").distinct()
+    ends = known.select(F.col("id").alias("centre"), F.col("class").alias("a"), F.col("n").alias("m"))
+    compared = stars.union(twins).distinct().join(known, "id").join(ends, "centre").where((F.col("a") != F.col("class")) & _reach("n", "m", percent))
+    compared = written(compared.select("a", F.col("class").alias("b")), "pairs")
     links = written(_confirmed(compared, _texts(plain, sketched, compared), width, percent), "confirmed")
-    # A bucket of two is settled; from larger ones the centre can go, as it was compared with all others.
-    rest = written(shared_members.where("size > 2 and h > least").select("bucket", "class", "n"), "rest")
-    most = FIRST_CENTRES
+    # A bucket of two is settled; from larger ones the centre goes, as it was compared with all others.
+    rest = members.where("size > 2 and id <> centre").select("bucket", "id").join(known, "id").select("bucket", "class", "n")
+    most, own = FIRST_CENTRES, None
     while True:
         labels = written(components(links), "labels")
-        rooted = rest.join(labels.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        groups = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
-        split = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("bucket")
-        rest = written(rooted.join(split, "bucket").join(groups, ["bucket", "root"]), "rest")
-        order = Window.partitionBy("bucket").orderBy("size", "root", "class")
-        drawn = written(rest.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most), "centres")
+        rest = written(_split(rest, labels), "rest")
+        if own is None:
+            wanted = rest.select("class").distinct()
+            own = written(_own_shingles(_texts(plain, sketched, wanted.select(F.col("class").alias("a"), F.col("class").alias("b"))), width), "own")
+            rest = rest.join(own, "class", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        # Of a set with ``own`` shingles that no other has, the likest set of any size in its bucket.
+        smallest = rest.groupBy("bucket").agg(F.min("n").alias("smallest"))
+        left = F.col("n") - F.col("own")
+        rest = rest.join(smallest, "bucket").where(left * 100 >= (F.greatest("smallest", left) + F.col("own")) * percent)
+        rest = written(_split(rest.select("bucket", "class", "n", "own"), labels), "rest")
+        order = Window.partitionBy("bucket").orderBy(F.desc("size"), "root", "own", "class")
+        drawn = rest.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+        drawn = written(drawn.select("bucket", F.col("class").alias("c"), F.col("n").alias("m"), F.col("own").alias("others"), F.col("root").alias("other")), "centres")
         if not drawn.limit(1).count():
             break
-        chosen = drawn.select("bucket", F.col("class").alias("c"), F.col("n").alias("m"), F.col("root").alias("other"))
-        pairs = rest.join(chosen, "bucket").where((F.col("root") != F.col("other")) & _sizes_allow("n", "m", percent))
+        pairs = rest.join(drawn, "bucket").where((F.col("root") != F.col("other")) & _reach("n", "m", percent, "own", "others"))
         pairs = pairs.select(F.least("class", "c").alias("a"), F.greatest("class", "c").alias("b")).distinct()
         old = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         new = written(pairs.join(old, ["a", "b"], "left_anti"), "pairs")
         compared = compared.union(new)
         links = written(links.union(_confirmed(new, _texts(plain, sketched, new), width, percent)), "confirmed")
-        rest = rest.join(drawn.select("bucket", "class"), ["bucket", "class"], "left_anti").select("bucket", "class", "n")
+        rest = rest.join(drawn.select("bucket", F.col("c").alias("class")), ["bucket", "class"], "left_anti").select("bucket", "class", "n", "own")
         most *= MORE_CENTRES
     least = sketched.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("key").alias("least"))
     rooted = least.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
@@ -212,3 +246,19 @@ def _decided(docs: DataFrame, key: str, text: str, width: int, percent: int, ban
 def op1_near_duplicates(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, width=2)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i, len(w) AS n FROM w),
+s AS (SELECT DISTINCT doc_id, CASE WHEN n = 1 THEN x ELSE x || ' ' || y END AS g
+  FROM (SELECT *, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS y FROM k) WHERE y IS NOT NULL OR n = 1),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
+SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept
+FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""

@@ -4,5 +4,21 @@ from __future__ import annotations
 
 from tabulens.llm import chat, dedup, html, licenses, lm, mixing, pieces, quality, syncmers, tokens
 
-QUERIES = {"op10_lm_scores": lm.op10_lm_scores, "op7_license_scan": licenses.op7_license_scan, "op5_main_text": html.op5_main_text, "op8_sampled_pieces": pieces.op8_sampled_pieces, "op3_token_counts": tokens.op3_token_counts, "op1_near_duplicates": dedup.op1_near_duplicates, "op2_fingerprints": syncmers.op2_fingerprints, "op4_mix_sources": mixing.op4_mix_sources, "op6_quality_rules": quality.op6_quality_rules, "op9_chat_format": chat.op9_chat_format}
-ORACLE = {"op7_license_scan": licenses.OP7_SQL, "op6_quality_rules": quality.OP6_SQL, "op9_chat_format": chat.OP9_SQL}
+QUERIES = {
+    "op1_near_duplicates": dedup.op1_near_duplicates,
+    "op2_fingerprints": syncmers.op2_fingerprints,
+    "op3_token_counts": tokens.op3_token_counts,
+    "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_main_text": html.op5_main_text,
+    "op6_quality_rules": quality.op6_quality_rules,
+    "op7_license_scan": licenses.op7_license_scan,
+    "op8_sampled_pieces": pieces.op8_sampled_pieces,
+    "op9_chat_format": chat.op9_chat_format,
+    "op10_lm_scores": lm.op10_lm_scores,
+}
+ORACLE = {
+    "op1_near_duplicates": dedup.OP1_SQL,
+    "op6_quality_rules": quality.OP6_SQL,
+    "op7_license_scan": licenses.OP7_SQL,
+    "op9_chat_format": chat.OP9_SQL,
+}
