@@ -4,8 +4,9 @@ A page is read into text nodes, each with its path of elements from the root to
 text and punctuation are added up: articles have long nodes with many signs per node, menus short ones without. The two
 ratios of a path are fused, weighed down by the share of its text that lies in links, and smoothed over the nodes in page
 order, so that a heading takes part in the text that it stands before. Paths whose nodes reach the threshold are content.
-What an element says about itself goes before its ratio: text within an article is content, and menus, headers, footers,
-sidebars, notices, adverts, forms and readers' comments are not, wherever they stand.
+An article or main element is believed as far as it holds the page's text: the more of all ratios beside the text outside
+lies in it, the more its paths count, and the less those outside; beside a longer text it counts for little. Menus,
+headers, footers, sidebars, notices, adverts, forms and readers' comments are left out before, wherever they stand.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from tabulens.llm.common import quoted, table
 
 #: Nodes to either side over which ratios are smoothed, and the share of their spread that content must reach.
 REACH, SPREAD = 2, 0.5
+#: How many times its ratios an article or main element counts against the text outside.
+BELIEF = 2
 
 # Fixed values of HTML: elements by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -143,21 +146,19 @@ def parse(page: str) -> tuple[list[Element], list[Node]]:
 
 def content_mask(elements: list[Element], nodes: list[Node]) -> np.ndarray:
     """Which nodes are content."""
-    out, inside, linked = [False] * len(elements), [False] * len(elements), [False] * len(elements)
+    # ``owner``: the outermost article or main element that holds an element, 0 if none does.
+    out, owner, linked = [False] * len(elements), [0] * len(elements), [False] * len(elements)
     for i, e in enumerate(elements[1:], 1):
         out[i] = out[e.parent] or bool(e.out)
-        inside[i] = inside[e.parent] or e.tag in CONTENT
+        owner[i] = owner[e.parent] or (i if e.tag in CONTENT else 0)
         linked[i] = linked[e.parent] or e.tag == "a"
     kept = np.array([not out[x.element] for x in nodes], bool)
-    said = np.array([inside[x.element] for x in nodes], bool) & kept
-    if said.any():
-        return said
     size = np.array([len(SPACES.sub("", x.text)) for x in nodes], float)
     real = np.flatnonzero(kept & (size > 0))
     if not len(real):
         return kept & False
-    names: dict[str, int] = {}
-    path = np.array([names.setdefault(elements[nodes[i].element].path, len(names)) for i in real])
+    names: dict[tuple[str, int], int] = {}
+    path = np.array([names.setdefault((elements[e].path, owner[e]), len(names)) for e in (nodes[i].element for i in real)])
     signs = np.array([len(PUNCTUATION.findall(nodes[i].text)) for i in real], float)
     links = np.array([size[i] * linked[nodes[i].element] for i in real])
     count = np.bincount(path)
@@ -166,6 +167,7 @@ def content_mask(elements: list[Element], nodes: list[Node]) -> np.ndarray:
     ratio = np.concatenate([np.zeros(REACH), fused[path], np.zeros(REACH)])
     kernel = np.exp(-(np.arange(-REACH, REACH + 1) ** 2) / 2)
     smooth = np.convolve(ratio, kernel / kernel.sum(), "valid")
+    smooth = believed(smooth, fused[path], np.array([owner[nodes[i].element] for i in real]))
     reached = np.bincount(path, smooth) / count  # a path is content or it is not
     content = reached[path] >= min(SPREAD * smooth.std(), smooth.max())
     mask = np.zeros(len(nodes), bool)
@@ -173,6 +175,27 @@ def content_mask(elements: list[Element], nodes: list[Node]) -> np.ndarray:
     return mask
 
 
+def believed(smooth: np.ndarray, ratio: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The smoothed ratios, weighed by what article and main elements hold of all ratios against the text outside of them.
+
+    An element with odds under one is weighed down by their square; one with more lifts all its nodes, headings and short
+    paragraphs too, towards the largest, and the text outside is weighed down by the square of the greatest odds.
+    """
+    mass = np.bincount(owner, ratio)
+    if not owner.any():
+        return smooth
+    # Where nothing else has any text, an article is believed without text of its own ratio as well.
+    odds = BELIEF * mass / mass[0] if mass[0] > 0 else np.full(len(mass), np.inf)
+    odds[0] = 0
+    most = odds.max()
+    with np.errstate(divide="ignore"):
+        lift = smooth.max() * np.maximum(0, 1 - 1 / odds)
+    outside = min(1, 1 / most) ** 2 if most > 0 else 1.0
+    weight = np.minimum(1, odds) ** 2
+    weight[0], lift[0] = outside, 0
+    return smooth * weight[owner] + lift[owner]
+
+
 def main_text(page: str | None) -> str:
     """The content of a page: white space one space, blocks joined by one, nothing else changed."""
     if not page:

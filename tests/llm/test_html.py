@@ -52,3 +52,23 @@ def test_table(spark):
 def test_deep_and_broken_pages():
     assert html.main_text("<div>" * 20_000 + "x") == "x"
     assert html.main_text("</p></div><b><i>x</b></i> <a href=\"y") is not None
+
+
+CARD = "<article class=card><h3><a href=x>Other story</a></h3><p>A short teaser.</article>"
+
+
+@pytest.mark.parametrize("before, after", [(0, 4), (3, 0), (1, 6)])
+def test_cards_beside_a_main_text(before, after):
+    """Articles that are cards do not take the place of the text in a div."""
+    text = codec.unescape(LONG)
+    page = f"<body>{CARD * before}<div class=post><h1>T</h1>{f'<p>{LONG}' * 5}</div><div>{CARD * after}</div>"
+    got = html.main_text(page)
+    assert got.count(text) == 5 and "teaser" not in got and "Other" not in got
+
+
+def test_an_article_beside_other_text():
+    """The article's short lines stay, what stands around it goes; posts one after the other all stay."""
+    article = f"<article><h2>T</h2><p>{LONG}<p>x<p>{LONG}</article>"
+    want = f"T {codec.unescape(LONG)} x {codec.unescape(LONG)}"
+    assert html.main_text(f"<div>Welcome to this site.</div>{article}<div>See you soon.</div>") == want
+    assert html.main_text(f"<div>Welcome to this site.</div>{article * 8}<div>See you soon.</div>") == " ".join([want] * 8)
