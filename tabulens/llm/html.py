@@ -6,7 +6,8 @@ ratios of a path are fused, weighed down by the share of its text that lies in l
 order, so that a heading takes part in the text that it stands before. Paths whose nodes reach the threshold are content.
 An article or main element is believed as far as it holds the page's text: the more of all ratios beside the text outside
 lies in it, the more its paths count, and the less those outside; beside a longer text it counts for little. Menus,
-headers, footers, sidebars, notices, adverts, forms and readers' comments are left out before, wherever they stand.
+headers, footers, sidebars, notices, adverts, forms and readers' comments are left out before, wherever they stand; only a
+form or the like around an article, or around most of the page's ratios, is a wrapper, and its controls alone are left out.
 """
 
 from __future__ import annotations
@@ -40,9 +41,13 @@ CLOSED_BY_ITSELF = {
 }
 SCOPES = frozenset("html body article section main div ul ol dl table td th blockquote nav aside header footer form figure details fieldset".split())
 CONTENT = frozenset(("article", "main"))
+LASTING = frozenset(("tag", "name"))
 NEVER = frozenset(
     "head nav footer aside form button select option datalist input dialog menu object svg math canvas audio video map fieldset script style".split()
 )
+WRAPS = frozenset("form fieldset dialog object".split())
+LABELS = frozenset(("label", "legend"))
+LANDMARKS = frozenset("navigation banner contentinfo complementary search menu menubar".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar status".split())
 NAMES = (
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
@@ -61,7 +66,7 @@ class Element(NamedTuple):
     tag: str
     parent: int
     path: str
-    #: Why its text is not content: "tag", "name" or nothing.
+    #: Why its text is not content: "tag", "name", "wrap" (a tag or role that may stand around a whole page) or nothing.
     out: str
 
 
@@ -125,14 +130,21 @@ def parse(page: str) -> tuple[list[Element], list[Node]]:
             label = f"{name}.{said['class'].split()[0]}" if said.get("class", "").strip() else name
             if name not in ("html", "body", "article", "main") and UNWANTED.search(names):
                 out = "name"
-            if said.get("role", "").lower() in ROLES or "hidden" in said or said.get("aria-hidden") == "true":
+            role = said.get("role", "").lower()
+            if role in LANDMARKS or "hidden" in said:
                 out = "tag"
-        if name in NEVER or name in RAW or (name == "header" and not any(elements[i].tag in CONTENT for i in stack)):
+            elif role in ROLES or said.get("aria-hidden") == "true":
+                out = out or "wrap"
+        if name in WRAPS:
+            out = out or "wrap"
+        elif name in NEVER or name in RAW or (name == "header" and not any(elements[i].tag in CONTENT for i in stack)):
+            out = "tag"
+        elif name in LABELS and any(elements[i].tag in ("form", "fieldset") for i in stack):
             out = "tag"
         if name in CONTENT:
             # Something that holds the article is no part of the page beside it, whatever its name.
             for i in stack:
-                if elements[i].out == "name":
+                if elements[i].out in ("name", "wrap"):
                     elements[i] = elements[i]._replace(out="")
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
@@ -144,33 +156,58 @@ def parse(page: str) -> tuple[list[Element], list[Node]]:
     return elements, nodes
 
 
-def content_mask(elements: list[Element], nodes: list[Node]) -> np.ndarray:
-    """Which nodes are content."""
-    # ``owner``: the outermost article or main element that holds an element, 0 if none does.
+class Ratios(NamedTuple):
+    #: The nodes with text that are not left out.
+    real: np.ndarray
+    path: np.ndarray
+    fused: np.ndarray
+    #: The outermost article or main element that holds each node, 0 if none does.
+    owner: np.ndarray
+
+
+def ratios(elements: list[Element], nodes: list[Node], reasons: frozenset[str]) -> Ratios:
+    """The paths' ratios over the nodes that no element leaves out for one of ``reasons``."""
     out, owner, linked = [False] * len(elements), [0] * len(elements), [False] * len(elements)
     for i, e in enumerate(elements[1:], 1):
-        out[i] = out[e.parent] or bool(e.out)
+        out[i] = out[e.parent] or e.out in reasons
         owner[i] = owner[e.parent] or (i if e.tag in CONTENT else 0)
         linked[i] = linked[e.parent] or e.tag == "a"
     kept = np.array([not out[x.element] for x in nodes], bool)
     size = np.array([len(SPACES.sub("", x.text)) for x in nodes], float)
     real = np.flatnonzero(kept & (size > 0))
-    if not len(real):
-        return kept & False
     names: dict[tuple[str, int], int] = {}
-    path = np.array([names.setdefault((elements[e].path, owner[e]), len(names)) for e in (nodes[i].element for i in real)])
+    path = np.array([names.setdefault((elements[e].path, owner[e]), len(names)) for e in (nodes[i].element for i in real)], np.int64)
     signs = np.array([len(PUNCTUATION.findall(nodes[i].text)) for i in real], float)
     links = np.array([size[i] * linked[nodes[i].element] for i in real])
     count = np.bincount(path)
     text = np.bincount(path, size[real])
     fused = text / count * (1 + np.bincount(path, signs) / count) * (1 - np.bincount(path, links) / text)
+    return Ratios(real, path, fused, np.array([owner[nodes[i].element] for i in real], np.int64))
+
+
+def unwrapped(elements: list[Element], nodes: list[Node]) -> list[Element]:
+    """The elements, those that hold more than half of the page's ratios no longer left out as forms or roles."""
+    if not any(e.out == "wrap" for e in elements):
+        return elements
+    found = ratios(elements, nodes, LASTING)
+    held = np.bincount([nodes[i].element for i in found.real], found.fused[found.path], len(elements)).tolist()
+    total = sum(held)
+    for i in range(len(elements) - 1, 0, -1):  # an element stands after its parent
+        held[elements[i].parent] += held[i]
+    return [e._replace(out="") if e.out == "wrap" and 2 * h > total else e for e, h in zip(elements, held)]
+
+
+def content_mask(elements: list[Element], nodes: list[Node]) -> np.ndarray:
+    """Which nodes are content."""
+    mask = np.zeros(len(nodes), bool)
+    real, path, fused, owner = ratios(unwrapped(elements, nodes), nodes, LASTING | {"wrap"})
+    if not len(real):
+        return mask
     ratio = np.concatenate([np.zeros(REACH), fused[path], np.zeros(REACH)])
     kernel = np.exp(-(np.arange(-REACH, REACH + 1) ** 2) / 2)
-    smooth = np.convolve(ratio, kernel / kernel.sum(), "valid")
-    smooth = believed(smooth, fused[path], np.array([owner[nodes[i].element] for i in real]))
-    reached = np.bincount(path, smooth) / count  # a path is content or it is not
+    smooth = believed(np.convolve(ratio, kernel / kernel.sum(), "valid"), fused[path], owner)
+    reached = np.bincount(path, smooth) / np.bincount(path)  # a path is content or it is not
     content = reached[path] >= min(SPREAD * smooth.std(), smooth.max())
-    mask = np.zeros(len(nodes), bool)
     mask[real[content]] = True
     return mask
 

@@ -72,3 +72,19 @@ def test_an_article_beside_other_text():
     want = f"T {codec.unescape(LONG)} x {codec.unescape(LONG)}"
     assert html.main_text(f"<div>Welcome to this site.</div>{article}<div>See you soon.</div>") == want
     assert html.main_text(f"<div>Welcome to this site.</div>{article * 8}<div>See you soon.</div>") == " ".join([want] * 8)
+
+
+CONTROLS = "<label>Search</label><input><button>Go</button><select><option>All</select>"
+
+
+@pytest.mark.parametrize("wrapper", ["form", "fieldset", "dialog", "object", "div role=dialog", "div role=form", "div aria-hidden=true"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_a_page_in_a_wrapper(wrapper, inner):
+    """A form around the whole page: its text stays, around an article or not, and its controls go."""
+    controls = CONTROLS if wrapper in ("form", "fieldset") else CONTROLS.replace("<label>Search</label>", "")
+    page = f"<body><{wrapper}>{controls}<div><{inner}><p>{LONG}<p>{LONG}</{inner}></div></{wrapper.split()[0]}>"
+    assert html.main_text(page) == " ".join([codec.unescape(LONG)] * 2)
+
+
+def test_a_form_beside_the_text():
+    assert html.main_text(f"<div><p>{LONG}<p>{LONG}</div><form><p>Write to us, please.</form>") == " ".join([codec.unescape(LONG)] * 2)
