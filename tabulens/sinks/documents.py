@@ -63,12 +63,15 @@ def write_metadata(metadata: DataFrame, path: str) -> None:
     metadata.write.mode("overwrite").json(path)
 
 
-def result_document(decision: DataFrame, labels: DataFrame, summary: DataFrame, table: str) -> DataFrame:
-    """``table, document``: how the table was read, its labels and the size of its graph as one JSON text.
+def result_document(decision: DataFrame, labels: DataFrame, summary: DataFrame, table: str | Column) -> DataFrame:
+    """``table, document``: how a file was read, its table's labels and the size of its graph as one JSON text.
 
-    ``decision`` and ``summary`` have one row, ``labels`` fifteen.
+    One row per row of ``decision``. ``table`` is the name of the only table, or a column of ``decision`` that names each
+    file's. Per table, ``summary`` has one row and ``labels`` fifteen; a file whose table has none gets how it was read alone.
     """
-    read = decision.drop("candidate_summary", "names").select(F.lit(table).alias("table"), F.struct("*").alias("l1_metadata"))
+    key = F.lit(table) if isinstance(table, str) else table
+    facts = [F.col(c) for c in decision.columns if c not in ("candidate_summary", "names")]
+    read = decision.select(key.alias("table"), F.struct(*facts).alias("l1_metadata"))
     ranked = labels.groupBy("table").agg(
         F.sort_array(
             F.collect_list(
@@ -84,7 +87,7 @@ def result_document(decision: DataFrame, labels: DataFrame, summary: DataFrame,
             F.struct("entity_count", "relationship_count").alias("knowledge_graph_summary"),
         ).alias("l2_result"),
     )
-    return read.join(perceived, "table").select("table", F.to_json(F.struct("l1_metadata", "l2_result")).alias("document"))
+    return read.join(perceived, "table", "left").select("table", F.to_json(F.struct("l1_metadata", "l2_result")).alias("document"))
 
 
 def graph_document(nodes: DataFrame, edges: DataFrame, path: str) -> None:

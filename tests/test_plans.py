@@ -55,6 +55,18 @@ def test_result_document(spark, sample, sample_lines):
     assert len(result["l2_result"]["attribute_labels"]) == 15
 
 
+def test_result_documents_of_several_tables(spark):
+    """One document per file, each with the labels and the graph of its own table."""
+    decisions = spark.createDataFrame([("f1", ",", "a"), ("f2", ";", "a"), ("f3", "|", "b"), ("f4", ",", "c")], "file_id string, delimiter string, of string")
+    scores = "confidence double, semantic_score double, statistical_score double, raw_fused double, source string"
+    labels = spark.createDataFrame([(t, f"{t}{i}", i / 10, 0.0, 0.0, 0.0, "x") for t in "ab" for i in range(15)], f"table string, attribute string, {scores}")
+    summary = spark.createDataFrame([("a", 1, 2), ("b", 3, 4)], "graph string, entity_count long, relationship_count long")
+    found = [(r.table, json.loads(r.document)) for r in documents.result_document(decisions, labels, summary, F.col("of")).collect()]
+    got = sorted((t, d["l1_metadata"]["file_id"], d["l2_result"]["top_attributes"][0], d["l2_result"]["knowledge_graph_summary"]["entity_count"]) for t, d in found if t != "c")
+    assert [set(d) for t, d in found if t == "c"] == [{"l1_metadata"}]
+    assert got == [("a", "f1", "a14", 1), ("a", "f2", "a14", 1), ("b", "f3", "b14", 3)]
+
+
 def test_typed_scan(spark, tmp_path):
     (tmp_path / "t.csv").write_text('a,b,c\n1,x,NA\n"2,500",y,3\n,z,\n')
     df = typed.read_typed(spark, str(tmp_path))
