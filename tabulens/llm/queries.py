@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulens.llm import chat, dedup, html, licenses, lm, mixing, pieces, quality, syncmers, tokens
+from tabulens.llm import align, bpe, chat, dedup, html, licenses, lm, mixing, pieces, quality, syncmers, tokens, whitening
 
 QUERIES = {
     "op1_near_duplicates": dedup.op1_near_duplicates,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_sampled_pieces": pieces.op8_sampled_pieces,
     "op9_chat_format": chat.op9_chat_format,
     "op10_lm_scores": lm.op10_lm_scores,
+    "op11_bpe_roundtrip": bpe.op11_bpe_roundtrip,
+    "op12_token_alignment": align.op12_token_alignment,
+    "op13_whitened_vectors": whitening.op13_whitened_vectors,
 }
 ORACLE = {
     "op1_near_duplicates": dedup.OP1_SQL,
