@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from tabulens.functions.fields import split_by
 from tabulens.functions.predicates import null_tokens_to_null
 from tabulens.operators import headers
-from tabulens.sources import formats, heads
-from tabulens.sources.rows import number_lines
-from tabulens.sources.workdir import fresh_folder
+from tabulens.sources import formats, heads, records
+from tabulens.sources.rows import number_lines, number_records
+from tabulens.sources.workdir import stored
 
 BYTE_ORDER_MARK = "\ufeff"
 
@@ -151,7 +151,7 @@ def scan_rows(lines: DataFrame, decisions: DataFrame) -> DataFrame:
     below = data_lines(lines, decisions)
     return below.withColumn("fields", fields).select(
         "file_id",
-        *[c for c in ("line_no", "_row_idx") if c in below.columns],
+        *[c for c in ("line_no", "_row_idx", "_lines") if c in below.columns],
         "names",
         F.transform(F.sequence(F.lit(0), width - 1), lambda i: null_tokens_to_null(F.get("fields", shift + i))).alias("cells"),
         F.slice("fields", F.lit(1), shift).alias("_index"),
@@ -178,32 +178,46 @@ class Scan(NamedTuple):
 def scan_files(spark: SparkSession, *paths: str, mode: str = "robust", sniff_bytes: int = heads.SNIFF_BYTES, **scan: int) -> Scan:
     """Detect and read any number of delimited files.
 
-    Heads decide on format and header row; the files themselves are read once to count the lines of their
-    splits and once for the data. Heads and decisions are written once to the shared folder, so that each file is
-    opened for its head once, and joins know their measured size. A head that ends within the header or the line
-    after it still decides on the row, but the columns come from the whole lines.
+    Heads decide on format and header row; the files themselves are read once to find quotes that stay open, once to
+    count the lines of their splits and once for the data. Heads and decisions are written once to the shared folder, so
+    that each file is opened for its head once, and joins know their measured size. A head that ends within the header or
+    the line after it still decides on the row, but the columns come from the whole lines. A quoted field with line
+    breaks is one field, wherever the file is split; only files that hold such fields are read and numbered apart. Rows
+    tell in ``_lines`` how many lines they took.
     """
-    read = heads.read_heads(spark, *paths, sniff_bytes=sniff_bytes)
-    path = fresh_folder(spark, "heads")
-    read.write.parquet(path)
-    head = spark.read.schema(read.schema).parquet(path)
+    head = stored(heads.read_heads(spark, *paths, sniff_bytes=sniff_bytes), "heads")
     encodings = head.groupBy("file_id").agg(F.first("encoding").alias("encoding"))
     numbered = formats.head_lines(head)
+    if head.where(F.contains("line", F.lit('"'))).limit(1).count():
+        sniffed = formats.sniff_delimiter(numbered, mode)
+        broken = stored(records.open_files(head, sniffed), "broken")
+        if broken.limit(1).count():
+            joined = records.merged_head(head.join(broken, "file_id", "left_semi"), sniffed)
+            numbered = numbered.join(broken, "file_id", "left_anti").drop("encoding").unionByName(formats.head_lines(joined))
     ends = numbered.groupBy("file_id").agg(F.max("row").alias("_last_row"))
     longer = heads.list_files(spark, *paths).where(F.col("length") > sniff_bytes).select("file_id")
     found = decide(numbered, mode, **scan).join(encodings, "file_id").join(ends, "file_id")
     found = found.join(longer.withColumn("_longer", F.lit(True)), "file_id", "left")
     found = found.withColumn("_cut", F.coalesce("_longer", F.lit(False)) & (F.col("header_row") + 1 >= F.col("_last_row"))).drop("_longer", "_last_row")
-    path = fresh_folder(spark, "decisions")
-    found.write.parquet(path)
-    decisions = spark.read.schema(found.schema).parquet(path)
-    lines = number_lines(read_lines(spark, *paths, encodings=decisions))
+    decisions = stored(found, "decisions")
+    lines = numbered_records(spark, *paths, decisions=decisions)
     cut, decisions = decisions.where("_cut").select("file_id"), decisions.drop("_cut")
     if cut.limit(1).count():
         decisions = with_full_names(decisions, lines, cut)
     return Scan(scan_rows(lines, decisions), decisions, skipped_lines(lines, decisions))
 
 
+def numbered_records(spark: SparkSession, *paths: str, decisions: DataFrame) -> DataFrame:
+    """``file_id, line_no, line, _lines, row``: the records of all files, numbered by file."""
+    lines = read_lines(spark, *paths, encodings=decisions)
+    opened = stored(records.open_files(lines, decisions), "opened")
+    if not opened.limit(1).count():
+        return number_lines(lines.withColumn("_lines", F.lit(1).cast("long")))
+    whole = number_lines(lines.join(opened, "file_id", "left_anti").withColumn("_lines", F.lit(1).cast("long")))
+    every = read_lines(spark, *paths, encodings=decisions, keep_blank=True).join(opened, "file_id", "left_semi")
+    return whole.unionByName(number_records(stored(records.merged(every, decisions), "records")))
+
+
 def header_groups(decisions: DataFrame) -> DataFrame:
     """Files that share their column names, so that each group can become one table."""
     return decisions.groupBy("names").agg(F.count(F.lit(1)).alias("files"))

@@ -52,18 +52,28 @@ def number_lines(lines: DataFrame, name: str = "row") -> DataFrame:
     broadcast, which Spark decides from its measured size.
     """
     splits = lines.groupBy("file_id", F.col("line_no.block").alias("_block")).agg(
-        F.count(F.lit(1)).alias("_lines"), F.min("line_no.position").alias("_first")
+        F.count(F.lit(1)).alias("_lines_here"), F.min("line_no.position").alias("_first")
     )
     before = Window.partitionBy("file_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0)))
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_lines_here").over(before), F.lit(0)))
     return (
         lines.withColumn("_block", F.col("line_no.block"))
         .join(splits, ["file_id", "_block"])
         .withColumn(name, F.col("_before") + F.col("line_no.position") - F.col("_first"))
-        .drop("_block", "_lines", "_first", "_before")
+        .drop("_block", "_lines_here", "_first", "_before")
     )
 
 
+def number_records(records: DataFrame, name: str = "row") -> DataFrame:
+    """The same for lines whose positions have gaps: they are counted inside their split, which bounds the work of a task."""
+    inside = Window.partitionBy("file_id", "_block").orderBy("line_no")
+    splits = records.groupBy("file_id", F.col("line_no.block").alias("_block")).agg(F.count(F.lit(1)).alias("_lines_here"))
+    before = Window.partitionBy("file_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_lines_here").over(before), F.lit(0))).drop("_lines_here")
+    counted = records.withColumn("_block", F.col("line_no.block")).withColumn("_nth", F.row_number().over(inside))
+    return counted.join(splits, ["file_id", "_block"]).withColumn(name, F.col("_before") + F.col("_nth") - 1).drop("_block", "_before", "_nth")
+
+
 def chunk_id(row_idx: Column, chunk_rows: int = CHUNK_ROWS) -> Column:
     return F.floor(row_idx / F.lit(chunk_rows)).cast("long")
 

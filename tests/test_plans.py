@@ -1,4 +1,8 @@
 import json
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,3 +183,18 @@ def test_entry_and_registry(spark):
         "B3_result_document", "F5_chunk_forest", "F5_isolation_forest", "F6_forest_ensemble",
     }
     assert entry_points.entry(spark).count() == 15
+
+
+@pytest.mark.parametrize("with_pipeline", [True, False])
+def test_entry_without_the_training_data_operators(tmp_path, with_pipeline):
+    """A copy without the package, with and without the pipeline's file, has all other queries and their SQL."""
+    root = Path(entry_points.__file__).parent
+    for name in ("tabulens", "workload"):
+        shutil.copytree(root / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "tabulens" / "llm" / "__pycache__").mkdir(parents=True)  # what a deleted package may leave
+    for name in ("__spark_entry__.py", *(["corpus_pipeline.py"] if with_pipeline and (root / "corpus_pipeline.py").exists() else [])):
+        shutil.copy(root / name, tmp_path / name)
+    asked = "import __spark_entry__ as e; print(*sorted(e.queries())); assert set(e.oracle_sql()) <= set(e.queries())"
+    done = subprocess.run([sys.executable, "-c", asked], cwd=tmp_path, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    assert set(done.stdout.split()) == {q for q in entry_points.queries() if not q.startswith("op") and q != "pipeline"}

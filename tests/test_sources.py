@@ -1,7 +1,11 @@
+import csv
+import io
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from tabulens.sources import delimited, formats, heads, rows
+from tabulens.sources import delimited, formats, heads, records, rows
 from tests.conftest import SAMPLE
 
 
@@ -112,3 +116,77 @@ def test_nothing_vanishes(spark, tmp_path):
     assert sorted((r.line, r.reason) for r in skipped) == [("# made by hand", "above_header"), ("# twice", "above_header")]
     for name, text in texts.items():
         assert len(text.splitlines()) == 1 + len(rows[name]) + sum(r.file_id.endswith(name) for r in skipped)
+
+
+def record_rows(text, delimiter=","):
+    """What a reader that knows quotes makes of a text: rows of fields and the lines each took, in order."""
+    rows, last = [], 0
+    reader = csv.reader(io.StringIO(text), delimiter=delimiter, strict=False)
+    for row in reader:
+        if row and (len(row) > 1 or row[0].strip()):
+            rows.append((row, reader.line_num - last))
+        last = reader.line_num
+    return rows
+
+
+@pytest.mark.parametrize("split", ["60", "100000"])
+def test_records_of_several_lines(spark, tmp_path, split):
+    """Quoted line breaks, also with blank lines, quotes and other records' signs inside, over splits of any size."""
+    rng = random.Random(5)
+
+    def field(i, sep):
+        kind = rng.randrange(8)
+        return {0: f'"two\nlines {i}"', 1: f'"a ""quoted"" {i}\n\nx{sep}y\n"', 2: f'"one{sep} {i}"', 3: f'{i}" pipe', 4: '"\n"', 5: '""'}.get(kind, f"plain{i}")
+
+    def body(n, sep):
+        return "".join(sep.join([str(i), field(i, sep), field(i + 1, sep)]) + "\n" for i in range(n))
+
+    texts = {
+        "commas.csv": "id,name,note\n" + body(25, ","), "bars.csv": "id|name|note\n" + body(20, "|"), "plain.csv": "id,name,note\n1,a,b\n\n2,c,d\n",
+        "long.csv": "id,name,note\n1,a,b\n2,\"" + "line of a very long field\n" * 15 + "\",c\n3,d,e\n", "header.csv": 'id,"first\nname",note\n' + body(9, ","),
+        "never.csv": "id,name,note\n1,a,b\n2,c,d\n3,\"open,e\n4,f,g\n",
+    }
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows, decisions, skipped = scanned(spark, tmp_path / "in", texts)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    for name, text in texts.items():
+        if name == "never.csv":  # the quote stays open, so lines stand for themselves
+            assert [r["_lines"] for r in rows[name]] == [1] * 4 and rows[name][3].cells == ["4", "f", "g"]
+            continue
+        (header, taken), *data = record_rows(text, decisions[name].delimiter)
+        assert decisions[name].names == header
+        assert [r["_row_idx"] for r in rows[name]] == list(range(len(data)))
+        assert [r["_lines"] for r in rows[name]] == [n for _, n in data]
+        for r, (want, _) in zip(rows[name], data):
+            assert [c or "" for c in r.cells] == ["" if x in ("", "NA") else x for x in want]
+    assert skipped == []
+
+
+def test_quote_states_are_those_of_a_reader(spark):
+    """Every line of random quotes and signs, from either state, against a machine that goes character by character."""
+
+    def ends(line, inside):
+        state = "in" if inside else "start"
+        for i, c in enumerate(line):
+            if state == "in":
+                state = "close" if c == '"' else "in"
+            elif state == "close" and c == '"':
+                state = "in"
+            elif c == ",":
+                state = "start"
+            elif state == "start" and c == '"':
+                state = "in"
+            else:
+                state = "field"
+        return state == "in"
+
+    rng = random.Random(6)
+    lines = ["".join(rng.choice('",,ab') for _ in range(rng.randrange(9))) for _ in range(1500)]
+    m = records.quote_map(F.col("line"), F.lit(","))
+    for r in spark.createDataFrame([(x,) for x in lines], "line string").select("line", m.alias("m")).collect():
+        assert (r.m.outside, r.m.inside) == (ends(r.line, False), ends(r.line, True)), r.line
