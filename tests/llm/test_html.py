@@ -88,3 +88,62 @@ def test_a_page_in_a_wrapper(wrapper, inner):
 
 def test_a_form_beside_the_text():
     assert html.main_text(f"<div><p>{LONG}<p>{LONG}</div><form><p>Write to us, please.</form>") == " ".join([codec.unescape(LONG)] * 2)
+
+
+FIVE = " ".join([codec.unescape(LONG)] * 5)
+
+
+@pytest.mark.parametrize("opening", ["div class='sidebar-layout'", "div class='header-fixed'", "div id='comments-open'", "div class=widget", "section class='page related'"])
+@pytest.mark.parametrize("around", ["{}", "<main>{}</main>", "<div>{}</div>", "<nav><a href=x>Home</a></nav>{}<footer>c</footer>"])
+def test_names_around_a_page_are_not_its_end(opening, around):
+    page = around.format(f"<{opening}><div>{f'<p>{LONG}' * 5}</div></{opening.split()[0]}>")
+    assert html.main_text(page) == FIVE
+
+
+def test_names_of_parts_of_an_article():
+    """A title in an article's header and a section on related work stay; adverts and comments go, short or long."""
+    text = f"<p>{LONG}" * 5
+    page = f"<article><div class='article-header'><h1>Title</h1></div>{text}<section class='related-work'><p>{LONG}</section></article>"
+    assert html.main_text(page) == f"Title {FIVE} {codec.unescape(LONG)}"
+    for unwanted in ("<div class=ad>Buy!</div>", "<div class='ad-slot'><p>Buy this, it is good.</div>", f"<div id=comments>{'<p>I agree, by the way.' * 9}</div>", f"<div class='post-comments'>{'<p>I agree, by the way.' * 3}</div>"):
+        for n in (1, 8):
+            assert html.main_text(f"<article>{text * n}{unwanted}</article>") == " ".join([FIVE] * n)
+            assert html.main_text(f"<div class=content>{text * n}</div>{unwanted}") == " ".join([FIVE] * n)
+
+
+def brute_ratios(elements, nodes):
+    """Text, signs and links per path, node by node, of nodes that HTML does not leave out."""
+    found = {}
+    for node in nodes:
+        chain, at = [], node.element
+        while at:
+            chain.append(elements[at])
+            at = elements[at].parent
+        if any(e.out == "tag" for e in chain) or not node.text.strip():
+            continue
+        owner = max((i for i, e in enumerate(chain) if e.tag in html.CONTENT), default=None)
+        key = (elements[node.element].path, None if owner is None else id(chain[owner]), min([1.0, *(e.weight for e in chain)]))
+        size, signs = len(re.sub(SPACE, "", node.text)), sum(not (c.isalnum() or c == "_" or c.isspace()) for c in node.text)
+        found.setdefault(key, []).append((size, signs, size * any(e.tag == "a" for e in chain)))
+    out = []
+    for each in found.values():
+        n, text = len(each), sum(x[0] for x in each)
+        out.append(text / n * (1 + sum(x[1] for x in each) / n) * (1 - sum(x[2] for x in each) / text))
+    return out
+
+
+def test_ratios_against_brute_force(spark, sf_dir):
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()][:60] + [*CASES]
+    for page in pages:
+        elements, nodes = html.parse(page)
+        if nodes:
+            assert html.ratios(elements, nodes, html.LASTING).fused.tolist() == pytest.approx(brute_ratios(elements, nodes))
+
+
+def test_pages_of_the_tables_in_wrappers(spark, sf_dir):
+    """Pages of the tables, their body put into an element of an unwanted name: the text is the same."""
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    for i, r in enumerate(rows[::10]):
+        name = html.NAMES[i % len(html.NAMES)]
+        wrapped = re.sub(r"(<body[^>]*>)(.*)", rf"\1<div class='{name}-layout'>\2", r.html, flags=re.S)
+        assert wrapped != r.html and html.main_text(wrapped) == html.main_text(r.html)
