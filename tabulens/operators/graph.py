@@ -6,16 +6,14 @@ correlations and hierarchies read the table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulens.functions.scoring import ratio
+from tabulens.operators.comoments import co_moments, correlation
 from tabulens.operators.dependencies import hierarchy_pairs
 from tabulens.operators.statistical import is_low_cardinality
 from tabulens.operators.tablefacts import quoted
@@ -35,8 +33,6 @@ TEMPORAL_WEIGHT = 0.7
 CORRELATION_THRESHOLD = 0.7
 SAMPLE_VALUES = 5
 DATE_SHARE = 0.8
-# Pairs of columns that are correlated by one aggregate.
-MAX_AGGREGATED_PAIRS = 120
 PAIR_SCHEMA = "left string, right string, r double"
 
 NODE_COLUMNS = ("graph", "id", "name", "entity_type", "properties")
@@ -205,85 +201,18 @@ def reference_edges(typed: DataFrame, qualified: bool = False) -> DataFrame:
     )
 
 
-def _one_aggregate(df: DataFrame, values: dict[str, Column], pairs: list[tuple[str, str]]) -> DataFrame:
-    """All pairs as one row of aggregates.
-
-    A first pass finds means and missing values. Columns without a missing value are taken off their mean, so
-    that a pair of them needs one sum of products; other pairs are measured over the rows that have both.
-    """
-    total, *measured = df.agg(
-        F.count(F.lit(1)), *[f(v) for v in values.values() for f in (F.count, F.avg, F.min, F.max)]
-    ).first()
-    stats = {c: measured[4 * i : 4 * i + 4] for i, c in enumerate(values)}
-    complete = {c for c, (n, *_) in stats.items() if n == total > 0}
-    constant = {c for c, (n, _, low, high) in stats.items() if n == 0 or low == high}
-    number = {c: i for i, c in enumerate(values)}
-    still = [(a, b, None) for a, b in pairs if a in constant or b in constant]
-    without = df.sparkSession.createDataFrame(still, PAIR_SCHEMA)
-    pairs = [(a, b) for a, b in pairs if a not in constant and b not in constant]
-    if not pairs:
-        return without
-    off = {c: values[c] - F.lit(stats[c][1]) for c in complete}
-    aggregates = {f"v{number[c]}": F.sum(x * x) for c, x in off.items()}
-    rows = []
-    for i, (a, b) in enumerate(pairs):
-        if a in complete and b in complete:
-            aggregates[f"c{i}"] = F.sum(off[a] * off[b])
-            spread = F.sqrt(F.col(f"v{number[a]}")) * F.sqrt(F.col(f"v{number[b]}"))
-        else:
-            aggregates[f"c{i}"] = F.covar_pop(values[a], values[b])
-            aggregates[f"s{i}"] = F.stddev_pop(F.when(values[b].isNotNull(), values[a]))
-            aggregates[f"t{i}"] = F.stddev_pop(F.when(values[a].isNotNull(), values[b]))
-            spread = F.col(f"s{i}") * F.col(f"t{i}")
-        rows.append(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.try_divide(F.col(f"c{i}"), spread).alias("r")))
-    found = df.agg(*[x.alias(name) for name, x in aggregates.items()]).select(F.inline(F.array(*rows)))
-    return found.unionByName(without) if still else found
-
-
-def _by_products(df: DataFrame, values: dict[str, Column], pairs: list[tuple[str, str]]) -> DataFrame:
-    """All pairs at once, for tables so wide that one aggregate per pair would not compile.
-
-    Every task adds up the products of its rows, taken off the means, as one matrix per sum: W * W numbers of W columns,
-    whatever its rows. Missing values stand as zero and are counted, so every pair is measured over the rows that have both.
-    """
-    names = list(values)
-    means = df.agg(*[F.coalesce(F.avg(v), F.lit(0.0)) for v in values.values()]).first()
-    centred = df.select(*[(v - F.lit(m)).alias(f"v{i}") for i, (v, m) in enumerate(zip(values.values(), means))])
-    width = len(names)
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, x, xx, xy = (np.zeros((width, width)) for _ in range(4))
-        for batch in batches:
-            v = batch.to_numpy(float)
-            there = (~np.isnan(v)).astype(float)
-            v = np.where(there > 0, v, 0.0)
-            n, x, xx, xy = n + there.T @ there, x + v.T @ there, xx + (v * v).T @ there, xy + v.T @ v
-        i, j = np.triu_indices(width, 1)
-        yield pd.DataFrame({"i": i, "j": j, "n": n[i, j], "x": x[i, j], "y": x[j, i], "xx": xx[i, j], "yy": xx[j, i], "xy": xy[i, j]})
-
-    sums = ("n", "x", "y", "xx", "yy", "xy")
-    schema = "i int, j int, " + ", ".join(f"{c} double" for c in sums)
-    total = centred.mapInPandas(add, schema).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums])
-    spread = F.sqrt(F.greatest(F.col("xx") - F.try_divide(F.col("x") * F.col("x"), F.col("n")), F.lit(0.0)))
-    spread = spread * F.sqrt(F.greatest(F.col("yy") - F.try_divide(F.col("y") * F.col("y"), F.col("n")), F.lit(0.0)))
-    r = F.try_divide(F.col("xy") - F.try_divide(F.col("x") * F.col("y"), F.col("n")), spread)
-    named = df.sparkSession.createDataFrame([(names.index(a), names.index(b), a, b) for a, b in pairs], "i int, j int, left string, right string")
-    return named.join(total.select("i", "j", r.alias("r")), ["i", "j"], "left").select("left", "right", "r")
-
-
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """``left, right, r``: Pearson correlation of all column pairs over rows that have both values.
 
-    Each task sends a few numbers per pair. A constant column has no correlation: its pairs are null, at any width.
+    One read of the table at any width; each task sends a few numbers per pair. A constant column has no correlation:
+    its pairs are null.
     """
-    pairs = list(combinations(columns, 2))
+    pairs = list(combinations(range(len(columns)), 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    floating = {c for c, t in df.dtypes if t in ("double", "float")}
-    values = {c: quoted(c).cast("double") for c in columns}
-    values = {c: F.when(~F.isnan(v), v) if c in floating else v for c, v in values.items()}
-    few = len(pairs) <= MAX_AGGREGATED_PAIRS
-    return _one_aggregate(df, values, pairs) if few else _by_products(df, values, pairs)
+    moments = co_moments(df, [quoted(c) for c in columns])
+    named = df.sparkSession.createDataFrame([(i, j, columns[i], columns[j]) for i, j in pairs], "i int, j int, left string, right string")
+    return named.join(moments.select("i", "j", correlation(moments).alias("r")), ["i", "j"], "left").select("left", "right", "r")
 
 
 def _named(table: str, column: str, qualified: bool) -> Column:
@@ -310,7 +239,7 @@ def correlation_edges(
 def hierarchy_edges(
     df: DataFrame, table: str, columns: dict[str, int], qualified: bool = False
 ) -> DataFrame:
-    held = hierarchy_pairs(df, list(columns), columns).where("holds").withColumn("table", F.lit(table))
+    held = hierarchy_pairs(df, list(columns)).where("holds").withColumn("table", F.lit(table))
     return _edges(
         held,
         _named(table, "parent", qualified),

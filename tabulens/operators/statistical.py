@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -112,9 +113,9 @@ def categorical_columns(facts: DataFrame, table: str) -> dict[str, int]:
     return {r["column"]: r["distinct"] for r in found.select("column", "distinct").collect()}
 
 
-def hierarchy_score(df: DataFrame, columns: dict[str, int]) -> DataFrame:
+def hierarchy_score(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Share of column pairs in which the later column determines the earlier one."""
-    pairs = hierarchy_pairs(df, list(columns), columns)
+    pairs = hierarchy_pairs(df, list(columns))
     return pairs.agg(F.coalesce(_share(F.col("holds")), F.lit(0.0)).alias("hierarchical_structure"))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulens.operators import anomaly, dependencies, fusion, graph, semantic, spectrum, statistical, tablefacts
+from tabulens.operators import anomaly, comoments, dependencies, fusion, graph, semantic, spectrum, statistical, tablefacts
 from tabulens.plans import perceive
 
 
@@ -139,8 +139,39 @@ def test_hierarchy_pairs(spark):
     df = spark.createDataFrame(rows, "region string, nation string, code string")
     got = {(r.parent, r.child): r.holds for r in dependencies.hierarchy_pairs(df, ["region", "nation", "code"]).collect()}
     assert got == {("region", "nation"): True, ("region", "code"): False, ("nation", "code"): False}
-    small = dependencies.hierarchy_pairs(df, ["region", "nation", "code"], {"region": 2, "nation": 4, "code": 3})
-    assert {(r.parent, r.child): r.holds for r in small.collect()} == got
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_dependencies_of_a_hundred_columns(spark, parts):
+    """Against all pairs: dependencies that hold, that one row breaks, that only rows of different tasks break, and nulls."""
+    rng = np.random.default_rng(8)
+    columns = [f"c{i}" for i in range(100)]
+    base = rng.integers(0, 40, 600)
+    data = []
+    for i in range(100):
+        values = base // (1 + i % 5) if i % 3 else rng.integers(0, 6, 600)
+        values = values + (np.arange(600) == i) * (i % 7 == 0)
+        data.append([None if i % 11 == 0 and rng.random() < 0.1 else f"v{v}" for v in values])
+    rows = list(zip(*data))
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns)).repartition(parts)
+    got = {(r.parent, r.child): r.holds for r in dependencies.hierarchy_pairs(df, columns).collect()}
+
+    def holds(a, b):
+        seen = {}
+        for x, y in zip(data[a], data[b]):
+            if x is not None and y is not None:
+                seen.setdefault(y, set()).add(x)
+        return bool(seen) and max(map(len, seen.values())) == 1
+
+    want = {(columns[a], columns[b]): holds(a, b) for a in range(100) for b in range(a + 1, 100)}
+    assert got == want and 100 < sum(want.values()) < 3000
+
+
+def test_pairs_that_no_task_breaks_alone(spark):
+    """Every task sees one parent for each child; only together they do not agree."""
+    df = spark.createDataFrame([(f"p{i}", "x", f"u{i}") for i in range(8)], "a string, b string, c string").repartition(8, "c")
+    got = {(r.parent, r.child): r.holds for r in dependencies.hierarchy_pairs(df, ["a", "b", "c"]).collect()}
+    assert got == {("a", "b"): False, ("a", "c"): True, ("b", "c"): True}
 
 
 def test_head_values_of_sparse_columns(spark):
@@ -175,17 +206,33 @@ def test_correlations(spark):
     }
 
 
-def test_correlations_follow_one_rule_at_any_width(spark, monkeypatch):
+@pytest.mark.parametrize("width", [4, 60])
+def test_correlations_follow_one_rule_at_any_width(spark, width):
+    """Missing values, a constant column, a far mean: as pairwise deletion gives it, in one read of the table."""
     rng = np.random.default_rng(3)
-    columns = [f"c{i}" for i in range(18)]
-    rows = [tuple(None if rng.random() < 0.1 and j % 3 == 0 else float(v) if j != 5 else 4.0 for j, v in enumerate(x)) for x in rng.normal(size=(200, 18)) * 10 + 1e6]
-    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns)).repartition(3)
-    wide = {(r.left, r.right): r.r for r in graph.correlations(df, columns).collect()}
-    monkeypatch.setattr(graph, "MAX_AGGREGATED_PAIRS", 10**6)
-    narrow = {(r.left, r.right): r.r for r in graph.correlations(df, columns).collect()}
-    assert wide.keys() == narrow.keys() and len(wide) == 153
-    for k, r in narrow.items():
-        assert (r is None and wide[k] is None) == ("c5" in k) and (r is None or wide[k] == pytest.approx(r, abs=1e-9))
+    columns = [f"c{i}" for i in range(width)]
+    x = rng.normal(size=(300, width)) @ rng.normal(size=(width, width)) * 10 + 1e6
+    x[:, 1] = 0.1 + 0.2
+    x[rng.random((300, width)) < 0.1 * (np.arange(width) % 3 == 0)] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in x], ", ".join(f"{c} double" for c in columns)).repartition(5)
+    got = {(r.left, r.right): r.r for r in graph.correlations(df, columns).collect()}
+    assert len(got) == width * (width - 1) // 2
+    for (a, b), r in got.items():
+        i, j = columns.index(a), columns.index(b)
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert (r is None) == (1 in (i, j)) and (r is None or r == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-9))
+
+
+def test_moments_merge_in_any_parts(spark):
+    rng = np.random.default_rng(4)
+    x = np.column_stack([np.sort(rng.normal(5, 1, 400)), rng.normal(1e6, 1e-2, 400), rng.normal(size=400)])
+    df = spark.createDataFrame([tuple(map(float, row)) for row in x], "a double, b double, c double")
+    for parts in (df.coalesce(1), df.repartition(13), df.repartitionByRange(6, "a")):
+        got = {(r.i, r.j): r for r in comoments.co_moments(parts, [F.col(c) for c in "abc"]).collect()}
+        assert len(got) == 6
+        for (i, j), r in got.items():
+            dx, dy = x[:, i] - x[:, i].mean(), x[:, j] - x[:, j].mean()
+            assert r.n == 400 and r.x == pytest.approx(x[:, i].mean()) and r.xx == pytest.approx((dx * dx).sum(), rel=1e-6) and r.xy == pytest.approx((dx * dy).sum(), rel=1e-5, abs=1e-7)
 
 
 def test_rows_without_an_order_come_last(spark):
