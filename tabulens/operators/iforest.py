@@ -110,20 +110,33 @@ class Forest:
         return np.power(2.0, -total / len(self.feature) / self.scale)
 
 
+def _joins(trees: int, share: float) -> list[float]:
+    """The chance that a row joins so many trees or fewer, for 0, 1, ... of ``trees`` that each take it with ``share``."""
+    if share >= 1:
+        return [0.0] * trees
+    chances = [(1 - share) ** trees]
+    for k in range(1, trees):
+        chances.append(chances[-1] * share / (1 - share) * (trees - k + 1) / k)
+    return np.minimum(np.cumsum(chances), 1.0).tolist()
+
+
 def _sample(df: DataFrame, key: Column, n: int, trees: int, subsample: int, seed: int) -> DataFrame:
     """``tree`` and its rows, chosen by hashes of the row key, so the same in every run and on any cluster.
 
-    One rule at every size: a hash of row and tree admits a row to a tree, about twice as many as the tree needs, and
-    the first of them by another hash are taken.
+    One rule at every size: one hash of a row tells how many trees it joins, as if each tree drew about twice as many rows
+    as it needs; most rows of a large table join none and are hashed once. Which trees these are, and which rows of a
+    tree come first to be taken, other hashes tell, of the rows that are drawn alone.
     """
     keyed = df.withColumn("_key", F.xxhash64(key.cast("string"), F.lit(seed)))
-    share = min(1.0, 2.0 * subsample / n)
-    uniform = lambda tree: F.pmod(F.xxhash64("_key", F.lit("tree"), tree), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    numbers = F.sequence(F.lit(0), F.lit(trees - 1))
-    drawn = keyed.withColumn("tree", F.explode(F.filter(numbers, lambda tree: uniform(tree) < share)))
+    chances = _joins(trees, min(1.0, 2.0 * subsample / n))
+    luck = F.pmod(F.xxhash64("_key", F.lit("trees")), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    drawn = keyed.withColumn("_luck", luck).where(F.col("_luck") >= chances[0])
+    joins = F.size(F.filter(F.array(*[F.lit(c) for c in chances]), lambda c: F.col("_luck") >= c))
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.xxhash64("_key", F.lit("draw"), t).alias("by"), t.alias("tree")))
+    drawn = drawn.withColumn("tree", F.explode(F.slice(F.sort_array(numbers), F.lit(1), joins))).withColumn("tree", F.col("tree.tree"))
     order = Window.partitionBy("tree").orderBy(F.xxhash64("_key", "tree"), "_key")
     return (
-        drawn.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= subsample).drop("_key", "_rank")
+        drawn.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= subsample).drop("_key", "_rank", "_luck")
     )
 
 

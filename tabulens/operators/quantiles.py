@@ -1,87 +1,75 @@
-"""Exact medians of large columns without a sort of the table.
+"""Exact medians of large columns by a radix select: passes that only count.
 
-Spark's exact percentile keeps every distinct value in one buffer. Here approximate percentiles bracket the
-middle, one pass counts what lies below the bracket, and only what lies inside is looked at again, until it is
-few enough for the exact aggregate.
+Every pass cuts the bracket that holds the middle into buckets by a function that never falls, and counts what lies in
+each; the bucket with the middle is the next bracket. A bracket around zero is cut by sign, a wide one by logarithms,
+a narrow one evenly, so each pass takes about twelve bits off a double's order and no buffer of values is ever held. A
+bracket with few values left is fetched, one with a single distinct value is done.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL = 1_000_000
-ACCURACY = 10_000
-MAX_ACCURACY = 10_000_000
+#: Buckets of a pass for each column, and the values that a bracket may hold to be fetched.
+BUCKETS, FEW = 4096, 10_000
+
+
+def _bucket(v: Column, low: float, high: float, buckets: int) -> Column:
+    """Numbers that do not fall as values grow, for finite or infinite values from ``low`` to ``high`` that differ."""
+    if math.isinf(low) or math.isinf(high):
+        return F.when(v == F.lit(-math.inf), 0).when(v < F.lit(math.inf), 1).otherwise(2)
+    if low <= 0 <= high:
+        return F.when(v < 0, 0).when(v == 0, 1).otherwise(2)
+    if max(high / low, low / high) > 4:
+        sign = 1 if low > 0 else -1
+        low, high, v = sign * math.log(abs(low)), sign * math.log(abs(high)), F.lit(sign) * F.log(F.abs(v))
+    return F.floor((v - F.lit(low)) / F.lit(high - low) * F.lit(buckets))
 
 
-def exact_medians(df: DataFrame, columns: dict[str, Column], small: int = SMALL, accuracy: int = ACCURACY) -> dict[str, float | None]:
-    """Interpolated median of every numeric expression, as a plain number per name."""
+def exact_medians(df: DataFrame, columns: dict[str, Column], few: int = FEW, buckets: int = BUCKETS) -> dict[str, float | None]:
+    """Interpolated median of every numeric expression, as a plain number per name; nulls and NaN are left out."""
     if not columns:
         return {}
     names = list(columns)
-    values = df.select(*[columns[c].cast("double").alias(f"v{i}") for i, c in enumerate(names)])
-    total = values.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))]).first()
-    counts = {i: total[f"n{i}"] for i in range(len(names))}
-    # Ranks (from 0) whose mean is the median, and the bracket that holds them.
-    ranks = {i: ((n - 1) // 2, n // 2) for i, n in counts.items()}
-    low, high = dict.fromkeys(counts), dict.fromkeys(counts)
-    below = dict.fromkeys(counts, 0)
-    inside = dict(counts)
+    numbers = {f"v{i}": columns[c].cast("double") for i, c in enumerate(names)}
+    values = df.select(*[F.when(~F.isnan(x), x).alias(v) for v, x in numbers.items()])
+    first = values.agg(*[x.alias(f"{k}{v}") for v in numbers for k, x in (("n", F.count(v)), ("a", F.min(v)), ("b", F.max(v)))]).first()
+    found: dict[str, float | None] = {}
+    # Of each open column: the bracket, what it holds, and the ranks in it (from 0) whose mean is the median.
+    open_columns: dict[str, tuple[float, float, int, int, int]] = {}
 
-    def within(i: int) -> Column:
-        v = F.col(f"v{i}")
-        keep = v.isNotNull()
-        if low[i] is not None:
-            keep = keep & (v >= low[i]) & (v <= high[i])
-        return F.when(keep, v)
-
-    settled: set[int] = set()
-    while True:
-        open_columns = [
-            i for i in counts
-            if i not in settled and inside[i] > max(small, 2) and (low[i] is None or low[i] < high[i])
-        ]
-        if not open_columns:
-            break
-        margin = 3.0 / accuracy
-        wanted = {
-            i: [max(0.0, min(1.0, (ranks[i][k] - below[i]) / inside[i] + s * margin)) for k, s in ((0, -1), (1, 1))]
-            for i in open_columns
-        }
-        found = values.agg(
-            *[F.percentile_approx(within(i), wanted[i], accuracy).alias(f"q{i}") for i in open_columns]
-        ).first()
-        bracket = {i: tuple(found[f"q{i}"]) for i in open_columns}
-        sums = []
-        for i in open_columns:
-            v, (a, b) = F.col(f"v{i}"), bracket[i]
-            sums += [F.count(F.when(v < a, 1)).alias(f"b{i}"), F.count(F.when((v >= a) & (v <= b), 1)).alias(f"i{i}")]
-        got = values.agg(*sums).first()
-        for i in open_columns:
-            a, b = bracket[i]
-            holds = got[f"b{i}"] <= ranks[i][0] and ranks[i][1] < got[f"b{i}"] + got[f"i{i}"]
-            if holds and got[f"i{i}"] >= inside[i]:
-                settled.add(i)  # the bracket holds few distinct values and cannot get smaller
-            if not holds:
-                accuracy *= 10
-                if accuracy > MAX_ACCURACY:
-                    settled.add(i)
-                continue
-            low[i], high[i], below[i], inside[i] = a, b, got[f"b{i}"], got[f"i{i}"]
-
-    last = []
-    for i, n in counts.items():
-        if n and (low[i] is None or low[i] < high[i]):
-            share = [(r - below[i]) / max(inside[i] - 1, 1) for r in ranks[i]]
-            last.append(F.percentile(within(i), F.array(*[F.lit(min(1.0, s)) for s in share])).alias(f"m{i}"))
-    row = values.agg(*last).first() if last else {}
-    medians = {}
-    for i, n in counts.items():
-        if not n:
-            medians[names[i]] = None
-        elif low[i] is not None and low[i] == high[i]:
-            medians[names[i]] = low[i]
+    def settle(v: str, low: float, high: float, n: int, r: int, s: int) -> None:
+        if low == high:
+            found[v] = low
         else:
-            medians[names[i]] = sum(row[f"m{i}"]) / 2
-    return medians
+            open_columns[v] = low, high, n, r, s
+
+    for v in numbers:
+        n = first[f"n{v}"]
+        settle(v, first[f"a{v}"], first[f"b{v}"], n, (n - 1) // 2, n // 2)
+    while open_columns:
+        now, open_columns = open_columns, {}
+        within = {v: F.col(v).between(F.lit(low), F.lit(high)) for v, (low, high, *_) in now.items()}
+        fetched = [v for v in now if now[v][2] <= few]
+        cut = [F.when(within[v], F.struct(F.lit(v).alias("c"), (F.col(v) if v in fetched else _bucket(F.col(v), *now[v][:2], buckets)).cast("double").alias("bucket"), F.col(v).alias("x"))) for v in now]
+        each = values.select(F.explode(F.array(*cut)).alias("y")).where("y is not null").select("y.*")
+        counts = each.groupBy("c", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        rows: dict[str, list] = {v: [] for v in now}
+        for row in counts.collect():  # ``buckets`` or ``few`` rows for each column
+            rows[row.c].append(row)
+        for v, (_, _, _, r, s) in now.items():
+            before = 0
+            for row in sorted(rows[v], key=lambda row: row.bucket):
+                if r < before + row.n <= s:  # the two middle values are neighbours in different buckets
+                    low = row.high
+                elif before <= s < before + row.n:
+                    if r < before:
+                        found[v] = (low + row.low) / 2
+                    else:
+                        settle(v, row.low, row.high, row.n, r - before, s - before)
+                    break
+                before += row.n
+    return {c: found[f"v{i}"] for i, c in enumerate(names)}

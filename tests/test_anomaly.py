@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -71,15 +73,38 @@ def test_coercion(sample):
     assert (types["id"], types["amount"], types["timestamp"]) == ("double", "double", "string")
 
 
-@pytest.mark.parametrize("small", [50, 10_000])
-def test_exact_medians(spark, small):
+@pytest.mark.parametrize("few, buckets", [(1, 9), (20, 64), (10_000, 4096)])
+def test_exact_medians(spark, few, buckets):
+    """Heavy ties, one distinct value, no value, NaN, infinities, tiny and huge numbers of both signs, even and odd counts."""
     rng = np.random.default_rng(3)
-    data = np.concatenate([rng.normal(size=3000), np.full(1501, 0.25), [np.nan] * 7])
-    frame = spark.createDataFrame([(None if np.isnan(v) else float(v), float(i)) for i, v in enumerate(data)], "a double, b double")
-    got = quantiles.exact_medians(frame, {"a": F.col("a"), "b": F.col("b"), "c": F.lit(None)}, small=small, accuracy=100)
-    assert got["a"] == pytest.approx(np.nanmedian(data), abs=1e-12)
-    assert got["b"] == pytest.approx((len(data) - 1) / 2)
-    assert got["c"] is None
+    n = 2001 if buckets > 4 else 301
+    tied = np.where(rng.random(n) < 0.6, 0.25, rng.normal(size=n))
+    wide = np.sign(rng.normal(size=n)) * 10.0 ** rng.uniform(-300, 300, n)
+    small = np.concatenate([10.0 ** rng.uniform(-300, -290, n - 1), [0.0]])
+    ends = np.concatenate([np.full(n // 2 + 1, -np.inf), np.full(n // 2, np.inf)])
+    two = np.concatenate([np.full(n // 2, -1.5), np.full(n // 2, 2.5), [np.nan]])
+    data = {"tied": tied, "wide": wide, "small": small, "ends": ends, "two": two, "same": np.full(n, -7.0), "count": np.arange(n) - 5.0, "negative": -(10.0 ** rng.uniform(0, 9, n))}
+    frame = spark.createDataFrame([tuple(map(float, row)) for row in zip(*data.values())], ", ".join(f"{c} double" for c in data))
+    got = quantiles.exact_medians(frame, {**{c: F.col(c) for c in data}, "none": F.lit(None)}, few=few, buckets=buckets)
+    assert got.pop("none") is None
+    assert got == {c: pytest.approx(float(np.nanmedian(x)), rel=1e-15, abs=0) for c, x in data.items()}
+
+
+@pytest.mark.parametrize("trees, share", [(5, 0.3), (100, 0.001), (100, 0.9), (3, 1.0), (1, 0.5)])
+def test_rows_join_trees_as_independent_draws_would(trees, share):
+    chances = iforest._joins(trees, share)
+    exact = [sum(math.comb(trees, j) * share**j * (1 - share) ** (trees - j) for j in range(k + 1)) for k in range(trees)]
+    assert chances == pytest.approx(exact, abs=1e-12)
+
+
+def test_samples_are_even(spark):
+    """Each tree takes as many rows as it needs, rows are taken alike often, and partitions do not matter."""
+    df = spark.range(6000).select(F.col("id").alias("x"), F.col("id").alias("order"))
+    drawn = iforest._sample(df, F.col("order"), 6000, 40, 64, 42)
+    assert {r["count"] for r in drawn.groupBy("tree").count().collect()} == {64} and drawn.select("tree").distinct().count() == 40
+    halves = drawn.groupBy((F.col("x") < 3000).alias("half")).count().collect()
+    assert all(abs(r["count"] - 1280) < 130 for r in halves)
+    assert iforest._sample(df.repartition(9), F.col("order"), 6000, 40, 64, 42).exceptAll(drawn).count() == 0
 
 
 def features(df):
@@ -92,9 +117,10 @@ def test_forest_ranks_the_planted_outlier_among_the_first(spark):
     table[1234] = (1234, 25.0, -25.0, 25.0)
     df = spark.createDataFrame(table, "_row_idx long, a double, b double, c double")
     cols = {c: F.col(c) for c in "abc"}
-    for limits in ({}, {"trees": 20, "subsample": 32}):
+    # Few small trees hardly ever hold the outlier itself, so it is only among the first hundredth then.
+    for limits, first in (({}, 1), ({"trees": 20, "subsample": 32}, 30)):
         scored = iforest.isolation_scores(df, cols, F.col("_row_idx"), **limits)
-        best = {r._row_idx: r._iforest_score for r in scored.orderBy(F.desc("_iforest_score")).limit(10).collect()}
+        best = {r._row_idx: r._iforest_score for r in scored.orderBy(F.desc("_iforest_score")).limit(first).collect()}
         assert 0.6 < best[1234] < 1
         again = iforest.isolation_scores(df.repartition(7), cols, F.col("_row_idx"), **limits)
         assert again.exceptAll(scored).count() == 0
