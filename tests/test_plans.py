@@ -180,7 +180,7 @@ def test_entry_and_registry(spark):
     assert set(oracle) <= set(queries)
     own = {q for q in set(queries) - set(oracle) if not q.startswith("op") and q != "pipeline"}
     assert own == {
-        "B3_result_document", "F5_chunk_forest", "F5_isolation_forest", "F6_forest_ensemble",
+        "F5_chunk_forest", "F5_isolation_forest", "F6_forest_ensemble",
     }
     assert entry_points.entry(spark).count() == 15
 

@@ -115,6 +115,37 @@ def written_files(spark: SparkSession, sf_dir: str, files: int = 64) -> str:
     return path
 
 
+def multiline_files(spark: SparkSession, sf_dir: str, files: int = 16) -> str:
+    """Orders as comma-separated text files whose notes run over several lines, one folder ``g=i`` per ``o_custkey % files``."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    note = (
+        F.when(key % 3 == 0, F.concat(F.lit('"order '), key, F.lit('\n\nsays ""now"", twice\n"')))
+        .when(key % 3 == 1, F.concat(F.lit('"by, '), F.col("o_custkey"), F.lit('"')))
+        .otherwise("plain")
+    )
+    group = (F.col("o_custkey") % files).alias("g")
+    rows = o.select(group, (key + 1).alias("line_no"), F.concat_ws(",", key.cast("string"), note, "o_orderstatus").alias("line"))
+    headers = o.select(group).distinct().select("g", F.lit(0).cast("long").alias("line_no"), F.lit("order_id,note,status").alias("line"))
+    path = fresh_folder(spark, "files")
+    every = rows.unionByName(headers).repartition("g").sortWithinPartitions("g", "line_no").select("g", "line")
+    every.write.partitionBy("g").text(path)
+    return path
+
+
+WIDE = 60
+
+
+def wide_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with sixty numbers each: five measures in twelve mixtures, every seventh column with missing values."""
+    measures = [F.col(c).cast("double") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey")]
+
+    def number(i: int) -> Column:
+        x = measures[i % 5] * (1 + i // 5) + measures[(i // 5) % 5] * (i % 3) + F.col("l_partkey") % (i + 2)
+        return F.when(F.col("l_orderkey") % 11 != i // 7, x) if i % 7 == 0 else x
+
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", *[number(i).alias(f"c{i}") for i in range(WIDE)])
+
+
 def file_group() -> Column:
     return F.regexp_extract("file_id", "g=([0-9]+)/", 1).cast("long").alias("g")
 

@@ -451,6 +451,13 @@ define(
     """SELECT f.file_id, count(*) AS lines, CAST(1 AS BIGINT) AS headers, count(*) FILTER (f.line_no > s.header_line_no) AS rows,
   count(*) FILTER (f.line_no < s.header_line_no) AS skipped FROM lines f JOIN selected s USING (file_id) GROUP BY f.file_id""",
 )
+define(
+    "A4_multiline", "",
+    """SELECT o_custkey % 16 AS g, row_number() OVER (PARTITION BY o_custkey % 16 ORDER BY o_orderkey) - 1 AS _row_idx, CAST(o_orderkey AS VARCHAR) AS order_id,
+  CASE o_orderkey % 3 WHEN 0 THEN 'order ' || o_orderkey || chr(10) || chr(10) || 'says "now", twice' || chr(10) WHEN 1 THEN 'by, ' || o_custkey ELSE 'plain' END AS note,
+  o_orderstatus AS status, CAST(CASE o_orderkey % 3 WHEN 0 THEN 4 ELSE 1 END AS BIGINT) AS lines FROM orders""",
+)
+define("F5_planted_outliers", "", "SELECT c_custkey FROM customer WHERE c_custkey % 500 = 7")
 define(
     "A4_scan_files", "",
     """SELECT o_custkey % 64 AS g, row_number() OVER (PARTITION BY o_custkey % 64 ORDER BY o_orderkey) - 1 AS _row_idx,
@@ -859,3 +866,22 @@ define(
     """SELECT day, count(*) AS rows, round(avg(CASE WHEN x IS NULL THEN 1.0 ELSE 0.0 END), 6) AS null_rate, round(any_value(mean), 5) AS mean,
   round(any_value(std), 5) AS std, round(avg(power(x - mean, 3)) / power(any_value(std), 3), 4) AS skew FROM d JOIN m USING (day) GROUP BY day""",
 )
+
+# ---- documents of files, wide tables ----
+
+define(
+    "B3_result_document", H + ",\n" + CUSTOMERS.lstrip().removeprefix("WITH "),
+    """SELECT 'customers' AS "table", file_id, header_row, d.confidence, needs_review, (SELECT count(*) FROM fused) AS labels,
+  (SELECT string_agg(attribute, ',' ORDER BY confidence DESC, attribute) FROM (SELECT * FROM fused ORDER BY confidence DESC, attribute LIMIT 5)) AS top_attributes,
+  (SELECT round(round(max(confidence), 4), 3) FROM fused) AS best FROM detected d""",
+)
+MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey")
+MIXTURES = [
+    f"CAST({MEASURES[i % 5]} AS DOUBLE) * {1 + i // 5} + CAST({MEASURES[(i // 5) % 5]} AS DOUBLE) * {i % 3} + l_partkey % {i + 2}" for i in range(60)
+]
+define(
+    "J10_wide_correlations",
+    "w AS (SELECT " + ", ".join(f"CASE WHEN l_orderkey % 11 <> {i // 7} THEN {x} END AS c{i}" if i % 7 == 0 else f"{x} AS c{i}" for i, x in enumerate(MIXTURES)) + " FROM lineitem),\n"
+    "p AS (SELECT unnest([" + ", ".join(f"{{'left': 'c{i}', 'right': 'c{j}', 'r': corr(c{i}, c{j})}}" for i in range(60) for j in range(i + 1, 60)) + "]) AS x FROM w)",
+    """SELECT x['left'] AS "left", x['right'] AS "right", round(x['r'], 5) AS r FROM p""",
+)

@@ -118,6 +118,15 @@ def a4_files(spark, sf):
     return delimited.as_table(scanned, list(fx.HEADER)).select(fx.file_group(), "_row_idx", *fx.HEADER)
 
 
+@query("A4_multiline")
+def a4_multiline(spark, sf):
+    """Quoted fields with line breaks, blank lines and quotes inside: one row per order, and the lines it took."""
+    scanned = delimited.scan_files(spark, fx.multiline_files(spark, sf)).rows
+    names = ["order_id", "note", "status"]
+    cells = [F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(names)]
+    return scanned.where(F.col("names") == F.array(*map(F.lit, names))).select(fx.file_group(), "_row_idx", *cells, F.col("_lines").alias("lines"))
+
+
 @query("A4_line_count")
 def a4_lines(spark, sf):
     """Per file: lines, and where they went."""
@@ -211,13 +220,22 @@ def b2(spark, sf):
 
 @query("B3_result_document")
 def b3(spark, sf):
-    table = anomaly.coerce_numeric(clean(spark, sf))
-    seen = perceive.perceive(table, "orders")
+    """One document per file: how it was read, and what the table that its customer stands in was found to be."""
+    seen = perceive.perceive(fx.geo_customers(spark, sf), "customers")
     summary = graph.graph_summary(seen.nodes, seen.edges)
     found = detected(spark, sf).withColumnRenamed("fields", "names")
-    # One document describes one file: the first by name.
-    first = found.agg(F.min_by(F.struct(*[F.col(c) for c in found.columns]), "file_id").alias("first")).select("first.*")
-    return documents.result_document(first, seen.labels, summary, "orders")
+    made = documents.result_document(found, seen.labels, summary, F.lit("customers"))
+    schema = (
+        "l1_metadata struct<file_id: string, header_row: int, confidence: string, needs_review: boolean>, "
+        "l2_result struct<attribute_labels: array<struct<attribute: string, confidence: double>>, top_attributes: array<string>>"
+    )
+    read = F.from_json("document", schema)
+    first = F.get(read["l2_result"]["attribute_labels"], F.lit(0))
+    return made.select(
+        "table", *[read["l1_metadata"][c].alias(c) for c in ("file_id", "header_row", "confidence", "needs_review")],
+        F.size(read["l2_result"]["attribute_labels"]).alias("labels"), F.concat_ws(",", read["l2_result"]["top_attributes"]).alias("top_attributes"),
+        F.round(first["confidence"], 3).alias("best"),
+    )
 
 
 @query("B4_graph_summary")
@@ -476,6 +494,19 @@ def f5(spark, sf):
     return done.select("l_orderkey", "l_linenumber", F.round("_iforest_score", 6).alias("score"))
 
 
+@query("F5_planted_outliers")
+def f5_planted(spark, sf):
+    """Customers, some of them far from all others: as many as were planted rank first."""
+    key = F.col("c_custkey")
+    planted = key % 500 == 7
+    t = fx.table(spark, sf, "customer").select(
+        key, planted.alias("planted"), F.when(planted, F.lit(1e6) * (1 + key % 3)).otherwise(F.col("c_acctbal")).alias("balance"),
+        F.when(planted, -1000).otherwise(F.col("c_nationkey")).cast("double").alias("nation"),
+    )
+    done = iforest.isolation_scores(t, {c: F.col(c) for c in ("balance", "nation")}, key)
+    return done.orderBy(F.desc("_iforest_score"), "c_custkey").limit(t.where("planted").count()).select("c_custkey")
+
+
 @query("F5_chunk_forest")
 def f5_chunk(spark, sf):
     t = rows.with_chunks(fx.table(spark, sf, "events").withColumnRenamed("event_id", "_row_idx"), chunk_rows=fx.CHUNK)
@@ -658,7 +689,7 @@ def h11(spark, sf):
 
 @query("H12_hierarchy_score")
 def h12(spark, sf):
-    return statistical.hierarchy_score(fx.commerce(spark, sf), {"region": 5, "nation": 25, "segment": 5, "status": 3, "priority": 5}).select(r6("hierarchical_structure"))
+    return statistical.hierarchy_score(fx.commerce(spark, sf), ["region", "nation", "segment", "status", "priority"]).select(r6("hierarchical_structure"))
 
 
 def customer_scores(spark, sf):
@@ -774,6 +805,13 @@ def j10_all(spark, sf):
     return found.select("left", "right", r6("r", 5))
 
 
+@query("J10_wide_correlations")
+def j10_wide(spark, sf):
+    """Sixty numeric columns, some with missing values."""
+    t = fx.wide_numbers(spark, sf)
+    return graph.correlations(t, [c for c in t.columns if c != "l_orderkey"]).select("left", "right", r6("r", 5))
+
+
 @query("J11_hierarchy_edges")
 def j11(spark, sf):
     t, kinds = commerce_types(spark, sf)
