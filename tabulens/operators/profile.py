@@ -27,8 +27,8 @@ TYPE_SHARE = 0.9
 TOP_VALUES = 10
 
 
-def facts(hist: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
-    """One row per scope and column with all counts that the profile needs."""
+def facts(hist: DataFrame, scope: tuple[str, ...] = (), *more: Column) -> DataFrame:
+    """One row per scope and column with all counts that the profile needs, and any ``more`` aggregates."""
     cnt, value = F.col("cnt"), F.col("value")
     present, filled, numeric, datetime = value.isNotNull(), F.col("filled"), F.col("numeric"), F.col("datetime")
 
@@ -55,6 +55,7 @@ def facts(hist: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
             total(filled, cnt * F.col("text_size")).alias("filled_length"),
             F.count(F.when(filled, 1)).alias("filled_distinct"),
             F.count(F.when(filled & ~F.col("padded"), 1)).alias("unpadded_distinct"),
+            *more,
         )
     )
 
@@ -234,7 +235,12 @@ def column_profile(
     ranked = ranked_values(hist, scope, limit)
     if source is not None:
         ranked = restore_values(ranked, source, columns or data_columns(source, exclude=(*scope, order)), scope, order)
-    return exact.join(top_values(ranked, scope), keys, "left").select(
+    return from_facts(exact.join(top_values(ranked, scope), keys, "left"), keys)
+
+
+def from_facts(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """The profile of facts that have their ``top_samples``."""
+    return facts.select(
         *keys,
         F.col("rows"),
         _null_rate().alias("null_rate"),

@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from tabulens.operators import histogram, profile
+from tabulens.operators import histogram, profile, states
 from tabulens.sources import rows
 
 
@@ -96,3 +98,45 @@ def test_long_values_travel_as_digests(spark):
     (row,) = profile.facts(hist).collect()
     assert (row.filled, row.filled_distinct, row.unpadded_distinct) == (8, 5, 4)
     assert (row.digit_values, row.alnum_values, row.castable_values) == (1, 5, 1)
+
+
+def test_states_merge_as_the_whole_is_profiled(spark):
+    """Chunks into files into a table, in two orders: sums exact, counters exact where few, within their limits elsewhere."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(6000):
+        common = rng.choice("aaaaabbbc") if rng.random() < 0.3 else f"v{rng.randrange(3000)}"
+        rows.append((i, i // 250 % 3, i // 250, rng.choice(["x", "y", None, " "]), common, str(i), None if i % 4 else f"2024-01-{i % 28 + 1:02d}"))
+    df = spark.createDataFrame(rows, "_row_idx long, _file int, _chunk_id int, few string, many string, key string, day string")
+    columns = ["few", "many", "key", "day"]
+    whole = {r.column: r for r in profile.column_profile(histogram.value_histogram(df, columns)).collect()}
+    hist = histogram.value_histogram(df, columns, ("_file", "_chunk_id"))
+    counts = {c: {r.value: r.cnt for r in histogram.value_histogram(df, [c]).collect()} for c in columns}
+    chunks = states.stored_state(states.profile_state(hist, ("_file", "_chunk_id"), counters=40))
+    files = states.merged(chunks, ("_file",), counters=60)
+    for state in (states.merged(chunks, counters=60), states.merged(files, counters=60)):
+        got = {r.column: r for r in states.state_profile(state).collect()}
+        assert got.keys() == whole.keys()
+        for c, r in got.items():
+            w = whole[c]
+            assert (r.rows, r.null_rate, r.avg_length, r.column_type, r.is_id_like) == (w.rows, w.null_rate, w.avg_length, w.column_type, w.is_id_like)
+            assert abs(r.unique_count - w.unique_count) <= 0.025 * w.unique_count
+        for c in ("few", "day"):
+            assert got[c].count_error == 0 and (got[c].top_samples, got[c].entropy, got[c].unique_count) == (whole[c].top_samples, whole[c].entropy, whole[c].unique_count)
+        assert got["many"].count_error > 0 and got["many"].top_samples[:3] == whole["many"].top_samples[:3] == ["a", "b", "c"]
+        assert abs(got["many"].entropy - whole["many"].entropy) < 0.3
+        limits = {r.column: r.missed for r in state.counters.where("missed is not null").groupBy("column").agg(F.sum("missed").alias("missed")).collect()}
+        for r in state.counters.where("value is not null").collect():
+            assert r.cnt <= counts[r.column][r.value] <= r.cnt + limits.get(r.column, 0)
+        listed = {(r.column, r.value) for r in state.counters.collect()}
+        assert all(n <= limits.get(c, 0) for c in columns for v, n in counts[c].items() if v is not None and (c, v) not in listed)
+
+
+def test_states_of_nothing(spark):
+    df = spark.createDataFrame([], "_row_idx long, _chunk_id int, a string")
+    state = states.profile_state(histogram.value_histogram(df, ["a"], ("_chunk_id",)), ("_chunk_id",))
+    assert states.state_profile(states.merged(state)).collect() == []
+    df = spark.createDataFrame([(0, 0, None), (1, 1, None)], "_row_idx long, _chunk_id int, a string")
+    state = states.profile_state(histogram.value_histogram(df, ["a"], ("_chunk_id",)), ("_chunk_id",))
+    (row,) = states.state_profile(states.merged(state)).collect()
+    assert (row.rows, row.null_rate, row.unique_count, row.entropy, row.top_samples, row.column_type, row.count_error) == (2, 1.0, 0, 0.0, [], "empty", 0)

@@ -134,6 +134,17 @@ define(
 FROM scores s JOIN ent e ON e.chunk_id = s.chunk_id AND e.col = s.col""",
 )
 
+define(
+    "E8_merged_profile",
+    F + ", per AS (SELECT col, max(k) <= 100 AS few FROM (SELECT col, chunk_id, count(DISTINCT v) AS k FROM cells GROUP BY ALL) GROUP BY col),"
+    " state AS (SELECT *, few AND d <= 100 AS exact FROM scores JOIN per USING (col))",
+    f"""SELECT s.col AS "column", n_rows AS rows, round(1 - n / n_rows, 6) AS null_rate, round(mean_length, 3) AS avg_length, {TYPE} AS column_type,
+  round(a / total, 6) AS "numeric", round(b / total, 6) AS datetime, exact, CASE WHEN exact THEN d END AS unique_count,
+  CASE WHEN exact THEN round(e.entropy, 6) END AS entropy,
+  CASE WHEN exact THEN (SELECT string_agg(v, '~' ORDER BY rank) FROM ranked r WHERE r.col = s.col AND rank <= 10) END AS top_samples
+FROM state s JOIN ent e ON e.col = s.col""",
+)
+
 WIDE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 

@@ -21,6 +21,7 @@ from tabulens.operators import (
     review,
     semantic,
     spectrum,
+    states,
     statistical,
     tablefacts,
 )
@@ -449,6 +450,20 @@ def e8_text(spark, sf):
     )
 
 
+@query("E8_merged_profile")
+def e8_merged(spark, sf):
+    """The whole table's profile from the states of its chunks; top values and entropy where they are exact, distinct counts where few."""
+    chunks = histogram.value_histogram(chunked(spark, sf), DIRTY, ("_chunk_id",))
+    state = states.stored_state(states.profile_state(chunks, ("_chunk_id",)))
+    found = states.state_profile(states.merged(state))
+    exact = F.col("count_error") == 0
+    return found.select(
+        "column", "rows", "null_rate", "avg_length", "column_type", *[F.round(f"type_scores.{t}", 6).alias(t) for t in ("numeric", "datetime")],
+        exact.alias("exact"), F.when(exact, F.col("unique_count")).alias("unique_count"), F.when(exact, F.col("entropy")).alias("entropy"),
+        F.when(exact, F.concat_ws("~", "top_samples")).alias("top_samples"),
+    )
+
+
 @query("E9_column_types")
 def e9(spark, sf):
     return profile.column_types(hist(spark, sf))
