@@ -242,19 +242,22 @@ def outlier_counts(df: DataFrame, stats: Iterable, limit: float = OUTLIER_Z) ->
 
 
 def table_facts(
-    df: DataFrame, table: str, order: str, exclude: Iterable[str] = (), outliers: bool = True, approximate: float | None = None
+    df: DataFrame, table: str, order: str, exclude: Iterable[str] = (), outliers: bool = True, approximate: float | None = None,
+    heads: DataFrame | None = None,
 ) -> DataFrame:
     """All facts of one table, one row per column, as a small local DataFrame.
 
     Tables of a schema can be united afterwards: every score groups by ``table``. Distinct counts are exact
-    unless ``approximate`` gives a relative error to accept.
+    unless ``approximate`` gives a relative error to accept. ``heads`` are the first ``TEXT_SAMPLE`` values of every column,
+    where they are known already.
     """
     rows = {r["column"]: dict(r) for r in describe_schema(df, table, exclude)}
     if rows:
         stats = cell_stats(df, exclude).collect()
         counted = distinct_stats(df, exclude) if approximate is None else approximate_distinct_stats(df, approximate, exclude)
         frames = [stats, counted.collect()]
-        frames.append(head_stats(head_values(df, order, TEXT_SAMPLE, exclude)).collect())
+        heads = head_values(df, order, TEXT_SAMPLE, exclude) if heads is None else heads
+        frames.append(head_stats(heads).collect())
         if outliers:
             frames.append(outlier_counts(df, stats).collect())
         for frame in frames:

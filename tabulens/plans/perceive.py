@@ -27,15 +27,15 @@ class Perception:
         return fusion.as_labels(self.fused)
 
 
-def table_samples(df: DataFrame, table: str, order: str, exclude: Iterable[str] = ()) -> DataFrame:
+def table_samples(df: DataFrame, table: str, order: str, exclude: Iterable[str] = (), heads: DataFrame | None = None) -> DataFrame:
     """``table, column, value``: the value sample that the semantic channel reads."""
-    heads = tablefacts.head_values(df, order, tablefacts.VALUE_SAMPLE, exclude)
+    heads = tablefacts.head_values(df, order, tablefacts.VALUE_SAMPLE, exclude) if heads is None else heads.where(F.col("rank") <= tablefacts.VALUE_SAMPLE)
     return heads.select(F.lit(table).alias("table"), "column", "value")
 
 
-def semantic_channel(df: DataFrame, table: str, order: str, exclude: Iterable[str] = ()) -> DataFrame:
+def semantic_channel(df: DataFrame, table: str, order: str, exclude: Iterable[str] = (), heads: DataFrame | None = None) -> DataFrame:
     names = tablefacts.catalogue(df, table, exclude)
-    return semantic.semantic_scores(names, table_samples(df, table, order, exclude))
+    return semantic.semantic_scores(names, table_samples(df, table, order, exclude, heads))
 
 
 def perceive(
@@ -52,8 +52,10 @@ def perceive(
 
     ``scored`` is the same table with ``_anomaly_score``, if rows were scored before.
     """
-    facts = tablefacts.table_facts(df, table, order, exclude)
-    meaning = semantic_channel(df, table, order, exclude)
+    first = tablefacts.head_values(df, order, tablefacts.TEXT_SAMPLE, exclude)
+    first = df.sparkSession.createDataFrame(first.collect(), first.schema)  # a few dozen values for each column
+    facts = tablefacts.table_facts(df, table, order, exclude, heads=first)
+    meaning = semantic_channel(df, table, order, exclude, first)
     shape = statistical.statistical_scores(df, facts, table, order, scored)
     fused = fusion.fuse(meaning, shape, semantic_weight, statistical_weight, threshold)
     nodes, edges = graph.build_graph({table: (df, order)}, facts)

@@ -110,11 +110,13 @@ def test_entity_references(spark):
 @pytest.mark.parametrize("n, limit", [(60, 100), (60, 12), (97, 20), (64, 8), (211, 32), (30, 29)])
 def test_spectrum_equals_fft(spark, n, limit):
     rng = np.random.default_rng(n)
-    x = rng.normal(size=n) + 3 * np.sin(np.arange(n))
-    series = spark.createDataFrame([(i, float(v), 0.0) for i, v in enumerate(x)], "pos long, re double, im double").repartition(3)
-    got = {r.pos: complex(r.re, r.im) for r in spectrum.transform_series(series, n, limit).collect()}
-    assert len(got) == n
-    assert np.allclose([got[k] for k in range(n)], np.fft.fft(x))
+    x = rng.normal(size=(2, n)) + 3 * np.sin(np.arange(n))
+    points = [(c, i, float(v), 0.0) for c in (0, 1) for i, v in enumerate(x[c])]
+    series = spark.createDataFrame(points, "c int, pos long, re double, im double").repartition(3)
+    got = {(r.c, r.pos): complex(r.re, r.im) for r in spectrum.transform_series(series, n, limit).collect()}
+    assert len(got) == 2 * n
+    for c in (0, 1):
+        assert np.allclose([got[c, k] for k in range(n)], np.fft.fft(x[c]))
 
 
 def test_periodicity(spark):
