@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import written
+from tabulens.llm.common import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,9 @@ def components(edges: DataFrame) -> DataFrame:
         # Done when no node stands on both sides and none has two roots.
         tangled = after.groupBy("high").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
         if not tangled and not after.join(after.select(F.col("high").alias("low")), "low", "left_semi").limit(1).count():
+            dropped(links)
             break
+        dropped(links)
         links = after
     roots = after.select(F.col("low").alias("node"), F.col("low").alias("root")).distinct()
     return after.select(F.col("high").alias("node"), F.col("low").alias("root")).union(roots)

@@ -3,12 +3,14 @@
 Texts become sets of word shingles; equal sets are one class from there on, so exact copies cost one row. A class has
 one sketch from a single hash of each shingle: the hash picks a bin and competes in it, and an empty bin borrows from
 bins that a second hash of (bin, attempt) names until one is filled. Bands of the sketch are buckets. In each bucket
-only the edges of a star are compared, on full sets. Where that leaves a bucket with several components, more stars
-follow: their centres come from its largest components, those first that have few shingles of their own, as these are
-likest to all others, and they are compared with whatever is not connected with them. A centre that has been compared leaves its
-bucket. This ends when no bucket holds two components, so buckets need no cap, and every pair that shares a bucket is
-compared, connected otherwise, or out of reach: sets cannot reach the similarity if their sizes do not allow it, or if
-too many of their shingles stand in no other set that is still looked at.
+only the edges of a star are compared, on full sets. Buckets of more than two may then still hold several components.
+Of these, classes are left out that are out of reach: sets cannot reach the similarity if their sizes do not allow it,
+or if too many of their shingles stand in no other set that is still looked at, or, for a pair, if their other shingles
+do not agree in number over the parts of the hashes' range. What is left is compared by a second star,
+whose centre comes from the bucket's largest component and has few shingles of its own, as that is likest to all others;
+and at last every class outside of a bucket's largest component with all of other components, each pair in the first
+bucket that it shares. So buckets need no cap, and every pair that shares a bucket is compared, connected otherwise, or
+out of reach.
 """
 
 from __future__ import annotations
@@ -18,17 +20,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulens.llm.common import GOLDEN, mixed, quoted, table, written
+from tabulens.llm.common import GOLDEN, dropped, mixed, quoted, table, written
 from tabulens.llm.components import components
 
 #: Bands and rows a band: two sets of similarity 0.8 share no bucket with a chance of (1 - 0.8 ** ROWS) ** BANDS = 5e-6.
 BANDS, ROWS = 40, 6
 SHINGLE, PERCENT = 5, 80
-#: Centres of a bucket in the second round, and how many times as many in each round after.
-FIRST_CENTRES, MORE_CENTRES = 2, 8
+#: Parts of the hashes' range in which shingles that others have too are counted; two sets share no more than their counts do.
+PARTS = 128
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -101,30 +103,53 @@ def _reach(n: str, m: str, percent: int, own: str | None = None, others: str | N
     return most * 100 >= (F.col(n) + F.col(m) - most) * percent
 
 
-def _split(rest: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components: with their ``root``, and its ``size`` in the bucket."""
-    names = [c for c in rest.columns if c not in ("root", "size")]
-    rooted = rest.select(*names).join(labels.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    groups = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
-    several = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("bucket")
-    return rooted.join(several, "bucket").join(groups, ["bucket", "root"])
+def _open_rows(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, class, n, own, parts, buckets, root, main, centre): the members of buckets that hold several components.
+
+    ``main`` is the largest of a bucket's components, ``centre`` the class of it with the fewest shingles of its own.
+    Components come to one row per class; only what stays in an open bucket is more than that.
+    """
+    rooted = classes.join(labels.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rows = rooted.select(F.explode("buckets").alias("bucket"), "class", "n", "own", "parts", "buckets", "root")
+    best = F.min(F.struct("own", "class", "n")).alias("centre")
+    groups = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"), best)
+    several = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("size", "root", "centre")).alias("x")).where("groups > 1")
+    return rows.join(several.select("bucket", F.col("x.root").alias("main"), "x.centre"), "bucket")
 
 
 def _own_shingles(texts: DataFrame, width: int) -> DataFrame:
-    """(class, own): how many of its shingles stand in no other of the texts."""
+    """(class, own, parts): how many of its shingles stand in no other of the texts, and the others, counted by part.
+
+    ``parts`` is null where a count is too large to be kept, and then rules nothing out.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"class": batch["class"], "found": [shingle_hashes(t, width).view(np.int64) for t in batch["text"]]})
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = []
+            for text, alone in zip(batch["text"], batch["alone"]):
+                every = np.bincount(shingle_hashes(text, width) % np.uint64(PARTS), minlength=PARTS)
+                own = np.bincount(np.asarray(alone, np.int64), minlength=PARTS) if alone is not None else 0
+                parts.append(every - own if every.max() < 2**15 else None)
+            yield pd.DataFrame({"class": batch["class"], "own": [0 if x is None else len(x) for x in batch["alone"]], "parts": parts})
+
     each = texts.mapInPandas(run, "class binary, found array<long>").select("class", F.explode("found").alias("h"))
     alone = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.first("class").alias("class")).where("n = 1")
-    return alone.groupBy("class").agg(F.count(F.lit(1)).alias("own"))
+    alone = alone.groupBy("class").agg(F.collect_list(F.col("h").bitwiseAND(PARTS - 1)).alias("alone"))
+    return texts.join(alone, "class", "left").select("class", "text", "alone").mapInPandas(count, "class binary, own long, parts array<smallint>")
+
+
+def _share_enough(n: str, m: str, parts: str, others: str, percent: int) -> Column:
+    """Whether sets of n and m shingles can reach the similarity by their counts in all parts."""
+    most = F.aggregate(F.zip_with(parts, others, lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda total, x: total + x)
+    return F.coalesce(most * 100 >= (F.col(n) + F.col(m) - most) * percent, F.lit(True))
 
 
-def _texts(plain: DataFrame, sketched: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(class, text): one text for each class of the pairs, found by the key and text hash of one of its rows."""
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+def _texts(plain: DataFrame, sketched: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, text): one text for each of the wanted classes, found by the key and text hash of one of its rows."""
     named = sketched.join(wanted, "class").groupBy("class").agg(F.min(F.struct("key", "text_hash")).alias("row"))
     named = named.select("class", F.col("row.key").alias("_key"), F.col("row.text_hash").alias("_hash"))
     found = plain.join(named, (F.col("text_hash") == F.col("_hash")) & F.col("key").eqNullSafe(F.col("_key")))
@@ -196,44 +221,51 @@ def _decided(docs: DataFrame, key: str, text: str, width: int, percent: int, ban
     # share it, both are looked at.
     classes = sketched.where(F.col("class").isNotNull()).groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes.withColumn("id", F.xxhash64("class")), "classes")
-    placed = classes.select("id", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(placed.join(shared, "bucket"), "members")
+    placed = classes.select("id", "n", F.explode("bands").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size"), F.min("n").alias("smallest")).where("size > 1")
+    members = written(placed.drop("n").join(shared, "bucket"), "members")
     known = classes.select("id", "class", "n")
     stars = members.where("id <> centre").select("centre", "id").distinct()
     twins = members.where("id = centre").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(members, "bucket").select("centre", "id").distinct()
     ends = known.select(F.col("id").alias("centre"), F.col("class").alias("a"), F.col("n").alias("m"))
     compared = stars.union(twins).distinct().join(known, "id").join(ends, "centre").where((F.col("a") != F.col("class")) & _reach("n", "m", percent))
     compared = written(compared.select("a", F.col("class").alias("b")), "pairs")
-    links = written(_confirmed(compared, _texts(plain, sketched, compared), width, percent), "confirmed")
     # A bucket of two is settled; from larger ones the centre goes, as it was compared with all others.
-    rest = members.where("size > 2 and id <> centre").select("bucket", "id").join(known, "id").select("bucket", "class", "n")
-    most, own = FIRST_CENTRES, None
-    while True:
-        labels = written(components(links), "labels")
-        rest = written(_split(rest, labels), "rest")
-        if own is None:
-            wanted = rest.select("class").distinct()
-            own = written(_own_shingles(_texts(plain, sketched, wanted.select(F.col("class").alias("a"), F.col("class").alias("b"))), width), "own")
-            rest = rest.join(own, "class", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-        # Of a set with ``own`` shingles that no other has, the likest set of any size in its bucket.
-        smallest = rest.groupBy("bucket").agg(F.min("n").alias("smallest"))
-        left = F.col("n") - F.col("own")
-        rest = rest.join(smallest, "bucket").where(left * 100 >= (F.greatest("smallest", left) + F.col("own")) * percent)
-        rest = written(_split(rest.select("bucket", "class", "n", "own"), labels), "rest")
-        order = Window.partitionBy("bucket").orderBy(F.desc("size"), "root", "own", "class")
-        drawn = rest.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
-        drawn = written(drawn.select("bucket", F.col("class").alias("c"), F.col("n").alias("m"), F.col("own").alias("others"), F.col("root").alias("other")), "centres")
-        if not drawn.limit(1).count():
-            break
-        pairs = rest.join(drawn, "bucket").where((F.col("root") != F.col("other")) & _reach("n", "m", percent, "own", "others"))
-        pairs = pairs.select(F.least("class", "c").alias("a"), F.greatest("class", "c").alias("b")).distinct()
-        old = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = written(pairs.join(old, ["a", "b"], "left_anti"), "pairs")
-        compared = compared.union(new)
-        links = written(links.union(_confirmed(new, _texts(plain, sketched, new), width, percent)), "confirmed")
-        rest = rest.join(drawn.select("bucket", F.col("c").alias("class")), ["bucket", "class"], "left_anti").select("bucket", "class", "n", "own")
-        most *= MORE_CENTRES
+    crowded = members.where("size > 2 and id <> centre").groupBy("id").agg(F.collect_list(F.struct("bucket", "smallest")).alias("buckets"))
+    crowded = written(crowded.join(known, "id").drop("id"), "crowded")
+    texts = _texts(plain, sketched, compared.select(F.col("a").alias("class")).union(compared.select("b")).union(crowded.select("class")).distinct())
+    links = written(_confirmed(compared, texts, width, percent), "confirmed")
+    labels = written(components(links), "labels")
+    dropped(members, compared, links)
+    # Of a set with ``own`` shingles that no other has, the likest set of any size in its bucket.
+    own = _own_shingles(texts.join(crowded, "class", "left_semi"), width)
+    left = F.col("n") - F.col("own")
+    fitting = F.filter("buckets", lambda x: left * 100 >= (F.greatest(x["smallest"], left) + F.col("own")) * percent)
+    rest = crowded.join(own, "class", "left").withColumn("own", F.coalesce("own", F.lit(0))).withColumn("buckets", F.transform(fitting, lambda x: x["bucket"]))
+    rest = written(rest.where(F.size("buckets") > 0), "rest")
+    dropped(crowded)
+    for all_pairs in (False, True):
+        rows = written(_open_rows(rest, labels), "open")
+        outside = rows.where(F.col("root") != F.col("main"))
+        if all_pairs:
+            ends = outside.select("bucket", F.col("class").alias("c"), F.col("n").alias("m"), F.col("own").alias("others"), F.col("parts").alias("its_parts"), F.col("root").alias("other"), F.col("buckets").alias("its"))
+            # A pair is met in the first bucket it shares, and once where both are outside of the main component.
+            first = F.array_min(F.array_intersect("buckets", "its")) == F.col("bucket")
+            once = (F.col("root") == F.col("main")) | (F.col("class") < F.col("c"))
+            near = _reach("n", "m", percent, "own", "others") & first & _share_enough("n", "m", "parts", "its_parts", percent)
+            pairs = rows.drop("centre").join(ends, "bucket").where((F.col("root") != F.col("other")) & once & near)
+            pairs = pairs.select(F.least("class", "c").alias("a"), F.greatest("class", "c").alias("b"))
+        else:
+            ends = outside.select("class", "n", "own", F.col("centre.class").alias("c"), F.col("centre.n").alias("m"), F.col("centre.own").alias("others"))
+            pairs = ends.where(_reach("n", "m", percent, "own", "others")).select(F.col("c").alias("a"), F.col("class").alias("b")).distinct()
+        new = written(pairs, "pairs")
+        if new.limit(1).count():
+            links = written(_confirmed(new, texts, width, percent), "confirmed")
+            joined, old = labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links), labels
+            labels = written(components(joined), "labels")
+            dropped(links, old)
+        dropped(rows, new)
+    dropped(rest, texts)
     least = sketched.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("key").alias("least"))
     rooted = least.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
