@@ -82,7 +82,7 @@ def ordered(templates: Iterator[tuple[str, str]], frequency: Mapping[Pair, int],
 
 
 class Scanner:
-    """Finds, for a text's words, every template's best block."""
+    """Finds, for a text's words, every block that holds enough of a template."""
 
     def __init__(self, templates: list[Template]) -> None:
         self.templates = templates
@@ -96,8 +96,8 @@ class Scanner:
         for a, b in self.prefixes:
             self.seconds.setdefault(a, set()).add(b)
 
-    def scan(self, words: list[str]) -> dict[int, tuple[float, int, int]]:
-        """template number -> (containment, first word, words) of its best block, the first such, at or above the threshold."""
+    def scan(self, words: list[str]) -> dict[int, list[tuple[float, int, int]]]:
+        """template number -> (containment, first word, words) of its blocks at or above the threshold, in order."""
         if self.seconds.keys().isdisjoint(words):
             return {}
         met: dict[int, set[int]] = {}
@@ -108,32 +108,38 @@ class Scanner:
                     met.setdefault(n, set()).add(i)
         found = {}
         for n, places in met.items():
-            best = self.best(n, words, places)
-            if best:
-                found[n] = best
+            blocks = self.blocks(n, words, places)
+            if blocks:
+                found[n] = blocks
         return found
 
-    def best(self, n: int, words: list[str], places: set[int]) -> tuple[float, int, int] | None:
+    def blocks(self, n: int, words: list[str], places: set[int]) -> list[tuple[float, int, int]]:
+        """Of blocks that overlap, the one that holds most of the template, and of such the first."""
         t, order = self.templates[n], self.places[n]
-        best, where, width = t.needed - 1, -1, t.words
+        width = min(t.words, len(words))
         # Blocks that hold a prefix pair: starts from width - 2 before it to its own place, each looked at once.
-        starts = sorted({s for i in places for s in range(max(0, i - width + 2), i + 1)})
-        last = max(0, len(words) - width)
-        for s in dict.fromkeys(min(s, last) for s in starts):
-            block = words[s : s + width]
-            if len(block) - 1 < t.needed:  # length: too few words for the pairs that are needed
-                continue
+        last = len(words) - width
+        starts = sorted({min(s, last) for i in places for s in range(max(0, i - width + 2), i + 1)})
+        enough = []
+        for s in starts if width - 1 >= t.needed else ():  # length: else too few words for the pairs that are needed
             held, first = set(), len(t.pairs)
-            for pair in zip(block, block[1:]):
+            for pair in zip(words[s : s + width - 1], words[s + 1 : s + width]):
                 place = order.get(pair)
                 if place is not None:
                     held.add(place)
                     first = min(first, place)
             # Position: nothing before the rarest pair held is there, so that many can be at most.
-            if len(t.pairs) - first <= best or len(held) <= best:
-                continue
-            best, where = len(held), s
-        return None if where < 0 else (best / len(t.pairs), where, min(width, len(words)))
+            if len(t.pairs) - first >= t.needed and len(held) >= t.needed:
+                enough.append((-len(held), s))
+        # A block that is taken rules out the starts around it.
+        taken: list[tuple[int, int]] = []
+        free = [True] * (len(words) + 1)
+        for held, s in sorted(enough):
+            if free[s]:
+                taken.append((s, -held))
+                for i in range(max(0, s - width + 1), min(len(words), s + width)):
+                    free[i] = False
+        return [(held / len(t.pairs), s, width) for s, held in sorted(taken)]
 
 
 class Phrases:
@@ -175,9 +181,9 @@ def scan_licenses(
     docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple = TEMPLATES, phrases: Mapping[str, str] | None = None,
     containment: float = CONTAINMENT,
 ) -> DataFrame:
-    """One row per row: ``key``, n_words, phrases (start, label) and matches, the best block of every template that has one.
+    """One row per row: ``key``, n_words, phrases (start, label) and matches, every block of every template.
 
-    Of equal blocks the first counts. Null and empty texts have nothing. Keys may be null or repeat; other columns are not
+    Of blocks of a template that overlap, the one that holds most of it counts, of equal ones the first. Null and empty texts have nothing. Keys may be null or repeat; other columns are not
     looked at. No rows give no rows.
     """
     if any(len(words_of(t)) < 2 for _, t in templates):
@@ -194,7 +200,7 @@ def scan_licenses(
                 words = words_of(text_)
                 places = [{"first_word": i, "label": x} for i, x in finder.places(words)]
                 found = [
-                    {"label": ready[n].label, "containment": c, "first_word": s, "n_words": w} for n, (c, s, w) in sorted(scanner.scan(words).items())
+                    {"label": ready[n].label, "containment": c, "first_word": s, "n_words": w} for n, blocks in sorted(scanner.scan(words).items()) for c, s, w in blocks
                 ]
                 out.append((len(words), places, found))
             yield pd.DataFrame(out, columns=["n_words", "phrases", "matches"]).assign(key=batch["key"])
