@@ -52,3 +52,29 @@ def closed_windows(profile: DataFrame, out: str, checkpoint: str) -> StreamingQu
         .trigger(availableNow=True)
         .start()
     )
+
+
+def updated_windows(profile: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Write windows as they change, below ``out``: a row for each window that a batch touched, numbered by ``batch_id``.
+
+    The last row of a window, see `latest_windows`, is all that is known of it, so a finished stream has all its windows,
+    the open ones too. Rows behind the watermark are dropped.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    return (
+        profile.writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest_windows(updates: DataFrame) -> DataFrame:
+    """One row per window of what `updated_windows` wrote: the one of its last batch."""
+    names = [c for c in updates.columns if c != "batch_id"]
+    last = updates.groupBy("window_start").agg(F.max_by(F.struct(*names), "batch_id").alias("x"))
+    return last.select("x.*")

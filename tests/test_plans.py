@@ -152,6 +152,18 @@ def test_stream_equals_batch_by_window(spark, sf_dir, tmp_path):
     assert got.select(*columns).exceptAll(want.select(*columns)).count() == 0
 
 
+def test_updates_hold_every_window(spark, tmp_path):
+    """Several batches touch a window: its last row counts all of them, and the windows still open are there."""
+    days = [["2025-01-01 10:00:00"], ["2025-01-01 11:00:00", "2025-01-02 10:00:00"], ["2025-01-02 12:00:00"], ["2025-01-20 00:00:00"], ["2025-01-20 00:30:00"], ["2025-01-01 12:00:00", "2025-01-20 01:00:00"]]
+    for i, times in enumerate(days):
+        df = spark.createDataFrame([(t, 1.0) for t in times], "ts string, value double").select(F.col("ts").cast("timestamp"), "value")
+        df.coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
+    stream = spark.readStream.schema("ts timestamp, value double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    windows.updated_windows(windows.window_profile(stream, "ts", "value"), str(tmp_path / "w"), str(tmp_path / "p")).awaitTermination()
+    got = windows.latest_windows(spark.read.parquet(str(tmp_path / "w")))
+    assert sorted((str(r.window_start)[:10], r.rows) for r in got.collect()) == [("2025-01-01", 2), ("2025-01-02", 2), ("2025-01-20", 3)]
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     """One file a batch: the second moves the watermark past the first day, whose row in the last is too late."""
     days = [["2025-01-01 10:00:00", "2025-01-01 11:00:00"], ["2025-01-09 10:00:00"], ["2025-01-10 10:00:00"], ["2025-01-01 12:00:00", "2025-01-20 00:00:00"]]

@@ -870,6 +870,6 @@ def k2(spark, sf):
     schema = fx.table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     out = fresh_folder(spark, "windows")
-    run = windows.closed_windows(windows.window_profile(stream, "ts", "value"), out, fresh_folder(spark, "progress"))
+    run = windows.updated_windows(windows.window_profile(stream, "ts", "value"), out, fresh_folder(spark, "progress"))
     run.awaitTermination()
-    return spark.read.parquet(out).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "rows", r6("null_rate"), r6("mean", 5), r6("std", 5), r6("skew", 4))
+    return windows.latest_windows(spark.read.parquet(out)).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "rows", r6("null_rate"), r6("mean", 5), r6("std", 5), r6("skew", 4))
