@@ -30,8 +30,11 @@ def chunk_metadata(
     """One row per chunk: where it starts, its shape, the profile and type of every column, its row scores.
 
     ``profiles`` is the profile by chunk and ``scored`` the scored rows with ``_row_idx``. Both lists that are
-    gathered are bounded, by the number of columns and by the rows of a chunk. ``methods`` says what ran.
+    gathered are bounded, by the number of columns and by the rows of a chunk. ``methods`` says what ran. Where rows have
+    their ``_z``, ``per_column`` holds the z-scores of every numeric column in row order, null where a value is missing.
     """
+    z = ["_z"] if "_z" in scored.columns else []
+    numeric = F.array_distinct(F.flatten(F.transform("marks", lambda m: F.map_keys(m["_z"])))) if z else None
     facts = [c for c in profiles.columns if c not in (CHUNK_KEY, "column", "column_type", "rows")]
     columns = profiles.groupBy(CHUNK_KEY).agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("column", F.struct(*facts))))).alias("column_profiles"),
@@ -41,7 +44,9 @@ def chunk_metadata(
     rows = scored.groupBy(CHUNK_KEY).agg(
         F.min("_row_idx").alias("row_offset"),
         F.count(F.lit(1)).alias("chunk_rows"),
-        F.sort_array(F.collect_list(F.struct("_row_idx", "_anomaly_score", "_missing_ratio"))).alias("marks"),
+        F.array_sort(
+            F.collect_list(F.struct("_row_idx", "_anomaly_score", "_missing_ratio", *z)), lambda a, b: F.when(a["_row_idx"] < b["_row_idx"], -1).when(a["_row_idx"] > b["_row_idx"], 1).otherwise(0)
+        ).alias("marks"),
     )
     return rows.join(columns, CHUNK_KEY).select(
         CHUNK_KEY,
@@ -55,10 +60,16 @@ def chunk_metadata(
             F.array(*[F.lit(m) for m in methods]).alias("methods"),
             F.transform("marks", lambda m: m.getField("_anomaly_score")).alias("row_score"),
             F.transform("marks", lambda m: m.getField("_missing_ratio")).alias("missing_ratio"),
+            *([_per_column(numeric)] if z else []),
         ).alias("anomaly"),
     )
 
 
+def _per_column(columns: Column) -> Column:
+    each = F.transform(columns, lambda c: F.struct(c.alias("key"), F.transform("marks", lambda m: F.try_element_at(m["_z"], c)).alias("value")))
+    return F.map_from_entries(F.array_sort(each, lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1))).alias("per_column")
+
+
 def write_metadata(metadata: DataFrame, path: str) -> None:
     metadata.write.mode("overwrite").json(path)
 

@@ -45,6 +45,7 @@ def test_chunk_sinks(spark, sample, tmp_path):
     assert (first.row_offset, first.chunk_rows, first.shape) == (0, 4, [4, 6])
     assert (second.row_offset, second.chunk_rows, second.source_file) == (4, 3, "s.csv")
     assert len(first.anomaly.row_score) == 4 and first.anomaly.methods == ["z_score"]
+    assert set(first.anomaly.per_column.asDict()) >= {"id", "amount"} and all(len(z) == 4 for z in first.anomaly.per_column if z is not None)
     assert first.column_profiles.amount.unique_count == 4 and first.column_types.amount == "numeric"
 
 

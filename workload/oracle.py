@@ -236,15 +236,17 @@ define(
 BY_CHUNK = anomalies("chunk_id")
 define(
     "B2_chunk_metadata",
-    BY_CHUNK + """,
+    BY_CHUNK + (""",
 h AS (SELECT chunk_id, amount AS v, count(*) AS c FROM clean_chunk WHERE amount IS NOT NULL GROUP BY 1, 2),
-e AS (SELECT chunk_id, count(*) AS u, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS entropy FROM h GROUP BY 1)""".replace(
+e AS (SELECT chunk_id, count(*) AS u, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS entropy FROM h GROUP BY 1),
+numbers AS (SELECT chunk_id, """ + number("amount") + """ AS x FROM clean_chunk),
+amount_z AS (SELECT chunk_id, sum(abs(x - mean) / std) AS z FROM (SELECT *, avg(x) OVER w AS mean, stddev_pop(x) OVER w AS std FROM numbers WINDOW w AS (PARTITION BY chunk_id)) GROUP BY 1)""").replace(
         "clean_chunk", "(SELECT _row_idx // 1000 AS chunk_id, amount FROM clean)"
     ),
     """SELECT m.chunk_id, 'orders' AS source_file, min(_row_idx) AS row_offset, count(*) AS chunk_rows, CAST(8 AS BIGINT) AS n_columns,
   'numeric' AS amount_type, round(1 - count(amount) / count(*), 6) AS amount_null_rate, any_value(u) AS amount_unique,
-  round(any_value(entropy), 6) AS amount_entropy, round(sum(score), 4) AS score_sum
-FROM marked m JOIN e ON e.chunk_id = m.chunk_id GROUP BY m.chunk_id""",
+  round(any_value(entropy), 6) AS amount_entropy, round(sum(score), 4) AS score_sum, round(any_value(z), 4) AS amount_z_sum
+FROM marked m JOIN e ON e.chunk_id = m.chunk_id JOIN amount_z ON amount_z.chunk_id = m.chunk_id GROUP BY m.chunk_id""",
 )
 
 # ---- rendered files ----

@@ -216,6 +216,7 @@ def b2(spark, sf):
         amount.getField("unique_count").alias("amount_unique"),
         amount.getField("entropy").alias("amount_entropy"),
         F.round(F.aggregate("anomaly.row_score", F.lit(0.0), lambda a, x: a + x), 4).alias("score_sum"),
+        F.round(F.aggregate(F.filter("anomaly.per_column.amount", lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x), 4).alias("amount_z_sum"),
     )
 
 
