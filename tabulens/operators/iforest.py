@@ -7,9 +7,11 @@ table's size. The model is collected and shipped with the scoring function; the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -62,6 +64,62 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator) -> list[tuple[int, int, f
     return nodes
 
 
+class Streams:
+    """What many generators give to ``choice`` and ``uniform`` in turn, drawn for all of them at once.
+
+    The numbers are those of numpy's own calls, one generator at a time: a double takes a word of 64 bits, a choice among
+    several half a word, of which the other half is kept for the next choice; a choice of one takes nothing.
+    """
+
+    def __init__(self, generators: list[np.random.Generator], words: int):
+        states = [g.bit_generator.state for g in generators]
+        self.kept = np.array([s["uinteger"] for s in states], np.uint64)
+        self.has_kept = np.array([s["has_uint32"] for s in states], bool)
+        self.words = np.array([g.bit_generator.random_raw(words) for g in generators])
+        self.at = np.zeros(len(generators), np.intp)
+
+    @classmethod
+    def joined(cls, parts: list[Streams]) -> Streams:
+        """Streams of their own that go on where the given ones are."""
+        self = cls.__new__(cls)
+        longest = max(p.words.shape[1] for p in parts)
+        self.words = np.concatenate([np.pad(p.words, ((0, 0), (0, longest - p.words.shape[1]))) for p in parts])
+        self.kept, self.has_kept, self.at = (np.concatenate([getattr(p, c) for p in parts]) for c in ("kept", "has_kept", "at"))
+        return self
+
+    def _word(self, who: np.ndarray) -> np.ndarray:
+        words = self.words[who, self.at[who]]
+        self.at[who] += 1
+        return words
+
+    def below(self, who: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """A number from 0 to ``n - 1`` of each generator in ``who``."""
+        out, pending = np.zeros(len(who), np.intp), np.flatnonzero(n > 1)
+        while len(pending):
+            asked = who[pending]
+            half, fresh = self.kept[asked], ~self.has_kept[asked]
+            words = self._word(asked[fresh])
+            half[fresh] = words & np.uint64(0xFFFFFFFF)
+            self.kept[asked[fresh]] = words >> np.uint64(32)
+            self.has_kept[asked] = fresh
+            several = n[pending].astype(np.uint64)
+            product = half * several
+            out[pending] = product >> np.uint64(32)
+            pending = pending[(product & np.uint64(0xFFFFFFFF)) < np.uint64(1 << 32) % several]
+        return out
+
+    def double(self, who: np.ndarray) -> np.ndarray:
+        return (self._word(who) >> np.uint64(11)) * 2.0**-53
+
+
+@lru_cache(maxsize=8)
+def _drawn(n: int, trees: int, psi: int, seed: int) -> tuple[np.ndarray, Streams]:
+    """The rows that every tree takes of ``n``, and the generators after that; alike for all chunks of ``n`` rows."""
+    generators = [np.random.default_rng([seed, tree]) for tree in range(trees)]
+    picked = np.array([g.choice(n, psi, replace=False) for g in generators], np.intp)
+    return picked, Streams(generators, 2 * psi)  # fewer than ``psi`` splits, each of at most a word and a half
+
+
 class Forest:
     """All trees as perfect binary trees of equal depth, for scoring whole batches without branches.
 
@@ -70,12 +128,9 @@ class Forest:
     """
 
     def __init__(self, nodes: pd.DataFrame, subsample: int):
-        self.depth = int(np.ceil(np.log2(max(subsample, 2))))
+        """From the nodes that ``grow_tree`` gives, with their ``tree``."""
         trees = sorted(nodes["tree"].unique())
-        slots, bottom = 2 ** (self.depth + 1) - 1, 2**self.depth - 1
-        self.feature = np.zeros((len(trees), slots), np.intp)
-        self.threshold = np.full((len(trees), slots), np.inf)
-        self.length = np.zeros((len(trees), slots - bottom))
+        self.__dict__.update(vars(self._empty(len(trees), subsample)))
         parts = dict(list(nodes.groupby("tree")))
         for t, tree in enumerate(trees):
             part = parts[tree].sort_values("node")  # nodes are numbered 0, 1, ... within a tree
@@ -87,14 +142,104 @@ class Forest:
                 node, slot, depth = pending.pop()
                 if feature[node] < 0:
                     slot = (slot + 1) * 2 ** (self.depth - depth) - 1
-                    self.length[t, slot - bottom] = length[node]
+                    self.length[t, slot - self.bottom] = length[node]
                 else:
                     self.feature[t, slot] = feature[node]
                     self.threshold[t, slot] = threshold[node]
                     pending.append((left[node], 2 * slot + 1, depth + 1))
                     pending.append((right[node], 2 * slot + 2, depth + 1))
-        self.bottom = bottom
+
+    @classmethod
+    def _empty(cls, trees: int, subsample: int) -> Forest:
+        self = cls.__new__(cls)
+        self.depth = int(np.ceil(np.log2(max(subsample, 2))))
+        slots, self.bottom = 2 ** (self.depth + 1) - 1, 2**self.depth - 1
+        self.feature = np.zeros((trees, slots), np.intp)
+        self.threshold = np.full((trees, slots), np.inf)
+        self.length = np.zeros((trees, slots - self.bottom))
         self.scale = max(mean_path(subsample), 1e-12)
+        return self
+
+    @classmethod
+    def grown(cls, tables: list[np.ndarray], trees: int, subsample: int, seed: int) -> list[Forest]:
+        """For each table of numbers the forest of ``grow_tree`` with each tree's generator and rows.
+
+        The trees of all tables grow together, a split of each at a time. A tree's next split is that of the node put last
+        on its stack, as there. A node is a stretch of its tree's rows, which are parted in place; bounds tell the leaves.
+        """
+        psi = [min(subsample, len(x)) for x in tables]
+        drawn = [_drawn(len(x), trees, n, seed) for x, n in zip(tables, psi)]
+        forests = [cls._empty(trees, n) for n in psi]
+        begin = np.cumsum([0, *map(len, tables)])[:-1]
+        members = np.concatenate([(picked + at).ravel() for (picked, _), at in zip(drawn, begin)])
+        streams, columns = Streams.joined([s for _, s in drawn]), np.concatenate(tables).T.copy()
+        flat, total, paths = columns.ravel(), columns.shape[1], np.array([mean_path(n) for n in range(subsample + 1)])
+        # Of every tree: its forest's depth, and where its slots begin when forests lie one after the other.
+        limit = np.repeat([f.depth for f in forests], trees)
+        slots = np.repeat([f.feature.shape[1] for f in forests], trees)
+        bottom = slots // 2
+        slot_at, length_at = np.cumsum(slots) - slots, np.cumsum(bottom + 1) - (bottom + 1)
+        features, thresholds = np.zeros(slots.sum(), np.intp), np.full(slots.sum(), np.inf)
+        lengths = np.zeros((bottom + 1).sum())
+        # Of every tree's open nodes: first row, number of rows, slot, depth, bounds of the features.
+        deepest, height = limit.max() + 2, np.zeros(len(limit), np.intp)
+        stack = np.zeros((len(limit) * deepest, 4), np.intp)
+        bounds = np.zeros((len(limit) * deepest, 2, len(columns)))
+
+        def add(tree: np.ndarray, node: np.ndarray, bound: np.ndarray) -> None:
+            """Leaves get their length, other nodes the next place on their tree's stack."""
+            inner = (node[:, 3] < limit[tree]) & (bound[:, 1] > bound[:, 0]).any(axis=1)
+            leaf = ~inner
+            of, (_, size, slot, depth) = tree[leaf], node[leaf].T
+            lengths[length_at[of] + (slot + 1) * (1 << (limit[of] - depth)) - 1 - bottom[of]] = depth + paths[size]
+            tree = tree[inner]
+            at = tree * deepest + height[tree]
+            stack[at], bounds[at] = node[inner], bound[inner]
+            height[tree] += 1
+
+        size = np.repeat(psi, trees)
+        first = np.cumsum(size) - size
+        values = columns[:, members]
+        add(np.arange(len(limit)), np.stack([first, size, 0 * size, 0 * size], axis=1), np.stack([f.reduceat(values, first, axis=1).T for f in (np.minimum, np.maximum)], axis=1))
+        while len(tree := np.flatnonzero(height)):
+            height[tree] -= 1
+            at = tree * deepest + height[tree]
+            (first, size, slot, depth), bound = stack[at].T, bounds[at]
+            varies = bound[:, 1] > bound[:, 0]
+            nth = streams.below(tree, varies.sum(axis=1))
+            feature = (np.cumsum(varies, axis=1) > nth[:, None]).argmax(axis=1)
+            low, high = bound[np.arange(len(tree)), :, feature].T
+            width = high - low
+            if not np.isfinite(width).all():
+                raise OverflowError("the range of a feature exceeds that of doubles")
+            threshold = low + width * streams.double(tree)
+            threshold = np.where(threshold >= high, low, threshold)  # rounding put it on the maximum
+            features[slot_at[tree] + slot], thresholds[slot_at[tree] + slot] = feature, threshold
+            start = np.cumsum(size) - size
+            place = np.arange(start[-1] + size[-1]) + np.repeat(first - start, size)
+            rows = members[place]
+            to_left = flat[np.repeat(feature * total, size) + rows] <= np.repeat(threshold, size)
+            # Left rows go to the front of their stretch, each as far as there are left rows before it; right rows behind.
+            count = np.cumsum(to_left)
+            before = np.concatenate([[0], count])[start]
+            left = count[start + size - 1] - before
+            ahead = count - np.repeat(before, size)
+            inside = np.arange(len(rows)) - np.repeat(start, size)
+            target = np.where(to_left, ahead - 1, inside - ahead + np.repeat(left, size)) + np.repeat(start, size)
+            parted = np.empty_like(rows)
+            parted[target] = rows
+            members[place] = parted
+            # Of each split the left child, then the right one, which is put on top.
+            cuts = np.stack([start, start + left], axis=1).ravel()
+            values = columns[:, parted]
+            bound = np.stack([f.reduceat(values, cuts, axis=1).T for f in (np.minimum, np.maximum)], axis=1)
+            add(tree, np.stack([first, left, 2 * slot + 1, depth + 1], axis=1), bound[::2])
+            add(tree, np.stack([first + left, size - left, 2 * slot + 2, depth + 1], axis=1), bound[1::2])
+        for forest, at in zip(forests, range(0, len(limit), trees)):
+            forest.feature[:] = features[slot_at[at]:][: forest.feature.size].reshape(trees, -1)
+            forest.threshold[:] = thresholds[slot_at[at]:][: forest.feature.size].reshape(trees, -1)
+            forest.length[:] = lengths[length_at[at]:][: forest.length.size].reshape(trees, -1)
+        return forests
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """2 ** (-mean path length / expected path length), higher is more anomalous."""
@@ -224,24 +369,40 @@ def chunk_isolation_scores(
     keys = [*chunk, order]
     schema = df.select(*keys).withColumn(name, F.lit(None).cast("double")).schema
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        x = rows[names].to_numpy(float)
-        x = x[:, ~np.isnan(x).all(axis=0)]
-        out = rows.drop(columns=names)
-        if len(x) < MIN_ROWS or not x.shape[1]:
-            return out.assign(**{name: None}).astype({name: "float64"})
-        x = np.where(np.isnan(x), np.nanmedian(x, axis=0), x)
-        psi = min(subsample, len(x))
-        nodes = []
-        for tree in range(trees):
-            rng = np.random.default_rng([seed, tree])
-            grown = grow_tree(x[rng.choice(len(x), psi, replace=False)], rng)
-            part = pd.DataFrame(grown, columns=["node", "feature", "threshold", "left", "right", "length"])
-            nodes.append(part.assign(tree=tree))
-        return out.assign(**{name: Forest(pd.concat(nodes), psi).score(x)})
-
-    # Only keys and features go through Python; all other columns stay where they are and meet the scores by key.
+    def scored(rows: pa.Table) -> pa.Table:
+        """Rows of whole chunks, chunk by chunk, with their scores."""
+        x = np.column_stack([rows[n].to_numpy().astype(float) for n in names])
+        tables, cuts = [], [*np.flatnonzero(rows["_first"].to_numpy()), len(x)]
+        found = np.full(len(x), np.nan)
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            part = x[low:high]
+            empty = np.isnan(part).all(axis=0)
+            if high - low < MIN_ROWS or empty.all():
+                continue
+            part[:, empty] = 0.0  # what never varies is never split
+            tables.append((low, high, np.where(np.isnan(part), np.nanmedian(part, axis=0), part)))
+        forests = Forest.grown([x for *_, x in tables], trees, subsample, seed) if tables else []
+        for (low, high, part), forest in zip(tables, forests):
+            found[low:high] = forest.score(part)
+        return rows.select(keys).append_column(name, pa.array(found, from_pandas=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the chunk that may go on
+        for batch in batches:
+            first = np.flatnonzero(batch.column("_first").to_numpy(zero_copy_only=False))
+            last = first[-1] if len(first) else 0
+            if len(first) and (held or last):
+                yield from scored(pa.Table.from_batches([*held, batch.slice(0, last)])).to_batches()
+                held, batch = [], batch.slice(last)
+            held.append(batch)
+        if held:
+            yield from scored(pa.Table.from_batches(held)).to_batches()
+
+    # Only keys and features go through Python; all other columns stay where they are and meet the scores by key. The work
+    # is in the chunks, not in their bytes, so tasks are as many as a shuffle has partitions however small those are.
     inputs = df.select(*keys, *[x.cast("double").alias(n) for n, x in zip(names, features.values())])
-    scored = df.join(inputs.groupBy(*chunk).applyInPandas(run, schema), keys, "left")
-    return scored.select(*[F.col("`" + c.replace("`", "``") + "`") for c in (*df.columns, name)])
+    inputs = inputs.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *chunk)
+    here = Window.partitionBy(*chunk).orderBy(F.asc_nulls_last(order))
+    marked = inputs.withColumn("_first", F.row_number().over(here) == 1)
+    scores = marked.mapInArrow(run, schema)
+    return df.join(scores, keys, "left").select(*[F.col("`" + c.replace("`", "``") + "`") for c in (*df.columns, name)])

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -152,3 +153,33 @@ def test_tree_partitions_all_rows(n, d, seed):
     leaves = [node for node in nodes if node[1] == -1]
     assert len(nodes) == 2 * len(leaves) - 1
     assert max(node[5] for node in leaves) <= np.ceil(np.log2(max(n, 2))) + iforest.mean_path(n) + 1e-9
+
+
+def test_forests_of_many_chunks_grow_as_tree_by_tree(spark):
+    """Chunks that share a task get the very trees, and scores, that each gets alone, tree after tree."""
+    rng = np.random.default_rng(3)
+    tables = [rng.normal(size=(300, 3)), rng.integers(0, 4, (90, 3)).astype(float), np.ones((7, 3)), rng.normal(size=(5, 3))]
+    for x, forest in zip(tables, iforest.Forest.grown(tables, 9, 64, 5)):
+        psi, nodes = min(64, len(x)), []
+        for tree in range(9):
+            draw = np.random.default_rng([5, tree])
+            grown = iforest.grow_tree(x[draw.choice(len(x), psi, replace=False)], draw)
+            part = pd.DataFrame(grown, columns=["node", "feature", "threshold", "left", "right", "length"])
+            nodes.append(part.assign(tree=tree))
+        alone = iforest.Forest(pd.concat(nodes), psi)
+        for part in ("feature", "threshold", "length"):
+            assert (getattr(forest, part) == getattr(alone, part)).all()
+    # Chunks of unequal size, the first without a column, the last too small, each cut by the bounds of batches.
+    a = F.when(F.col("_row_idx") >= 40, F.col("_row_idx") * 7 % 31).cast("double")
+    df = spark.range(163).withColumnRenamed("id", "_row_idx").withColumns({"_chunk_id": F.floor(F.col("_row_idx") / 40), "a": a, "b": F.col("_row_idx") * 5 % 17})
+    features, key = {"a": F.col("a"), "b": F.col("b")}, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    score = lambda: {r._row_idx: r._iforest_score for r in iforest.chunk_isolation_scores(df, features, trees=5, subsample=16).collect()}
+    whole, before = score(), spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        assert score() == whole
+    finally:
+        spark.conf.set(key, before)
+    assert [i for i, s in whole.items() if s is None] == [160, 161, 162] and len(whole) == 163
+    third = df.where("_chunk_id = 2").orderBy("_row_idx").toPandas()[["a", "b"]].to_numpy(float)
+    assert [whole[i] for i in range(80, 120)] == iforest.Forest.grown([third], 5, 16, iforest.SEED)[0].score(third).tolist()
