@@ -59,9 +59,10 @@ OTHER_SHAPES = "|".join(
     )
 )
 
-# The shortest and longest texts that any shape can match, and all shapes in one pattern.
+# The shortest and longest texts that any shape can match, and all shapes in one pattern, which begins with the one place
+# where any may begin, so that a text is not searched for others.
 MIN_DATE_LENGTH, MAX_DATE_LENGTH = 4, 48
-ANY_SHAPE = "|".join((YEAR_FIRST_SHAPE, YEAR_LAST_SHAPE, COMPACT_SHAPE, OTHER_SHAPES))
+ANY_SHAPE = rf"^(?:{'|'.join((YEAR_FIRST_SHAPE, YEAR_LAST_SHAPE, COMPACT_SHAPE, OTHER_SHAPES))})"
 
 
 def is_null_token(value: Column) -> Column:
@@ -145,13 +146,16 @@ def header_likeness(token: Column) -> Column:
     return text_likeness(strip(token))
 
 
-def text_likeness(text: Column) -> Column:
+def text_likeness(text: Column, numeric: Column | None = None, date: Column | None = None) -> Column:
+    """The same for a trimmed text, of which it may be known already whether it is a number and whether it is a date."""
+    numeric = is_numeric(text) if numeric is None else numeric
+    date = is_datetime_text(text) if date is None else date
     size = F.length(text)
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
     identifier = is_alphanumeric(F.translate(text, "_-", "")) & ~text.rlike(r"^\p{Nd}")
     score = (
-        F.when(is_numeric(text), 0.0).otherwise(0.3)
-        + F.when(is_datetime_text(text), 0.0).otherwise(0.2)
+        F.when(numeric, 0.0).otherwise(0.3)
+        + F.when(date, 0.0).otherwise(0.2)
         + 0.25 * letters / F.greatest(size, F.lit(1))
         + F.when(identifier, 0.15).otherwise(0.0)
         + F.when(size.between(2, 30), 0.1).when(size > 50, -0.2).otherwise(0.0)

@@ -40,34 +40,40 @@ TINY = 1e-9
 NO_TIME = ("NaT", "nat", "NAT", "nan", "NaN", "NAN")
 
 
-def _texts(fields: Column) -> Column:
-    """Every field with its trimmed text, computed once for all that is asked about it later."""
-    return F.transform(fields, lambda f: F.struct(f.alias("field"), strip(f).alias("text")))
+def _texts(fields: Column, token: Column) -> Column:
+    """Every field with its trimmed text, whether that is a number, and a date where anybody asks, each found out once.
+
+    Of numbers it is asked in lines that are a ``token`` line, a candidate for the header, alone.
+    """
+    texts = F.transform(fields, lambda f: F.struct(f.alias("field"), strip(f).alias("text")))
+    known = F.transform(texts, lambda x: F.struct(x["field"].alias("field"), x["text"].alias("text"), is_numeric(x["text"]).alias("numeric")))
+    date = lambda x: F.when(token | ~x["numeric"], is_datetime_text(x["text"]))
+    return F.transform(known, lambda x: F.struct(*[x[c].alias(c) for c in ("field", "text", "numeric")], date(x).alias("date")))
 
 
 def _cell(item: Column) -> Column:
     """What scoring needs to know about one field; null for a missing value."""
-    field, text = item.getField("field"), item.getField("text")
+    field, text, numeric = (item.getField(c) for c in ("field", "text", "numeric"))
     return F.when(
         ~is_null_token(field),
         F.struct(
             text.alias("text"),
-            is_numeric(text).alias("numeric"),
-            (~is_numeric(text) & is_datetime_text(text)).alias("datetime"),
+            numeric.alias("numeric"),
+            (~numeric & item.getField("date")).alias("datetime"),
             F.length(text).alias("size"),
-            finite(to_number(field)).alias("number"),
+            F.when(numeric, finite(to_number(field))).alias("number"),
         ),
     )
 
 
 def _token(item: Column) -> Column:
-    text = item.getField("text")
+    text, numeric, date = (item.getField(c) for c in ("text", "numeric", "date"))
     # A blank parses as "no time" instead of failing, hence counts as a date here and only here.
     return F.struct(
         text.alias("text"),
-        text_likeness(text).alias("likeness"),
-        is_numeric(text).alias("numeric"),
-        ((text == "") | text.isin(*NO_TIME) | is_datetime_text(text)).alias("datetime"),
+        text_likeness(text, numeric, date).alias("likeness"),
+        numeric.alias("numeric"),
+        ((text == "") | text.isin(*NO_TIME) | date).alias("datetime"),
     )
 
 
@@ -90,19 +96,21 @@ def _judged_entries(files: DataFrame, mode: str, max_scan: int) -> DataFrame:
 
     def trim(entry: Column) -> Column:
         is_candidate = entry.getField("row") <= max_scan
-        tokens = entry.getField("fields" if mode == "robust" else "raw")
+        raw = [F.when(is_candidate, _texts(entry.getField("raw"), F.lit(True))).alias("tokens")] if mode != "robust" else []
         return F.struct(
             *[entry.getField(c).alias(c) for c in ("row", "line_no", "line", "comment")],
             F.when(is_candidate, entry.getField("fields")).alias("fields"),
-            _texts(entry.getField("fields")).alias("cells"),
-            F.when(is_candidate, _texts(tokens)).alias("tokens"),
+            _texts(entry.getField("fields"), is_candidate).alias("cells"),
+            *raw,
         )
 
     def judge(entry: Column) -> Column:
+        is_candidate = entry.getField("row") <= max_scan
+        tokens = F.when(is_candidate, entry.getField("cells")) if mode == "robust" else entry.getField("tokens")
         return F.struct(
             *[entry.getField(c).alias(c) for c in ("row", "line_no", "line", "comment", "fields")],
             F.transform(entry.getField("cells"), _cell).alias("cells"),
-            F.transform(entry.getField("tokens"), _token).alias("tokens"),
+            F.transform(tokens, _token).alias("tokens"),
         )
 
     steps = F.transform(F.transform(F.transform("entries", split), trim), judge)
@@ -123,12 +131,12 @@ def _column_summaries(block: Column, first: Column, last: Column) -> Column:
         )
 
     def filled(c: Column) -> Column:
-        numbers = F.transform(c.getField("cells"), lambda x: x.getField("number"))
+        numbers = F.transform(F.filter(c.getField("cells"), lambda x: x.getField("number").isNotNull()), lambda x: x.getField("number"))
         return F.struct(
             c.getField("first_numeric").alias("first_numeric"),
             F.size(c.getField("cells")).alias("present"),
             F.filter(c.getField("cells"), lambda x: x.getField("text") != "").alias("cells"),
-            F.filter(numbers, lambda x: x.isNotNull()).alias("numbers"),
+            numbers.alias("numbers"),
         )
 
     def counted(c: Column) -> Column:
@@ -165,7 +173,7 @@ def _column_summaries(block: Column, first: Column, last: Column) -> Column:
         )
 
     columns = F.transform(
-        F.sequence(first, last), lambda at: F.transform(block, lambda e: F.get(e.getField("cells"), at))
+        F.sequence(first, last), lambda at: F.transform(block, lambda cells: F.get(cells, at))
     )
     for step in (present, filled, counted, shares, summary):
         columns = F.transform(columns, step)
@@ -188,21 +196,22 @@ def _blocks(
         "delimiter_score",
         F.get("entries", F.lit(0)).getField("comment").alias("first_is_comment"),
         F.forall("entries", lambda e: e.getField("comment")).alias("all_comments"),
-        "entries",
+        # Each candidate gets a copy of what follows it: of that, the cells alone.
+        F.transform("entries", lambda e: e.getField("cells")).alias("rows"),
         F.explode(F.slice("entries", 1, max_scan + 1)).alias("candidate"),
     )
     if drop_comments:
         candidates = candidates.where(~F.col("candidate.comment") | F.col("all_comments"))
-    first_width = F.coalesce(F.size(F.get("block", F.lit(0)).getField("cells")), F.lit(0))
+    first_width = F.coalesce(F.size(F.get("block", F.lit(0))), F.lit(0))
     wide = F.size("block") - F.size("fitting")
     enough = (wide == 0) | (2 * wide < F.size("block")) if mode == "robust" else wide == 0
     return (
-        candidates.withColumn("block", F.slice("entries", F.col("candidate.row") + 2, look_ahead))
-        .drop("entries", "all_comments")
+        candidates.withColumn("block", F.slice("rows", F.col("candidate.row") + 2, look_ahead))
+        .drop("rows", "all_comments")
         .withColumn("width", F.size("candidate.cells"))
         .withColumn("shift", F.greatest(first_width - F.col("width"), F.lit(0)))
         .withColumn("widest", F.col("width") + F.col("shift"))
-        .withColumn("fitting", F.filter("block", lambda e: F.size(e.getField("cells")) <= F.col("widest")))
+        .withColumn("fitting", F.filter("block", lambda cells: F.size(cells) <= F.col("widest")))
         .withColumn("parsed", enough)
         .withColumn("block", F.col("fitting"))
         .drop("fitting")

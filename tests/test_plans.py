@@ -211,3 +211,21 @@ def test_entry_without_the_training_data_operators(tmp_path, with_pipeline):
     done = subprocess.run([sys.executable, "-c", asked], cwd=tmp_path, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
     assert set(done.stdout.split()) == {q for q in entry_points.queries() if not q.startswith("op") and q != "pipeline"}
+
+
+def test_lines_are_split_once_and_files_decided_once(spark, sample_lines):
+    """No function over cells splits a line anew, no query that asks for decisions several times makes them several times."""
+    rows = [("a", 0, "x,y,z"), ("a", 1, "1,NA,3"), ("a", 2, "4"), ("a", 3, "5,,6,7"), ("b", 0, "x|y"), ("b", 1, "i|1|2|3"), ("b", 2, "j")]
+    lines = spark.createDataFrame(rows, "file_id string, line_no long, line string")
+    wanted = [("a", ",", 0, 0, ["x", "y", "z"], 0), ("b", "|", 0, 0, ["x", "y"], 1)]
+    decisions = spark.createDataFrame(wanted, "file_id string, delimiter string, header_row int, header_line_no long, names array<string>, index_width int")
+    scanned = delimited.scan_rows(lines, decisions)
+    got = {(r.file_id, r.line_no): (r.cells, r._index, r._extra) for r in scanned.collect()}
+    assert got == {
+        ("a", 1): (["1", None, "3"], [], []), ("a", 2): (["4", None, None], [], []), ("a", 3): (["5", None, "6"], [], ["7"]),
+        ("b", 1): (["1", "2"], ["i"], ["3"]), ("b", 2): ([None, None], ["j"], []),
+    }
+    plan = scanned.select("cells")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("split(" in part.split("lambda x")[0] for part in plan.split("lambdafunction(")[1:])
+    counted = entry_points.queries()["A4_line_count"](spark, "/root/testdata/sf0.001")
+    assert "first_is_comment" not in counted._jdf.queryExecution().optimizedPlan().toString()

@@ -28,7 +28,7 @@ from tabulens.operators import (
 from tabulens.plans import ingest, perceive
 from tabulens.sinks import documents
 from tabulens.sources import delimited, formats, heads, rows, typed
-from tabulens.sources.workdir import fresh_folder
+from tabulens.sources.workdir import fresh_folder, stored
 from tabulens.streaming import microbatch, windows
 from workload import fixtures as fx
 
@@ -132,7 +132,7 @@ def a4_multiline(spark, sf):
 def a4_lines(spark, sf):
     """Per file: lines, and where they went."""
     lines = fx.rendered_lines(spark, sf)
-    decisions = delimited.decide(formats.head_lines(lines))
+    decisions = stored(delimited.decide(formats.head_lines(lines)), "decisions")
     counts = [
         lines.select("file_id", F.lit("line").alias("kind")),
         decisions.select("file_id", F.lit("header").alias("kind")),
