@@ -153,7 +153,7 @@ def scan_rows(lines: DataFrame, decisions: DataFrame) -> DataFrame:
         "file_id",
         *[c for c in ("line_no", "_row_idx", "_lines") if c in below.columns],
         "names",
-        # The fields are an argument and not named within the function, where a line would be split anew for each cell.
+        # As many cells as names: what a row holds of them, then nulls.
         F.concat(F.transform(F.slice("fields", shift + 1, width), null_tokens_to_null), F.array_repeat(F.lit(None).cast("string"), width + shift - F.greatest(F.size("fields"), shift))).alias("cells"),
         F.slice("fields", F.lit(1), shift).alias("_index"),
         F.slice("fields", shift + width + 1, F.greatest(F.size("fields"), F.lit(1))).alias("_extra"),
