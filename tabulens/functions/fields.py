@@ -43,7 +43,7 @@ def quoted_split(line: Column, delimiter: str) -> Column:
 
 def field_count(line: Column, delimiter: str) -> Column:
     """Number of fields, quotes respected."""
-    plain = F.length(line) - F.length(F.translate(line, delimiter, "")) + 1
+    plain = F.length(line) - F.length(F.replace(line, F.lit(delimiter), F.lit(""))) + 1
     return F.when(F.contains(line, F.lit('"')), F.size(_quoted_pieces(line, delimiter))).otherwise(plain)
 
 

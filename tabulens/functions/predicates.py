@@ -80,7 +80,7 @@ def strip(value: Column) -> Column:
 
 
 def without_commas(value: Column) -> Column:
-    return F.translate(value, ",", "")
+    return F.replace(value, F.lit(","), F.lit(""))
 
 
 def is_numeric(value: Column) -> Column:
@@ -151,7 +151,7 @@ def text_likeness(text: Column, numeric: Column | None = None, date: Column | No
     numeric = is_numeric(text) if numeric is None else numeric
     date = is_datetime_text(text) if date is None else date
     size = F.length(text)
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
     identifier = is_alphanumeric(F.translate(text, "_-", "")) & ~text.rlike(r"^\p{Nd}")
     score = (
         F.when(numeric, 0.0).otherwise(0.3)

@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 
 from tabulens.functions.fields import split_by
 from tabulens.functions.predicates import (
-    is_comment_line,
+    FLOAT_TEXT,
     is_datetime_text,
     is_null_token,
-    is_numeric,
     strip,
     text_likeness,
-    to_number,
+    without_commas,
 )
 from tabulens.functions.scoring import finite, ratio
 from tabulens.operators.typescores import dominant_score, is_categorical
@@ -38,30 +37,44 @@ HIGH, MEDIUM, LOW = 0.75, 0.50, 0.30
 TINY = 1e-9
 # Texts that stand for "no time" and so pass a lenient date parser.
 NO_TIME = ("NaT", "nat", "NAT", "nan", "NaN", "NAN")
+# What a cell that is not missing can be.
+BLANK, NUMERIC, DATETIME, OTHER = range(4)
 
 
 def _texts(fields: Column, token: Column) -> Column:
-    """Every field with its trimmed text, whether that is a number, and a date where anybody asks, each found out once.
+    """Of every field, each found out once: trimmed text, whether it is missing, whether that is a number, a date where anybody asks, the number.
 
     Of numbers it is asked in lines that are a ``token`` line, a candidate for the header, alone.
     """
-    texts = F.transform(fields, lambda f: F.struct(f.alias("field"), strip(f).alias("text")))
-    known = F.transform(texts, lambda x: F.struct(x["field"].alias("field"), x["text"].alias("text"), is_numeric(x["text"]).alias("numeric")))
-    date = lambda x: F.when(token | ~x["numeric"], is_datetime_text(x["text"]))
-    return F.transform(known, lambda x: F.struct(*[x[c].alias(c) for c in ("field", "text", "numeric")], date(x).alias("date")))
+
+    def read(f: Column) -> Column:
+        return F.struct(strip(f).alias("text"), is_null_token(f).alias("missing"), F.trim(without_commas(f)).alias("digits"))
+
+    def known(x: Column) -> Column:
+        return F.struct(*[x[c].alias(c) for c in ("text", "missing", "digits")], x["digits"].rlike(FLOAT_TEXT).alias("numeric"))
+
+    def judged(x: Column) -> Column:
+        return F.struct(
+            *[x[c].alias(c) for c in ("text", "missing", "numeric")],
+            F.when(token | ~x["numeric"], is_datetime_text(x["text"])).alias("date"),
+            # Numbers with separated digits cannot be cast.
+            F.when(x["numeric"] & ~F.contains(x["digits"], F.lit("_")), x["digits"].try_cast("double")).alias("number"),
+        )
+
+    return F.transform(F.transform(F.transform(fields, read), known), judged)
 
 
 def _cell(item: Column) -> Column:
     """What scoring needs to know about one field; null for a missing value."""
-    field, text, numeric = (item.getField(c) for c in ("field", "text", "numeric"))
+    text = item.getField("text")
+    kind = F.when(text == "", BLANK).when(item.getField("numeric"), NUMERIC).when(item.getField("date"), DATETIME).otherwise(OTHER)
     return F.when(
-        ~is_null_token(field),
+        ~item.getField("missing"),
         F.struct(
             text.alias("text"),
-            numeric.alias("numeric"),
-            (~numeric & item.getField("date")).alias("datetime"),
+            kind.alias("kind"),
             F.length(text).alias("size"),
-            F.when(numeric, finite(to_number(field))).alias("number"),
+            finite(item.getField("number")).alias("number"),
         ),
     )
 
@@ -77,6 +90,16 @@ def _token(item: Column) -> Column:
     )
 
 
+def _dealt(files: DataFrame) -> DataFrame:
+    """The files in twice as many tasks as a shuffle has partitions.
+
+    Judging costs far more than its few bytes tell: cut by bytes, files come to hardly more tasks than there are cores,
+    and most cores wait for the last few. With another number than a shuffle has, Spark keeps the exchange; what is
+    grouped by file later on finds the files together.
+    """
+    return files.repartition(2 * int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id")
+
+
 def _judged_entries(files: DataFrame, mode: str, max_scan: int) -> DataFrame:
     """Split a line once and judge every field once, however many candidate blocks it falls into."""
     delimiter = F.col("delimiter")
@@ -89,7 +112,7 @@ def _judged_entries(files: DataFrame, mode: str, max_scan: int) -> DataFrame:
             entry.getField("row").alias("row"),
             entry.getField("line_no").alias("line_no"),
             line.alias("line"),
-            is_comment_line(line).alias("comment"),
+            entry.getField("comment").alias("comment"),
             fields.alias("fields"),
             *([F.when(is_candidate, split_by(line, delimiter, quotes=False)).alias("raw")] if mode != "robust" else []),
         )
@@ -120,46 +143,38 @@ def _judged_entries(files: DataFrame, mode: str, max_scan: int) -> DataFrame:
 def _column_summaries(block: Column, first: Column, last: Column) -> Column:
     """Dominant type share and spread of numbers of every column of a block of at most ``look_ahead`` rows.
 
-    Each step binds its results as fields, so that the next one refers to them instead of repeating them.
+    Each step binds its results as fields, so that the next one refers to them instead of repeating them. A step copies
+    what it gives, and a function over cells costs a call for each: kinds are counted as whole arrays, and only numbers
+    are handed on.
     """
 
-    def present(cells: Column) -> Column:
+    def counted(cells: Column) -> Column:
+        kinds = cells.getField("kind")
+        of = lambda kind: F.size(kinds) - F.size(F.array_remove(kinds, kind))
         return F.struct(
             # A missing cell reads as "nan", which is a number to the parser.
-            F.coalesce(F.get(cells, F.lit(0)).getField("numeric"), F.lit(True)).alias("first_numeric"),
-            F.filter(cells, lambda c: c.isNotNull()).alias("cells"),
-        )
-
-    def filled(c: Column) -> Column:
-        numbers = F.transform(F.filter(c.getField("cells"), lambda x: x.getField("number").isNotNull()), lambda x: x.getField("number"))
-        return F.struct(
-            c.getField("first_numeric").alias("first_numeric"),
-            F.size(c.getField("cells")).alias("present"),
-            F.filter(c.getField("cells"), lambda x: x.getField("text") != "").alias("cells"),
-            numbers.alias("numbers"),
-        )
-
-    def counted(c: Column) -> Column:
-        cells, numbers = c.getField("cells"), c.getField("numbers")
-        return F.struct(
-            *[c.getField(f).alias(f) for f in ("first_numeric", "present", "numbers")],
-            F.size(cells).alias("n"),
-            F.size(F.filter(cells, lambda x: x.getField("numeric"))).alias("numeric"),
-            F.size(F.filter(cells, lambda x: x.getField("datetime"))).alias("datetime"),
-            F.size(F.array_distinct(F.transform(cells, lambda x: x.getField("text")))).alias("distinct"),
-            F.aggregate(cells, F.lit(0), lambda acc, x: acc + x.getField("size")).alias("length"),
-            F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x).alias("sum"),
+            F.coalesce(F.get(kinds, F.lit(0)) == NUMERIC, F.lit(True)).alias("first_numeric"),
+            of(BLANK).alias("blank"),
+            of(NUMERIC).alias("numeric"),
+            of(DATETIME).alias("datetime"),
+            of(OTHER).alias("other"),
+            F.size(F.array_except(cells.getField("text"), F.array(F.lit(None).cast("string"), F.lit("")))).alias("distinct"),
+            F.aggregate(cells.getField("size"), F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0))).alias("length"),
+            F.filter(cells.getField("number"), lambda x: x.isNotNull()).alias("numbers"),
         )
 
     def shares(c: Column) -> Column:
-        n, distinct = c.getField("n"), c.getField("distinct")
+        n, distinct, numbers = c.getField("numeric") + c.getField("datetime") + c.getField("other"), c.getField("distinct"), c.getField("numbers")
         categorical = is_categorical(n, distinct, ratio(c.getField("length"), n))
         return F.struct(
-            *[c.getField(f).alias(f) for f in ("first_numeric", "present", "numbers", "n")],
+            c.getField("first_numeric").alias("first_numeric"),
+            (n + c.getField("blank")).alias("present"),
+            numbers.alias("numbers"),
+            n.alias("n"),
             ratio(c.getField("numeric"), n).alias("numeric"),
             ratio(c.getField("datetime"), n).alias("datetime"),
             F.when(categorical, 1.0).otherwise(0.0).alias("categorical"),
-            F.try_divide(c.getField("sum"), F.size(c.getField("numbers"))).alias("mean"),
+            F.try_divide(F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x), F.size(numbers)).alias("mean"),
         )
 
     def summary(c: Column) -> Column:
@@ -175,7 +190,7 @@ def _column_summaries(block: Column, first: Column, last: Column) -> Column:
     columns = F.transform(
         F.sequence(first, last), lambda at: F.transform(block, lambda cells: F.get(cells, at))
     )
-    for step in (present, filled, counted, shares, summary):
+    for step in (counted, shares, summary):
         columns = F.transform(columns, step)
     return columns
 
@@ -189,7 +204,7 @@ def _blocks(
     later row wider than that cannot be parsed. ``robust`` leaves such rows out as long as they are fewer than
     half; ``compat`` gives the candidate up.
     """
-    files = _judged_entries(formats.file_heads(head, mode, max_scan + look_ahead + 1), mode, max_scan)
+    files = _judged_entries(_dealt(formats.file_heads(head, mode, max_scan + look_ahead + 1)), mode, max_scan)
     candidates = files.select(
         "file_id",
         "delimiter",
@@ -197,7 +212,7 @@ def _blocks(
         F.get("entries", F.lit(0)).getField("comment").alias("first_is_comment"),
         F.forall("entries", lambda e: e.getField("comment")).alias("all_comments"),
         # Each candidate gets a copy of what follows it: of that, the cells alone.
-        F.transform("entries", lambda e: e.getField("cells")).alias("rows"),
+        F.col("entries.cells").alias("rows"),
         F.explode(F.slice("entries", 1, max_scan + 1)).alias("candidate"),
     )
     if drop_comments:

@@ -68,13 +68,13 @@ def _best(mode: str, candidates: tuple[str, ...]) -> Column:
 def file_heads(
     head: DataFrame, mode: str = "robust", lines: int = 0, candidates: tuple[str, ...] = DELIMITERS
 ) -> DataFrame:
-    """One row per file: ``file_id, delimiter, delimiter_score`` and its first ``lines`` lines as ``entries``.
+    """One row per file: ``file_id, delimiter, delimiter_score`` and its first ``lines`` lines as ``entries``, with whether each is a comment.
 
     A delimiter scores mean / deviation of its field counts. ``robust`` leaves comment lines out and ignores
     delimiters that never occur unless none does; ``compat`` does neither. Both the statistics and the
     entries come from one grouped aggregate, and the number of lines of a head is bounded.
     """
-    entry = F.when(F.col("row") < lines, F.struct("row", "line_no", "line"))
+    entry = F.when(F.col("row") < lines, F.struct("row", "line_no", "line", is_comment_line(F.col("line")).alias("comment")))
     best, names = F.col("best"), F.array(*[F.lit(d) for d in candidates])
     found = best.getField("score").isNotNull()
     return (

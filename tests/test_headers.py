@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from tabulens.operators import headers
@@ -104,3 +106,24 @@ def test_header_by_consistency(spark):
     rows = {r.file_id: r for r in headers.header_by_consistency(head).collect()}
     assert rows["one"].header_row == 0 and rows["one"].score == -1.0
     assert 0 <= rows["sample"].score <= 1
+
+
+def test_files_are_dealt_to_more_tasks_than_a_shuffle_cut_by_bytes_has(spark):
+    """Judging a file costs more than its bytes tell; grouping by file afterwards needs no other exchange."""
+    lines = lines_of(spark, {f"f{i}": CASES["standard"] for i in range(40)})
+    found = headers.detect_headers(formats.head_lines(lines))
+    assert {r.header_row for r in found.collect()} == {0}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.split("Initial Plan")[-1].splitlines() if "Exchange " in line]
+    assert len(exchanges) == 2 and sum("hashpartitioning(file_id" in x and "8), REPARTITION_BY_NUM" in x for x in exchanges) == 1
+
+
+def test_a_number_is_read_once(spark):
+    """Cells that only look like numbers, or hold commas, spaces or separated digits, count as before; each is cast once."""
+    texts = {"n": "name,value\na,\" 1,500 \"\nb,1_000\nc,nan\nd,inf\ne,\n", "w": "name;value\na;1,500\nb;2,500\nc;NA\n"}
+    scored = headers.score_candidates(formats.head_lines(lines_of(spark, texts)))
+    rows = {(r.file_id, r.row): r for r in scored.collect()}
+    # 1500 and 2500 in one column: a spread of 500; 1500 alone: none.
+    assert rows["w", 0].stability == 0.0 and rows["n", 0].stability == 1.0
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"digits as double\)", plan)) == 1
