@@ -19,8 +19,7 @@ from tabulens.functions.predicates import (
     text_likeness,
     without_commas,
 )
-from tabulens.functions.scoring import finite, ratio
-from tabulens.operators.typescores import dominant_score, is_categorical
+from tabulens.operators.blocks import block_figures
 from tabulens.sources import formats
 
 # Scan depth, look-ahead, weights of the candidate score, thresholds.
@@ -35,58 +34,30 @@ PENALTY_DATETIME_WEIGHT = 0.8
 SCORE_GAP = 0.40
 HIGH, MEDIUM, LOW = 0.75, 0.50, 0.30
 TINY = 1e-9
-# Texts that stand for "no time" and so pass a lenient date parser.
-NO_TIME = ("NaT", "nat", "NAT", "nan", "NaN", "NAN")
-# What a cell that is not missing can be.
-BLANK, NUMERIC, DATETIME, OTHER = range(4)
 
 
-def _texts(fields: Column, token: Column) -> Column:
-    """Of every field, each found out once: trimmed text, whether it is missing, whether that is a number, a date where anybody asks, the number.
+def _judged(files: DataFrame, kind: str, fields: Column, asked: Column) -> DataFrame:
+    """Of all fields of a file, one after the other: trimmed texts, whether they are missing, numbers or dates, the numbers.
 
-    Of numbers it is asked in lines that are a ``token`` line, a candidate for the header, alone.
+    Of a number it is asked in the first ``asked`` fields alone whether it is a date. Each answer is an array of its own:
+    a function over an array copies what it gives, and structs of answers would be copied at each step.
     """
+    texts, digits, numeric = (f"{kind}_{c}" for c in ("text", "digits", "numeric"))
 
-    def read(f: Column) -> Column:
-        return F.struct(strip(f).alias("text"), is_null_token(f).alias("missing"), F.trim(without_commas(f)).alias("digits"))
+    def date(both: Column, at: Column) -> Column:
+        return F.when((at < asked) | ~both[numeric], is_datetime_text(both[texts]))
 
-    def known(x: Column) -> Column:
-        return F.struct(*[x[c].alias(c) for c in ("text", "missing", "digits")], x["digits"].rlike(FLOAT_TEXT).alias("numeric"))
+    def number(both: Column) -> Column:
+        # Numbers with separated digits cannot be cast.
+        return F.when(both[numeric] & ~F.contains(both[digits], F.lit("_")), both[digits].try_cast("double"))
 
-    def judged(x: Column) -> Column:
-        return F.struct(
-            *[x[c].alias(c) for c in ("text", "missing", "numeric")],
-            F.when(token | ~x["numeric"], is_datetime_text(x["text"])).alias("date"),
-            # Numbers with separated digits cannot be cast.
-            F.when(x["numeric"] & ~F.contains(x["digits"], F.lit("_")), x["digits"].try_cast("double")).alias("number"),
-        )
-
-    return F.transform(F.transform(F.transform(fields, read), known), judged)
-
-
-def _cell(item: Column) -> Column:
-    """What scoring needs to know about one field; null for a missing value."""
-    text = item.getField("text")
-    kind = F.when(text == "", BLANK).when(item.getField("numeric"), NUMERIC).when(item.getField("date"), DATETIME).otherwise(OTHER)
-    return F.when(
-        ~item.getField("missing"),
-        F.struct(
-            text.alias("text"),
-            kind.alias("kind"),
-            F.length(text).alias("size"),
-            finite(item.getField("number")).alias("number"),
-        ),
-    )
-
-
-def _token(item: Column) -> Column:
-    text, numeric, date = (item.getField(c) for c in ("text", "numeric", "date"))
-    # A blank parses as "no time" instead of failing, hence counts as a date here and only here.
-    return F.struct(
-        text.alias("text"),
-        text_likeness(text, numeric, date).alias("likeness"),
-        numeric.alias("numeric"),
-        ((text == "") | text.isin(*NO_TIME) | date).alias("datetime"),
+    return (
+        files.withColumn(f"{kind}_text", F.transform(fields, strip))
+        .withColumn(f"{kind}_missing", F.transform(fields, is_null_token))
+        .withColumn(f"{kind}_digits", F.transform(fields, lambda f: F.trim(without_commas(f))))
+        .withColumn(f"{kind}_numeric", F.transform(digits, lambda d: d.rlike(FLOAT_TEXT)))
+        .withColumn(f"{kind}_date", F.transform(F.arrays_zip(texts, numeric), date))
+        .withColumn(f"{kind}_number", F.transform(F.arrays_zip(digits, numeric), number))
     )
 
 
@@ -100,150 +71,79 @@ def _dealt(files: DataFrame) -> DataFrame:
     return files.repartition(2 * int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id")
 
 
-def _judged_entries(files: DataFrame, mode: str, max_scan: int) -> DataFrame:
-    """Split a line once and judge every field once, however many candidate blocks it falls into."""
-    delimiter = F.col("delimiter")
-
-    def split(entry: Column) -> Column:
-        line = entry.getField("line")
-        is_candidate = entry.getField("row") <= max_scan
-        fields = split_by(line, delimiter)
-        return F.struct(
-            entry.getField("row").alias("row"),
-            entry.getField("line_no").alias("line_no"),
-            line.alias("line"),
-            entry.getField("comment").alias("comment"),
-            fields.alias("fields"),
-            *([F.when(is_candidate, split_by(line, delimiter, quotes=False)).alias("raw")] if mode != "robust" else []),
-        )
-
-    def trim(entry: Column) -> Column:
-        is_candidate = entry.getField("row") <= max_scan
-        raw = [F.when(is_candidate, _texts(entry.getField("raw"), F.lit(True))).alias("tokens")] if mode != "robust" else []
-        return F.struct(
-            *[entry.getField(c).alias(c) for c in ("row", "line_no", "line", "comment")],
-            F.when(is_candidate, entry.getField("fields")).alias("fields"),
-            _texts(entry.getField("fields"), is_candidate).alias("cells"),
-            *raw,
-        )
-
-    def judge(entry: Column) -> Column:
-        is_candidate = entry.getField("row") <= max_scan
-        tokens = F.when(is_candidate, entry.getField("cells")) if mode == "robust" else entry.getField("tokens")
-        return F.struct(
-            *[entry.getField(c).alias(c) for c in ("row", "line_no", "line", "comment", "fields")],
-            F.transform(entry.getField("cells"), _cell).alias("cells"),
-            F.transform(tokens, _token).alias("tokens"),
-        )
-
-    steps = F.transform(F.transform(F.transform("entries", split), trim), judge)
-    return files.withColumn("entries", steps)
-
-
-def _column_summaries(block: Column, first: Column, last: Column) -> Column:
-    """Dominant type share and spread of numbers of every column of a block of at most ``look_ahead`` rows.
-
-    Each step binds its results as fields, so that the next one refers to them instead of repeating them. A step copies
-    what it gives, and a function over cells costs a call for each: kinds are counted as whole arrays, and only numbers
-    are handed on.
-    """
-
-    def counted(cells: Column) -> Column:
-        kinds = cells.getField("kind")
-        of = lambda kind: F.size(kinds) - F.size(F.array_remove(kinds, kind))
-        return F.struct(
-            # A missing cell reads as "nan", which is a number to the parser.
-            F.coalesce(F.get(kinds, F.lit(0)) == NUMERIC, F.lit(True)).alias("first_numeric"),
-            of(BLANK).alias("blank"),
-            of(NUMERIC).alias("numeric"),
-            of(DATETIME).alias("datetime"),
-            of(OTHER).alias("other"),
-            F.size(F.array_except(cells.getField("text"), F.array(F.lit(None).cast("string"), F.lit("")))).alias("distinct"),
-            F.aggregate(cells.getField("size"), F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0))).alias("length"),
-            F.filter(cells.getField("number"), lambda x: x.isNotNull()).alias("numbers"),
-        )
-
-    def shares(c: Column) -> Column:
-        n, distinct, numbers = c.getField("numeric") + c.getField("datetime") + c.getField("other"), c.getField("distinct"), c.getField("numbers")
-        categorical = is_categorical(n, distinct, ratio(c.getField("length"), n))
-        return F.struct(
-            c.getField("first_numeric").alias("first_numeric"),
-            (n + c.getField("blank")).alias("present"),
-            numbers.alias("numbers"),
-            n.alias("n"),
-            ratio(c.getField("numeric"), n).alias("numeric"),
-            ratio(c.getField("datetime"), n).alias("datetime"),
-            F.when(categorical, 1.0).otherwise(0.0).alias("categorical"),
-            F.try_divide(F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x), F.size(numbers)).alias("mean"),
-        )
-
-    def summary(c: Column) -> Column:
-        numbers, mean = c.getField("numbers"), c.getField("mean")
-        squares = F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-        shares_of = [c.getField(f) for f in ("n", "numeric", "datetime", "categorical")]
-        return F.struct(
-            *[c.getField(f).alias(f) for f in ("first_numeric", "present")],
-            dominant_score(*shares_of).alias("dominant"),
-            F.coalesce(F.sqrt(F.try_divide(squares, F.size(numbers))), F.lit(0.0)).alias("spread"),
-        )
-
-    columns = F.transform(
-        F.sequence(first, last), lambda at: F.transform(block, lambda cells: F.get(cells, at))
+def _with_figures(files: DataFrame, mode: str, max_scan: int, look_ahead: int) -> DataFrame:
+    """Split a line once and judge every field once, however many candidate blocks it falls into; then count."""
+    delimiter, size = F.col("delimiter"), lambda fields: F.size(fields)
+    files = files.withColumn("fields", F.transform("entries", lambda e: split_by(e.getField("line"), delimiter)))
+    files = files.withColumn("cell_widths", F.transform("fields", size)).withColumn("fields", F.flatten("fields"))
+    if mode == "robust":
+        # The tokens of candidates are the first cells.
+        first = F.aggregate(F.slice("cell_widths", 1, max_scan + 1), F.lit(0), lambda acc, x: acc + x)
+        files = _judged(files.withColumn("asked", first), "cell", F.col("fields"), F.col("asked"))
+        kind, tokens = "cell", F.slice("cell_text", 1, F.col("asked"))
+    else:
+        plain = F.transform(F.slice("entries", 1, max_scan + 1), lambda e: split_by(e.getField("line"), delimiter, quotes=False))
+        files = _judged(files, "cell", F.col("fields"), F.lit(0)).withColumn("plain", plain)
+        files = files.withColumn("token_widths", F.transform("plain", size)).withColumn("plain", F.flatten("plain"))
+        files = _judged(files, "token", F.col("plain"), F.size("plain"))
+        kind, tokens = "token", F.col("token_text")
+    likeness = F.transform(
+        tokens, lambda text, at: text_likeness(text, F.get(F.col(f"{kind}_numeric"), at), F.get(F.col(f"{kind}_date"), at))
     )
-    for step in (counted, shares, summary):
-        columns = F.transform(columns, step)
-    return columns
+    judged = [*(f"cell_{c}" for c in ("widths", "text", "missing", "numeric", "date", "number")), *(f"{kind}_{c}" for c in ("widths", "text", "numeric", "date"))]
+    counted = block_figures(max_scan, look_ahead, mode == "robust")
+    files = files.withColumn("likeness", likeness).withColumn("figures", counted(*judged, "likeness"))
+    return files.drop("fields", "plain", "asked", "likeness", *judged, *(f"{k}_{c}" for k in ("cell", "token") for c in ("missing", "digits", "number")))
 
 
 def _blocks(
     head: DataFrame, mode: str, max_scan: int, look_ahead: int, drop_comments: bool
 ) -> DataFrame:
-    """One row per candidate with the columns of the rows that follow it.
+    """One row per candidate with the figures of its tokens and of the columns of the rows that follow it.
 
     Columns are named by the candidate line. Extra leading fields of the first data row are an index; a
     later row wider than that cannot be parsed. ``robust`` leaves such rows out as long as they are fewer than
     half; ``compat`` gives the candidate up.
     """
-    files = _judged_entries(_dealt(formats.file_heads(head, mode, max_scan + look_ahead + 1)), mode, max_scan)
-    candidates = files.select(
+    files = _dealt(formats.file_heads(head, mode, max_scan + look_ahead + 1))
+    candidates = _with_figures(files, mode, max_scan, look_ahead).select(
         "file_id",
         "delimiter",
         "delimiter_score",
         F.get("entries", F.lit(0)).getField("comment").alias("first_is_comment"),
         F.forall("entries", lambda e: e.getField("comment")).alias("all_comments"),
-        # Each candidate gets a copy of what follows it: of that, the cells alone.
-        F.col("entries.cells").alias("rows"),
-        F.explode(F.slice("entries", 1, max_scan + 1)).alias("candidate"),
+        "figures",
+        # Not the figures: Spark would ask for them once more, to leave out files without any.
+        F.posexplode(F.slice("entries", 1, max_scan + 1)).alias("at", "candidate"),
     )
+    candidates = candidates.withColumn("figures", F.get("figures", F.col("at"))).drop("at")
     if drop_comments:
         candidates = candidates.where(~F.col("candidate.comment") | F.col("all_comments"))
-    first_width = F.coalesce(F.size(F.get("block", F.lit(0))), F.lit(0))
-    wide = F.size("block") - F.size("fitting")
-    enough = (wide == 0) | (2 * wide < F.size("block")) if mode == "robust" else wide == 0
-    return (
-        candidates.withColumn("block", F.slice("rows", F.col("candidate.row") + 2, look_ahead))
-        .drop("rows", "all_comments")
-        .withColumn("width", F.size("candidate.cells"))
-        .withColumn("shift", F.greatest(first_width - F.col("width"), F.lit(0)))
-        .withColumn("widest", F.col("width") + F.col("shift"))
-        .withColumn("fitting", F.filter("block", lambda cells: F.size(cells) <= F.col("widest")))
-        .withColumn("parsed", enough)
-        .withColumn("block", F.col("fitting"))
-        .drop("fitting")
-        .withColumn(
-            "columns",
-            F.when(
-                F.col("parsed"),
-                _column_summaries(F.col("block"), F.col("shift"), F.col("widest") - 1),
-            ),
-        )
-        .drop("block")
-    )
+    return candidates.drop("all_comments")
+
+
+def _parts(figures: Column) -> dict[str, Column]:
+    """The parts of a candidate's score."""
+    count = figures["tokens"]
+    return {
+        "consistency_score": figures["dominant"],
+        "token_score": figures["likeness"],
+        "uniqueness_score": figures["distinct"] / (count + TINY),
+        "stability": F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - figures["spread"])),
+        "data_row_penalty": PENALTY_WEIGHT
+        * (figures["numeric"] / count + PENALTY_DATETIME_WEIGHT * (figures["datetime"] / count)),
+    }
 
 
-def _mean(array: Column, value) -> Column:
-    total = F.aggregate(array, F.lit(0.0), lambda acc, x: acc + value(x))
-    return F.when(F.size(array) > 0, total / F.size(array))
+def _score(parsed: Column, parts: dict[str, Column]) -> Column:
+    score = (
+        CONSISTENCY_WEIGHT * parts["consistency_score"]
+        + TOKEN_WEIGHT * parts["token_score"]
+        + UNIQUENESS_WEIGHT * parts["uniqueness_score"]
+        + STABILITY_WEIGHT * parts["stability"]
+        - parts["data_row_penalty"]
+    )
+    return F.when(parsed, F.greatest(F.lit(0.0), score)).otherwise(0.0)
 
 
 def score_candidates(
@@ -255,28 +155,7 @@ def score_candidates(
     data_row_penalty, score, reason`` with reason ``parse_failed`` or ``scored``, and what the selection
     needs per file: ``delimiter, delimiter_score, first_is_comment`` and the candidate's ``fields`` and ``index_width``.
     """
-    tokens, columns = F.col("candidate.tokens"), F.col("columns")
-    count = F.size(tokens)
-
-    def share(flag: str) -> Column:
-        return F.size(F.filter(tokens, lambda t: t.getField(flag))) / count
-
-    spread = _mean(columns, lambda c: c.getField("spread"))
-    parts = {
-        "consistency_score": _mean(columns, lambda c: c.getField("dominant")),
-        "token_score": _mean(tokens, lambda t: t.getField("likeness")),
-        "uniqueness_score": F.size(F.array_distinct(F.transform(tokens, lambda t: t.getField("text"))))
-        / (count + TINY),
-        "stability": F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - spread)),
-        "data_row_penalty": PENALTY_WEIGHT * (share("numeric") + PENALTY_DATETIME_WEIGHT * share("datetime")),
-    }
-    score = (
-        CONSISTENCY_WEIGHT * F.col("consistency_score")
-        + TOKEN_WEIGHT * F.col("token_score")
-        + UNIQUENESS_WEIGHT * F.col("uniqueness_score")
-        + STABILITY_WEIGHT * F.col("stability")
-        - F.col("data_row_penalty")
-    )
+    parts = _parts(F.col("figures"))
     return (
         _blocks(head, mode, max_scan, look_ahead, drop_comments=mode == "robust")
         .select(
@@ -284,16 +163,16 @@ def score_candidates(
             "delimiter",
             "delimiter_score",
             "first_is_comment",
-            "parsed",
+            "figures.parsed",
             "candidate.row",
             "candidate.line_no",
             "candidate.line",
-            "candidate.fields",
-            F.col("shift").alias("index_width"),
-            count.alias("token_count"),
-            *[F.when(F.col("parsed"), part).alias(name) for name, part in parts.items()],
+            split_by(F.col("candidate.line"), F.col("delimiter")).alias("fields"),
+            F.col("figures.shift").alias("index_width"),
+            F.col("figures.tokens").alias("token_count"),
+            *[F.when(F.col("figures.parsed"), part).alias(name) for name, part in parts.items()],
         )
-        .withColumn("score", F.when(F.col("parsed"), F.greatest(F.lit(0.0), score)).otherwise(0.0))
+        .withColumn("score", _score(F.col("parsed"), {name: F.col(name) for name in parts}))
         .withColumn("reason", F.when(F.col("parsed"), "scored").otherwise("parse_failed"))
         .drop("parsed")
     )
@@ -324,6 +203,11 @@ def select_header(ranked: DataFrame, score_gap: float = SCORE_GAP) -> DataFrame:
         F.max("delimiter_score").alias("delimiter_score"),
         F.sort_array(F.collect_list(F.when(F.col("rank") <= 3, top))).alias("top"),
     )
+    return _selected(picked.withColumn("top", F.transform("top", lambda c: c.dropFields("rank"))), score_gap)
+
+
+def _selected(picked: DataFrame, score_gap: float = SCORE_GAP) -> DataFrame:
+    """The choice between the ``best`` and the ``first`` candidate of a file."""
     # A nudge far below the printed precision keeps exact halves from depending on float noise.
     gap = F.col("best.score") - F.col("first.score")
     gap_text = F.round(gap + TINY, 3).cast("decimal(10,3)").cast("string")
@@ -349,7 +233,7 @@ def select_header(ranked: DataFrame, score_gap: float = SCORE_GAP) -> DataFrame:
             "delimiter_score",
             F.col("chosen.fields").alias("fields"),
             F.col("chosen.index_width").alias("index_width"),
-            F.transform("top", lambda c: c.dropFields("rank")).alias("candidate_summary"),
+            F.col("top").alias("candidate_summary"),
         )
     )
 
@@ -392,9 +276,53 @@ def detection_result(selected: DataFrame) -> DataFrame:
     )
 
 
-def detect_headers(head: DataFrame, mode: str = "robust", **scan: int) -> DataFrame:
-    """Format and header of every file: one grouped aggregate by file, then narrow steps on its result."""
-    return detection_result(select_header(rank_candidates(score_candidates(head, mode, **scan))))
+def detect_headers(
+    head: DataFrame, mode: str = "robust", max_scan: int = MAX_SCAN, look_ahead: int = LOOK_AHEAD
+) -> DataFrame:
+    """Format and header of every file: one grouped aggregate by file, then narrow steps on its result.
+
+    The same as scoring, ranking and selecting candidates one after the other, with a file's few candidates as an array.
+    """
+    files = _dealt(formats.file_heads(head, mode, max_scan + look_ahead + 1))
+    scanned, comment = F.slice("entries", 1, max_scan + 1), lambda e: e.getField("comment")
+    allowed = lambda c: F.lit(True)
+    if mode == "robust":
+        # Comments are no candidates, unless there is nothing else.
+        files = files.withColumn("comments", F.forall("entries", comment))
+        files = files.where(F.col("comments") | F.exists(scanned, lambda e: ~comment(e)))
+        allowed = lambda c: ~c.getField("comment") | F.col("comments")
+
+    def candidate(entry: Column, figures: Column) -> Column:
+        score = _score(figures["parsed"], _parts(figures))
+        return F.struct(
+            (-score).alias("order"), *[entry[c].alias(c) for c in ("row", "line_no", "line", "comment")], figures["shift"].alias("index_width")
+        )
+
+    def choice(c: Column) -> Column:
+        fields = split_by(c["line"], F.col("delimiter")).alias("fields")
+        return F.when(c.isNotNull(), F.struct(c["row"].alias("row"), c["line_no"].alias("line_no"), (-c["order"]).alias("score"), fields, c["index_width"].alias("index_width")))
+
+    def top(c: Column) -> Column:
+        return F.struct(c["row"].alias("row"), F.round(-c["order"], 4).alias("score"), F.substring(c["line"], 1, 80).alias("preview"))
+
+    picked = (
+        _with_figures(files, mode, max_scan, look_ahead)
+        .withColumn("candidates", F.zip_with(scanned, "figures", candidate))
+        # Best score first, upper row first among equals.
+        .withColumn("ranked", F.sort_array(F.filter("candidates", allowed)))
+        .withColumn("best", F.get("ranked", F.lit(0)))
+        .withColumn("first", F.get(F.filter("ranked", lambda c: c.getField("row") == 0), F.lit(0)))
+        .select(
+            "file_id",
+            choice(F.col("best")).alias("best"),
+            choice(F.col("first")).alias("first"),
+            comment(F.get("entries", F.lit(0))).alias("first_is_comment"),
+            "delimiter",
+            "delimiter_score",
+            F.transform(F.slice("ranked", 1, 3), top).alias("top"),
+        )
+    )
+    return detection_result(_selected(picked))
 
 
 def header_by_consistency(head: DataFrame, max_scan: int = MAX_SCAN, look_ahead: int = LOOK_AHEAD) -> DataFrame:
@@ -403,10 +331,9 @@ def header_by_consistency(head: DataFrame, max_scan: int = MAX_SCAN, look_ahead:
     ``file_id, header_row, score``; row 0 with score -1 where no candidate has more than one column.
     """
     blocks = _blocks(head, "compat", max_scan, look_ahead, drop_comments=False)
-    filled = F.filter("columns", lambda c: c.getField("present") > 0)
-    numeric_share = F.size(F.filter("columns", lambda c: c.getField("first_numeric"))) / F.size("columns")
-    score = _mean(filled, lambda c: c.getField("dominant")) - 0.3 * numeric_share
-    usable = F.col("parsed") & (F.col("width") > 1) & (F.size(filled) > 0)
+    figures = lambda name: F.col(f"figures.{name}")
+    score = figures("filled_dominant") - 0.3 * (figures("first_numeric") / figures("width"))
+    usable = figures("parsed") & (figures("width") > 1) & (figures("filled") > 0)
     return (
         blocks.withColumn("score", F.when(usable, score))
         .groupBy("file_id")

@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from tabulens.operators import headers
+from tabulens.operators import blocks, headers
 from tabulens.sources import formats
 from tests.conftest import SAMPLE, lines_of
 
@@ -127,3 +127,19 @@ def test_a_number_is_read_once(spark):
     assert rows["w", 0].stability == 0.0 and rows["n", 0].stability == 1.0
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"digits as double\)", plan)) == 1
+
+
+def test_candidates_are_counted_once_and_without_ranking_rows(spark, monkeypatch):
+    """Cells are counted as flat arrays, once, however files are put together; a file's candidates need no sort of rows."""
+    ragged = {"ragged": "a,b\n1,2\n1,2,3\n1,2\n1,2\n", "indexed": "a,b\n9,1,2\n8,3,4\n", "remarks": "# a\n# b\n", "blank": " , \n", "late": "# a\n" * 9 + "a,b\n1,2\n"}
+    head = formats.head_lines(lines_of(spark, CASES | ragged))
+    for mode in ("robust", "compat"):
+        steps = headers.detection_result(headers.select_header(headers.rank_candidates(headers.score_candidates(head, mode))))
+        want = sorted(map(repr, steps.collect()))
+        found = headers.detect_headers(head, mode)
+        assert sorted(map(repr, found.collect())) == want and len(want) == len(CASES | ragged) - (mode == "robust")
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "score" not in "".join(x for x in plan.splitlines() if " Window " in x)
+        monkeypatch.setattr(blocks, "TOGETHER", 7)
+        assert sorted(map(repr, headers.detect_headers(head, mode).collect())) == want
+        monkeypatch.undo()
