@@ -143,3 +143,10 @@ def test_candidates_are_counted_once_and_without_ranking_rows(spark, monkeypatch
         monkeypatch.setattr(blocks, "TOGETHER", 7)
         assert sorted(map(repr, headers.detect_headers(head, mode).collect())) == want
         monkeypatch.undo()
+
+
+def test_a_filter_on_decisions_does_not_judge_twice(spark):
+    """Spark may push a condition below the exchange, but not together with the judging that it depends on."""
+    found = headers.detect_headers(formats.head_lines(lines_of(spark, CASES))).where("header_line_no >= 0 AND delimiter IS NOT NULL")
+    assert found.count() == len(CASES)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
